@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_dedup, html_text, mixing, piece_codec, simhash, token_counts, toxicity, vector_search
+from . import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, toxicity, vector_search
 from .common import small_batches, table
 
 
@@ -31,6 +31,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each length in tokens that occurs, with the answers for the context limit of that length."""
     small_batches(spark)
@@ -60,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op5_token_counts, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
