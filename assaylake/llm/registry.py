@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, toxicity, vector_search
+from . import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, token_store, toxicity, vector_search
 from .common import small_batches, table
 
 
@@ -43,6 +43,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_table(token_counts.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -65,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op6_token_ids, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
