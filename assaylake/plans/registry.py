@@ -1,4 +1,4 @@
 """Queries of the engine's own operators and the SQL that each must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import recovery  # noqa: F401
+from .book import ORACLE_SQL, QUERIES  # noqa: F401
