@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Queries of one block, which a task holds with their heaps.
 QUERY_BLOCK = 2048
+#: Candidates of one part: at least so many where there are, and at most.
+PART, MOST = 2048, 1 << 20
 #: Pairs that are recomputed at once.
 PAIRS = 1 << 15
 
@@ -105,7 +107,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id
     clean = usable(vectors, vec_id, embedding)
     queries = clean.where(is_query).groupBy("id", "dim").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // query_block))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = clean.count()
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-n // MOST), min(-(-n // PART), -(-tasks // blocks)))
     q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim", F.lit(0).alias("side"), "id", "v")
     c = clean.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), "dim", F.lit(1).alias("side"), "id", "v")
 
@@ -135,7 +139,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id
         if asking:
             yield asking.found()
 
-    dealt = q.unionByName(c).repartition(parts * min(blocks, 4), "qb", "part", "dim").sortWithinPartitions("qb", "part", "dim", "side")
+    dealt = q.unionByName(c).repartition(max(2, min(parts * blocks, 4 * tasks)), "qb", "part", "dim").sortWithinPartitions("qb", "part", "dim", "side")
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
