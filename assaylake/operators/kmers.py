@@ -14,23 +14,29 @@ from assaylake.functions.expressions import change_complexity, count_letter, inf
 PIECE = 512
 
 
+def _cut(text: Column, k: int) -> Column:
+    """All substrings of length k of a text that has as many letters at least."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+
+
+def _pieces(seq: Column, k: int) -> Column:
+    """Overlapping pieces that hold all substrings of length k: a substring walks its string from the start, so strings are kept short."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(seq) - k) / PIECE).cast("int"))
+    return F.transform(starts, lambda i: F.substring(seq, i * PIECE + 1, F.lit(PIECE + k - 1)))
+
+
 def kmers(df: DataFrame, ids: Sequence[str], seq: str, ks: Sequence[int], distinct: bool = False) -> DataFrame:
     """(ids, k, kmer): all overlapping substrings; sequences shorter than k give none. ``distinct``: each once for a row."""
-    made = []
+    out = None
     for k in ks:
-        # Cut into overlapping pieces first: a substring walks its string from the start.
-        starts = F.sequence(F.lit(0), F.floor((F.length(seq) - k) / PIECE).cast("int"))
-        pieces = F.transform(starts, lambda i, k=k: F.substring(F.col(seq), i * PIECE + 1, F.lit(PIECE + k - 1)))
-        one = df.select(*ids, seq).where(F.length(seq) >= k)
-        words = F.transform(F.sequence(F.lit(1), F.length("_piece") - (k - 1)), lambda i, k=k: F.substring(F.col("_piece"), i, F.lit(k)))
+        long_enough = df.select(*ids, seq).where(F.length(seq) >= k)
         if distinct:
-            all_ = F.array_distinct(F.flatten(F.transform(pieces, lambda p, k=k: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k))))))
-            made.append(one.select(*ids, F.lit(k).alias("k"), F.explode(all_).alias("kmer")))
+            words = F.array_distinct(F.flatten(F.transform(_pieces(F.col(seq), k), lambda piece: _cut(piece, k))))  # noqa: B023
+            made = long_enough.select(*ids, F.lit(k).alias("k"), F.explode(words).alias("kmer"))
         else:
-            made.append(one.select(*ids, F.explode(pieces).alias("_piece")).select(*ids, F.lit(k).alias("k"), F.explode(words).alias("kmer")))
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
+            cut = long_enough.select(*ids, F.explode(_pieces(F.col(seq), k)).alias("_piece"))
+            made = cut.select(*ids, F.lit(k).alias("k"), F.explode(_cut(F.col("_piece"), k)).alias("kmer"))
+        out = made if out is None else out.unionByName(made)
     return out
 
 
