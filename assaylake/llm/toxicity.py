@@ -68,20 +68,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of this partition's toxic and other rows hold each bucket: as many rows as buckets at most."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
-        rows = np.repeat(b.column("label").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(b.column("index").offsets.to_numpy()))
-        counts += np.bincount(rows * (1 << BITS) + b.column("index").flatten().to_numpy(), minlength=2 << BITS).reshape(2, -1)
-    at = np.flatnonzero(counts.sum(axis=0))
-    if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1, at]), pa.array(counts[0, at])], names=["bucket", "toxic", "other"])
+        for label, index in zip(b.column("label").to_pylist(), b.column("index"), strict=True):
+            counts[label, index.values.to_numpy()] += 1  # no bucket twice in a row
+    used = np.flatnonzero(counts.any(axis=0))
+    for at in range(0, len(used), 1 << 15):
+        some = used[at : at + (1 << 15)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c.astype(np.int64)) for c in (counts[1, some], counts[0, some]))], names=["bucket", "toxic", "other"])
 
 
-def log_count_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
-    """ln of a bucket's share of toxic rows over its share of other rows, both smoothed towards its share of all; small ones are 0."""
+def log_count_ratios(counts: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
+    """(bucket, ratio): ln of a bucket's share of toxic rows over its share of other rows, without small ones.
+
+    Both shares are smoothed towards the bucket's share of all rows.
+    """
     share = n_toxic / (n_toxic + n_other)
-    ratio = np.log((toxic + SMOOTHING * share) / n_toxic) - np.log((other + SMOOTHING * (1 - share)) / n_other)
-    return np.where(np.abs(ratio) < LEAST_RATIO, 0.0, ratio)
+    both = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    ratio = F.ln((F.col("toxic") + SMOOTHING * share) / n_toxic) - F.ln((F.col("other") + SMOOTHING * (1 - share)) / n_other)
+    return both.select("bucket", ratio.alias("ratio")).where(F.abs("ratio") >= LEAST_RATIO)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
@@ -92,19 +97,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").where(~is_held_out(F.col("_id")))
     chosen = known.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
-    data = materialise(rows.select("label", "text").mapInArrow(_features, "label int, index array<int>, value array<float>"), "toxicity-features")
-    counts = data.mapInArrow(_bucket_counts, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    data = materialise(rows.select("label", "text"), "toxicity-sample")
+    features = data.mapInArrow(_features, "label int, index array<int>, value array<float>")  # large: made anew for each use
     n = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
+    flat = ToxicityModel(np.zeros(1 << BITS, np.float32), math.log((n_toxic + 1) / (n_other + 1)))
     if not n_toxic or not n_other:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), math.log((n_toxic + 1) / (n_other + 1)))
-    got = counts.toPandas()  # a row for each bucket at most
-    both = np.zeros((2, 1 << BITS))
-    both[:, got["bucket"].to_numpy()] = got[["toxic", "other"]].to_numpy().T
-    ratio = log_count_ratios(both[0], both[1], n_toxic, n_other)
-    used = np.flatnonzero(ratio)
-    if not len(used):
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), math.log(n_toxic / n_other))
+        return flat
+    counts = features.mapInArrow(_bucket_counts, "bucket long, toxic long, other long")
+    got = log_count_ratios(counts, n_toxic, n_other).orderBy("bucket").toPandas()  # a row for each bucket at most
+    if got.empty:
+        return flat
+    used, ratio = got["bucket"].to_numpy(), np.zeros(1 << BITS)
+    ratio[used] = got["ratio"].to_numpy()
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     held = docs.sparkSession.sparkContext.broadcast((ratio, place))  # as large as the buckets, whatever the input
@@ -119,8 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([b.column("label"), *lists], names=["label", "index", "value"])
 
     n_used = len(used)
+    scaled = materialise(features.mapInArrow(scale, "label int, index array<int>, value array<double>"), "toxicity-features")
     vector = F.udf(lambda index, value: SparseVector(n_used, sorted(zip(index, value, strict=True))), VectorUDT())
-    rows = data.mapInArrow(scale, "label int, index array<int>, value array<double>").select("label", vector("index", "value").alias("features"))
+    rows = scaled.select("label", vector("index", "value").alias("features"))
     fit = LogisticRegression(labelCol="label", maxIter=30, regParam=1e-4, standardization=False).fit(rows)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = SCALE * ratio[used] * fit.coefficients.toArray()
