@@ -117,8 +117,8 @@ def kruskal_wallis(df: DataFrame, variables: Sequence[str], cls: str) -> DataFra
     long = long_form(df, variables, [cls]).where(F.col(cls).isNotNull())
     ranks = average_ranks(long, ["variable"])
     ties = ranks.groupBy("variable").agg(F.sum("ties").alias("N"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("t"))
-    cells = long.groupBy("variable", "value", cls).agg(F.count(F.lit(1)).alias("c")).join(ranks, ["variable", "value"])
-    groups = cells.groupBy("variable", cls).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("R"))
+    cells = long.groupBy("variable", "value", cls).agg(F.count(F.lit(1)).alias("_cell")).join(ranks, ["variable", "value"])
+    groups = cells.groupBy("variable", cls).agg(F.sum("_cell").alias("n"), F.sum(F.col("_cell") * F.col("rank")).alias("R"))
     h = groups.groupBy("variable").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s")).join(ties, "variable")
     N = F.col("N").cast("double")
     return h.select("variable", "k", "N", safe_ratio(12 / (N * (N + 1)) * F.col("s") - 3 * (N + 1), 1 - F.col("t") / (N * N * N - N)).alias("H"))
