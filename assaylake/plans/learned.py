@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.operators import alignment as A
+from assaylake.operators import folds as D
+from assaylake.operators import kmers as K
 from assaylake.operators import models as M
 from assaylake.operators import sets as S
+from assaylake.operators import similar as N
+from assaylake.operators.graph import materialise
+from assaylake.operators.stats import average_ranks
 
 from .book import query
 from .recovery import FILTERED, OVER, good
-from .views import HITS, table
+from .sequences import KM
+from .sequences import counts as sequence_counts
+from .views import HITS, SEQS, table
 
 VARS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -56,9 +63,6 @@ def binomial_glm_effects(spark, d):
     return M.binomial_glm_effects(cells, ["l_linenumber", "q"], "k", "n")
 
 
-WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '')"
-
-
 @query(
     """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents), b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM benchmark),
   q AS (SELECT doc_id AS qseqid, i AS qp, len(w) AS qlen, array_to_string(w[i:i + 7], ' ') AS seed FROM d, range(1, len(w) - 6) AS r(i)), s AS (SELECT item_id AS sseqid, i AS sp, len(w) AS slen, array_to_string(w[i:i + 7], ' ') AS seed FROM b, range(1, len(w) - 6) AS r(i)),
@@ -96,3 +100,75 @@ def classifier_consensus(spark, d):
     c = table(spark, d, "customer")
     calls = c.select("c_custkey", "c_mktsegment", F.col("c_mktsegment").alias("Signal"), F.when(F.col("c_acctbal") < 0, "-").otherwise(F.concat("c_mktsegment", F.lit(" (note)"))).alias("Pro"), F.when(F.col("c_nationkey") > 12, "X").otherwise("-").alias("Mature"))
     return S.region_class(S.classifier_consensus(calls, "c_custkey", ["Signal", "Pro", "Mature"], "c_mktsegment"))
+
+
+SETS = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents), k AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS items FROM w),
+  st AS (SELECT min(doc_id) AS rep, items, len(items) AS size FROM k GROUP BY items), e AS (SELECT rep, size, unnest(items) AS item FROM st),
+  c AS (SELECT a.rep AS u, b.rep AS v, count(*)::DOUBLE AS n, any_value(a.size) AS su, any_value(b.size) AS sv FROM e a JOIN e b ON a.item = b.item AND a.rep < b.rep GROUP BY ALL)"""
+
+
+@query(f"WITH {SETS} SELECT u, v, n / (su + sv - n) AS similarity FROM c WHERE n / (su + sv - n) >= 0.8 - 1e-9", "similarity")
+def all_pairs_identity(spark, d):
+    return N.similar_pairs(materialise(N.shingle_sets(table(spark, d, "documents"), "doc_id", "text"), "shingle-sets"), 0.8)
+
+
+@query()
+def near_dup_clusters(spark, d):
+    return N.near_dup_clusters(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def cluster_diversity_curve(spark, d):
+    c = N.near_dup_clusters(table(spark, d, "documents"), "doc_id", "text", (1.0, 0.9, 0.8))
+    return c.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("rows").alias("n_rows"))
+
+
+@query()
+def near_dup_collapse(spark, d):
+    c = N.near_dup_clusters(table(spark, d, "documents"), "doc_id", "text", (0.9,))
+    return c.select(F.col("rep").alias("doc_id"), "rows")
+
+
+@query()
+def stratified_bootstrap(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return D.bootstrap_weights(docs, "doc_id", 20).groupBy("replicate", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("n"))
+
+
+@query(f"WITH {SEQS}, {KM}, t AS (SELECT DISTINCT kmer FROM km), g AS (SELECT organism, kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT organism FROM km) CROSS JOIN t LEFT JOIN km USING (organism, kmer)), r AS (SELECT organism, kmer, rank() OVER (PARTITION BY organism ORDER BY n) + (count(*) OVER (PARTITION BY organism, n) - 1) / 2 AS r FROM g) SELECT a.organism AS a, b.organism AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.kmer = b.kmer AND a.organism < b.organism GROUP BY ALL", "rho")
+def kmer_sample_correlation(spark, d):
+    counts = materialise(sequence_counts(spark, d), "kmer-counts")
+    samples, kmers = counts.select("organism").distinct(), counts.select("kmer").distinct()
+    grid = kmers.crossJoin(F.broadcast(samples)).join(counts, ["organism", "kmer"], "left").select("organism", "kmer", F.coalesce("n", F.lit(0)).alias("value"))  # samples are few
+    ranks = average_ranks(grid, ["organism"])
+    r = grid.join(ranks, ["organism", "value"]).select("organism", "kmer", "rank")
+    a, b = r.select(F.col("organism").alias("a"), "kmer", F.col("rank").alias("ra")), r.select(F.col("organism").alias("b"), "kmer", F.col("rank").alias("rb"))
+    return a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+
+
+@query()
+def motif_scan(spark, d):
+    """Where each part's brand best fits the position matrix of its size group, if at 80 % of the best score or above."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    m = K.pspm(p, "p_brand", ["p_size"]).withColumn("score", F.log2(F.col("freq") * 36))
+    best = m.groupBy("p_size", "pos").agg(F.max("score").alias("s")).groupBy("p_size").agg(F.sum("s").alias("best"))
+    at = p.select("p_partkey", "p_size", F.posexplode(F.split("p_brand", "")).alias("pos", "letter")).where("letter <> ''").withColumn("pos", F.col("pos") + 1)
+    got = at.join(m, ["p_size", "pos", "letter"]).groupBy("p_partkey", "p_size").agg(F.sum("score").alias("score")).join(best, "p_size")
+    return got.where("score >= 0.8 * best").select("p_partkey", F.lit(1).alias("start"), "score")
+
+
+@query()
+def fold_entropy_table(spark, d):
+    """By held-out label: diversity of its sequences and divergence from all others."""
+    counts = materialise(sequence_counts(spark, d), "kmer-counts")
+    out = K.diversity(counts, ["organism"], 64).select("organism", "k", "shannon", "shannon_bits", "normalised", "adjusted", "renyi2", "richness")
+    total = counts.groupBy("k", "kmer").agg(F.sum("n").alias("_t"))
+    sides = counts.select("organism").distinct().crossJoin(total).join(counts, ["organism", "k", "kmer"], "left")  # labels are few
+    merged = sides.select("organism", "k", "kmer", F.coalesce("n", F.lit(0)).alias("n_test"), (F.col("_t") - F.coalesce("n", F.lit(0))).alias("n_train"))
+    return out.join(K.divergence(merged, ["organism"]).select("organism", "k", "jsd", "flag"), ["organism", "k"])
+
+
+@query()
+def family_entropy_summary(spark, d):
+    t = fold_entropy_table(spark, d)
+    return t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("shannon_bits").alias("median_bits"), F.stddev_samp("shannon_bits").alias("sd_bits"), F.median("jsd").alias("median_jsd"), F.count_if(F.col("flag") == "HIGH").alias("n_high"), F.avg((F.col("flag") == "HIGH").cast("int")).alias("share_high"))
