@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaylake.functions.expressions import coverage_band
 from assaylake.operators import alignment as A
 from assaylake.operators import folds as D
 from assaylake.operators import kmers as K
@@ -11,13 +12,13 @@ from assaylake.operators import models as M
 from assaylake.operators import sets as S
 from assaylake.operators import similar as N
 from assaylake.operators.graph import materialise
-from assaylake.operators.stats import average_ranks
+from assaylake.operators.stats import average_ranks, cluster_curve_stats
 
 from .book import query
-from .recovery import FILTERED, OVER, good
-from .sequences import KM
+from .recovery import FILTERED, OVER, depth_stats, good
+from .sequences import KM, pc
 from .sequences import counts as sequence_counts
-from .views import HITS, SEQS, table
+from .views import HITS, REFS, SEQS, refs, table
 
 VARS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -172,3 +173,37 @@ def fold_entropy_table(spark, d):
 def family_entropy_summary(spark, d):
     t = fold_entropy_table(spark, d)
     return t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("shannon_bits").alias("median_bits"), F.stddev_samp("shannon_bits").alias("sd_bits"), F.median("jsd").alias("median_jsd"), F.count_if(F.col("flag") == "HIGH").alias("n_high"), F.avg((F.col("flag") == "HIGH").cast("int")).alias("share_high"))
+
+
+DEPTH = "b AS (SELECT sseqid, unnest(range(sstart, send + 1)) AS pos FROM hits), dp AS (SELECT ref_id, family, count(DISTINCT pos) / 150.0 AS f FROM refs LEFT JOIN b ON sseqid = ref_id GROUP BY ALL)"
+
+
+@query(f"WITH {HITS}, {REFS}, {DEPTH} SELECT family, count(*) AS n, avg(f) AS mean, coalesce(stddev_samp(f) / sqrt(count(*)), 0) AS se FROM dp GROUP BY 1", "mean se")
+def family_depth_coverage(spark, d):
+    labelled = depth_stats(spark, d).join(refs(spark, d), F.col("sseqid") == F.col("ref_id"))
+    return cluster_curve_stats(labelled, ["family"], "covered_fraction").select("family", "n", "mean", "se")
+
+
+BANDED = "CASE WHEN strlen(text) >= 5000 THEN '100%' WHEN strlen(text) >= 4750 THEN '>=95%' WHEN strlen(text) >= 4500 THEN '>=90%' WHEN strlen(text) >= 4000 THEN '>=80%' ELSE '<80%' END"
+
+
+@query(
+    f"""WITH seqs AS (SELECT doc_id AS entry_id, text AS sequence, {BANDED} AS band FROM documents), {pc(5)}, x AS (SELECT band, sequence FROM pc UNION ALL SELECT '<95%', sequence FROM pc WHERE band IN ('>=90%', '>=80%', '<80%')),
+  f AS (SELECT band, substr(sequence, i, 5) AS kmer, count(*) AS n FROM x, range(1, length(sequence) - 3) AS r(i) GROUP BY ALL) SELECT band, 5 AS k, -sum(p * ln(p)) AS shannon, count(*) AS richness, -sum(p * ln(p)) / ln(count(*)) AS evenness FROM (SELECT *, n / sum(n) OVER (PARTITION BY band) AS p FROM f) GROUP BY 1""",
+    "shannon evenness",
+)
+def kmer_assessment_by_band(spark, d):
+    """Sequences by band of their length over 5,000 bytes, and all below 95 % once more together: labels are exploded, not rows unioned."""
+    band = coverage_band(F.octet_length("text") / 5000)
+    labels = F.when(band.isin(">=90%", ">=80%", "<80%"), F.array(band, F.lit("<95%"))).otherwise(F.array(band))
+    docs = table(spark, d, "documents").select(F.col("text").alias("sequence"), F.explode(labels).alias("band"))
+    return K.kmer_assessment(docs, ["band"], "sequence", [5])
+
+
+@query()
+def kmer_pca(spark, d):
+    """Components of the sources' k-mer profiles, k-mers hashed into 32 features."""
+    counts = K.kmer_counts(table(spark, d, "documents"), ["source"], "text", [3])
+    hashed = counts.withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(32)))
+    profile = hashed.groupBy("source").pivot("bucket", list(range(32))).agg(F.sum("n")).na.fill(0)
+    return M.pca_features(profile.toDF("source", *[f"f{i}" for i in range(32)]), [f"f{i}" for i in range(32)])
