@@ -17,19 +17,25 @@ from .common import ascii_lower, materialise
 
 ROW = "_dedup_row"
 NORM = "_dedup_norm"
+#: Leading characters that splitters hold.
+HEAD = 48
 
 
 def _sorted(docs: DataFrame, text: str, doc_id: str, keep: str, carry: list[str]) -> DataFrame:
     """Rows range-partitioned and sorted by normalised text; of equals the one to keep comes last.
 
-    The id is part of the range key, so a text that fills a third of all rows spreads over many tasks.
+    Splitters are sampled from the first characters, a digest and the id, so that what the driver
+    sees of a sample is small however long the texts are, and a text that fills a third of all
+    rows spreads over many tasks.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     order = F.col("_dedup_id").asc_nulls_first() if keep == "max" else F.col("_dedup_id").desc_nulls_first()
     rows = docs.select(F.col(doc_id).alias("_dedup_id"), ascii_lower(F.coalesce(text, F.lit(""))).alias(NORM), *carry)
+    rows = rows.withColumns({"_dedup_head": F.substring(NORM, 1, HEAD), "_dedup_md5": F.unhex(F.md5(NORM))})
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(parts, F.col(NORM), order).sortWithinPartitions(F.col(NORM), order)
+    dealt = rows.repartitionByRange(parts, "_dedup_head", "_dedup_md5", order)
+    return dealt.sortWithinPartitions("_dedup_head", "_dedup_md5", NORM, order).drop("_dedup_head", "_dedup_md5")
 
 
 def _run_starts(texts: pa.Array, before: str | None) -> list[bool]:
