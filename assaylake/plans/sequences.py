@@ -490,8 +490,9 @@ def count_reference_sequences(spark, d):
 @query()
 def bootstrap_entropy_ci(spark, d):
     """Mean, sd and interval of the organisms' k-mer entropy over 20 hash-weighted replicates of the sequences."""
-    reps = D.bootstrap_weights(seqs(spark, d), "entry_id", 20)
-    n = K.kmers(reps, ["organism", "replicate", "weight"], "sequence", [3]).groupBy("organism", "replicate", "k", "kmer").agg(F.sum("weight").alias("n"))
+    per = K.kmer_counts(seqs(spark, d), ["organism", "entry_id"], "sequence", [3])  # cut once, weighted many times
+    weights = D.bootstrap_weights(seqs(spark, d).select("entry_id"), "entry_id", 20)
+    n = per.join(weights, "entry_id").groupBy("organism", "replicate", "k", "kmer").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
     h = K.diversity(n, ["organism", "replicate"]).groupBy("organism", "k")
     p = lambda x: F.percentile("shannon", F.lit(x))
     return h.agg(F.count(F.lit(1)).alias("replicates"), F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd"), p(0.025).alias("low"), p(0.975).alias("high"))
