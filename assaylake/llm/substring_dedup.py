@@ -1,7 +1,7 @@
 """Substring dedup: suffix automata of reference shards, past which documents stream for matching statistics.
 
 To build every shard's automaton and stream every document past it would take the product of both. So
-shards are keyed by anchors: of every window of words one run of half its length, chosen by its
+shards are keyed by anchors: of every window of words one run of a third of its length, chosen by its
 hash, is an anchor, and two equal windows have the same one. Only the surroundings of anchors that
 occur in several documents become references, each distinct one once, with its smallest document;
 an anchor's references form a shard. Anchors only route; which windows are equal the automata say.
@@ -25,7 +25,6 @@ WINDOW = 50
 SHARD = 256
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
-_CONTEXTS = "doc_id long, th long, pos int, cid binary, key long, lo int, hi int, ctx string, off int"
 _POWERS = [np.ones(1, np.uint64)] * 2
 
 
@@ -43,32 +42,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # ASCII white space only
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions): in each window of words the run of half its length with the least hash."""
-    gram, n = window // 2, len(words)
+def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, lo, hi): of each window the run of a third of its length with the least hash, the first of equals.
+
+    The windows whose anchor it is start lo to hi words before it.
+    """
+    gram, n = window // 3, len(words)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), *(np.zeros(0, np.int64),) * 3
     h = xxhash.xxh64_intdigest
     up, down = _powers(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array([h(w) for w in words], np.uint64) * up[:n])])
     g = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
-    least = _sliding(g, window - gram + 1, np.minimum)
-    ends = np.zeros(window - gram, np.uint64)
-    most = _sliding(np.concatenate([ends, least, ends]), window - gram + 1, np.maximum)  # of the windows that hold each run
-    at = np.flatnonzero(most == g)
-    return g[at].view(np.int64), at.astype(np.int32)
-
-
-def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` over every ``width`` neighbours, by doubling."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = pick(x[:-step], x[step:])
+    best, have = np.arange(len(g)), 1  # where the least of the next ``have`` is
+    while have < window - gram + 1:
+        step = min(have, window - gram + 1 - have)
+        x, y = best[:-step], best[step:]
+        best = np.where(g[y] < g[x], y, x)
         have += step
-    return x
+    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+    last = np.concatenate([first[1:], [len(best)]]) - 1
+    at = best[first]
+    return g[at].view(np.int64), at, at - last, at - first
 
 
 class SuffixAutomaton:
@@ -126,20 +123,21 @@ class SuffixAutomaton:
         return found
 
 
-def _context(words: list[bytes], pos: int, lo: int, hi: int, window: int) -> tuple | None:
-    """What windows that start lo to hi words before ``pos`` cover: (cid, key, lo, hi, context, words before pos).
+def _digest(off: int, ctx: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b"%d " % off + ctx)
+
 
-    The key is a hash of what all of them share. None if no such window lies within ``words``.
+def _half(words: list[bytes], off: int, lo: int, hi: int, window: int) -> tuple | None:
+    """Of a reference, with ``off`` words before its anchor, the windows that start lo to hi before it: (cid, key, lo, hi, ctx, off).
+
+    The key is a hash of the words that all such windows share. None if there are none.
     """
-    first, last = pos - min(hi, pos), pos - max(lo, pos + window - len(words))
-    if first > last:
+    least, most = max(lo, off - len(words) + window), min(hi, off)
+    if least > most:
         return None
-    ctx = b" ".join(words[first : last + window])
-    core = b" ".join(words[pos - lo : pos - hi + window]) if lo or hi != window // 2 else b" ".join(words[pos : pos + window // 2])
-    key = xxhash.xxh64_intdigest(core, lo * window + hi)
-    off = pos - first
-    cid = xxhash.xxh3_128_digest(b"%d %d %d " % (lo, hi, off) + ctx)
-    return cid, key - (1 << 64) if key >> 63 else key, lo, hi, ctx.decode(), off
+    ctx = b" ".join(words[off - most : off - least + window])
+    key = xxhash.xxh64_intdigest(b" ".join(words[off - lo : off - hi + window]), lo * window + hi)
+    return _digest(most, ctx), key - (1 << 64) if key >> 63 else key, lo, hi, ctx.decode(), most
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -172,7 +170,7 @@ def _routes(docs: DataFrame, window: int) -> DataFrame:
                 words = words_of(text)
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                h, p = anchors(words if i is not None else [], window)
+                h, p, _, _ = anchors(words if i is not None else [], window)
                 hashes.append(h)
                 places.append(p)
             cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
@@ -181,21 +179,46 @@ def _routes(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, n_words long, sha string, hashes array<long>, places array<int>")
 
 
-def _contexts(shared: DataFrame, window: int) -> DataFrame:
+def _occurrences(shared: DataFrame, window: int) -> DataFrame:
+    """(doc_id, th, pos, key, lo, hi, cid) of every shared anchor; cid stands for all that its windows cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _CONTEXTS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+        names = ["doc_id", "th", "pos", "key", "lo", "hi", "cid"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
             for i, th, text, places in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")], strict=True):
+                words, wanted = words_of(text), set(places)
+                joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
+                rows = []
+                for key, pos, lo, hi in zip(*[x.tolist() for x in anchors(words, window)], strict=True):
+                    if pos in wanted:
+                        first = pos - hi
+                        ctx = joined[ends[first - 1] if first else 0 : ends[pos - lo + window - 1] - 1]
+                        rows.append((i, th, pos, key, lo, hi, _digest(hi, ctx)))
+                yield _batch(rows, names, types)
+
+    return shared.mapInArrow(run, "doc_id long, th long, pos int, key long, lo int, hi int, cid binary")
+
+
+def _references(owners: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """The words of references that share their anchor with others, cut from the first document of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cid", "key", "ctx", "off", "first", "large"]
+        types = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+        for b in batches:
+            for i, text, cuts in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "cuts")], strict=True):
                 words = words_of(text)
-                made = [(p, _context(words, p, 0, window - window // 2, window)) for p in sorted(set(places))]
-                yield _batch([(i, th, p, *c) for p, c in made if c], names, types)
+                rows = [(c["cid"], c["key"], b" ".join(words[c["pos"] - c["hi"] : c["pos"] - c["lo"] + window]).decode(), c["hi"], i, c["large"]) for c in cuts]
+                yield _batch(rows, names, types)
 
-    return shared.mapInArrow(run, _CONTEXTS)
+    cuts = owners.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "key", "lo", "hi", "cid", "large")).alias("cuts"))  # of one document
+    texts = shared.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"])
+    return texts.join(cuts, ["doc_id", "th"]).mapInArrow(run, "cid binary, key long, ctx string, off int, first long, large boolean")
 
 
 def _refine(large: DataFrame, window: int) -> DataFrame:
-    """The references of large shards, cut in two by where windows start: what each half shares is longer."""
+    """The references of large shards, cut in two by where windows start, down to single windows: what each half shares is longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["parent", "cid", "key", "lo", "hi", "ctx", "off", "first"]
@@ -205,7 +228,7 @@ def _refine(large: DataFrame, window: int) -> DataFrame:
             for cid, lo, hi, ctx, off, first in zip(*[b.column(c).to_pylist() for c in ("cid", "lo", "hi", "ctx", "off", "first")], strict=True):
                 mid = (lo + hi) // 2
                 for half in ((lo, mid), (mid + 1, hi)):
-                    if c := _context(ctx.encode().split(b" "), off, *half, window):
+                    if c := _half(ctx.encode().split(b" "), off, *half, window):
                         rows.append((cid, *c, first))
             yield _batch(rows, names, types)
 
@@ -237,28 +260,32 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
     """The routes of all rows, the texts that share an anchor with others, and the word spans to remove from them."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     routes = materialise(_routes(rows, window), "routes")
-    each = routes.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", "th", F.col("a.hashes").alias("h"), F.col("a.places").alias("pos"))
+    each = routes.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("h"), F.col("a.places").alias("pos"))
     several = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    places = each.join(several, "h").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("places"))  # of one document
-    shared = materialise(rows.join(places, ["doc_id", "th"]), "sharing-texts")
-    found = materialise(_contexts(shared, window), "contexts")
-
-    level = materialise(found.groupBy("key", "lo", "hi", "cid", "ctx", "off").agg(F.min("doc_id").alias("first")), "references")
-    roots = None  # (cid, part): references and the parts that they were cut into
-    spans = []
-    while True:
-        large = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("key")
-        large = materialise(large, "large-shards")
-        last = large.isEmpty()
-        firsts = _firsts(level if last else level.join(large, "key", "left_anti"), window)
-        spans.append(firsts if roots is None else firsts.join(roots, "cid").drop("cid").withColumnRenamed("root", "cid").select("cid", "start", "end", "first"))
-        if last:
-            break
-        halves = materialise(_refine(level.join(large, "key", "left_semi"), window), "halves")
+    places = each.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # of one document
+    shared = materialise(rows.join(materialise(places, "shared-anchors"), "doc_id"), "sharing-texts")
+    found = materialise(_occurrences(shared, window), "occurrences")
+
+    owner = F.min(F.struct("doc_id", "th", "pos", "lo", "hi")).alias("o")
+    each = found.groupBy("key", "cid").agg(owner)
+    shards = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    each = materialise(each.join(shards, "key").select("key", "cid", "n", "o.*"), "reference-places")
+    # A shard of one reference needs no search: all its windows are first where the reference is.
+    alone = each.where("n = 1").select("cid", (-F.col("hi")).alias("start"), (-F.col("lo")).alias("end"), F.col("doc_id").alias("first"))
+    cut = materialise(_references(each.where("n > 1").withColumn("large", F.col("n") > SHARD).drop("n"), shared, window), "references")
+    spans = [alone, _firsts(cut.where("NOT large"), window)]
+    level = cut.where("large").select("cid", F.lit(0).alias("lo"), F.lit(window - window // 3).alias("hi"), "ctx", "off", "first")
+    roots = None  # (root, cid): references and the parts that they were cut into
+    while not level.isEmpty():
+        halves = materialise(_refine(level, window), "halves")
         parents = halves.select("parent", "cid").distinct()
-        roots = parents.withColumnRenamed("parent", "root") if roots is None else parents.join(roots.withColumnRenamed("cid", "parent"), "parent").select("root", "cid")
+        roots = parents.withColumnRenamed("parent", "root") if roots is None else parents.join(roots.withColumnRenamed("cid", "parent"), "parent").select("root", "cid").distinct()
         roots = materialise(roots, "reference-parts")
-        level = materialise(halves.groupBy("key", "lo", "hi", "cid", "ctx", "off").agg(F.min("first").alias("first")), "references")
+        parts = materialise(halves.groupBy("key", "lo", "hi", "cid", "ctx", "off").agg(F.min("first").alias("first")), "parts")
+        large = materialise(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("key"), "large-shards")
+        firsts = _firsts(parts.join(large, "key", "left_anti"), window)
+        spans.append(firsts.join(roots, "cid").select(F.col("root").alias("cid"), "start", "end", "first"))
+        level = parts.join(large, "key", "left_semi").drop("key")
     firsts = spans[0]
     for more in spans[1:]:
         firsts = firsts.unionByName(more)
