@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.operators.graph import components, materialise
+
+__all__ = ["ascii_lower", "components", "materialise", "small_batches", "table", "unit_hash"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,32 +21,6 @@ def small_batches(spark: SparkSession, rows: int = 200) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again.
-
-    The files survive lost executors and go when the driver's file system closes. What steps
-    before this one shuffled is of no more use: a collection lets Spark's cleaner remove it.
-    """
-    spark = df.sparkSession
-    gc.collect()
-    spark._jvm.System.gc()
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does just that for pure ASCII, much faster than ``translate``."""
     pure = F.octet_length(text) == F.char_length(text)
@@ -57,27 +31,3 @@ def unit_hash(*parts: Column | str) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5, alike in every SQL engine."""
     joined = F.concat_ws("-", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-
-
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """Connected components of undirected ``edges`` as (node, root), root being the smallest node.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014) as joins against grouped
-    minima, so no task holds a node's neighbourhood; each round is written to the shared folder.
-    Nulls and loops take no part; no edges give no rows.
-    """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct()
-    e = materialise(e, "edges")
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")
-        ).select("e.*").where("u <> v").distinct()
-        small = materialise(small, "edges")
-        if small.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(small, ["u", "v"], "left_anti").isEmpty():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e = small
