@@ -262,6 +262,7 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
     routes = materialise(_routes(rows, window), "routes")
     each = routes.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("h"), F.col("a.places").alias("pos"))
     several = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    several = materialise(several, "shared-hashes")  # so that a join side is a plain shuffle, whose hot keys Spark can split
     places = each.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # of one document
     shared = materialise(rows.join(materialise(places, "shared-anchors"), "doc_id"), "sharing-texts")
     found = materialise(_occurrences(shared, window), "occurrences")
