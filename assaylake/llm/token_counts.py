@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 #: Lengths for each block of the suffix sums.
 BLOCK = 1024
 
@@ -46,6 +48,7 @@ def length_table(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
     within blocks of lengths and over block totals, so no task sees the whole histogram.
     """
     hist = lengths.groupBy(F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = materialise(hist, "length-histogram")  # else every use of it would encode the corpus again
     hist = hist.withColumn("_b", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_t", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
     later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of lengths
