@@ -36,8 +36,8 @@ END = 2
 U = np.uint64
 TOP, BOT = U(1 << 48), U(1 << 32)
 SLOTS1, SLOTS2, CONTEXTS = 1 << 11, 1 << 12, 1 + 16 + 256 + 512
-#: After a nibble the cumulative counts move a 32nd of the way to one that is all that nibble, less a floor for the others.
-_RISE = np.array([[(32768 - 16 * 32 if i > s else 0) + 32 * i for i in range(17)] for s in range(16)], np.int32)
+#: After a nibble the cumulative counts move a 32nd of the way to one that is all that nibble, less a floor of 32 for each.
+_RISE = np.array([[(16384 - 16 * 32 if i > s else 0) + 32 * i for i in range(17)] for s in range(16)], np.int16)
 
 
 class _Lanes:
@@ -53,12 +53,13 @@ class _Lanes:
             self.at += 4
         else:
             self.words = np.zeros((n, BLOCK // 2), np.uint16)
-        self.pred1, self.conf1 = np.zeros((n, SLOTS1), np.uint16), np.zeros((n, SLOTS1), np.uint8)
-        self.pred2, self.conf2 = np.zeros((n, SLOTS2), np.uint16), np.zeros((n, SLOTS2), np.uint8)
-        self.by_conf, self.by_past, self.second = (np.full((n, k), 16384, np.int32) for k in (64, 16, 8))
+        # Models of all lanes lie flat, one lane after another.
+        self.pred1, self.conf1 = np.zeros(n * SLOTS1, np.uint16), np.zeros(n * SLOTS1, np.uint8)
+        self.pred2, self.conf2 = np.zeros(n * SLOTS2, np.uint16), np.zeros(n * SLOTS2, np.uint8)
+        self.by_conf, self.by_past, self.second = (np.full(n * k, 16384, np.int32) for k in (64, 16, 8))
         self.weight = np.full(n, 128, np.int32)
         self.past = np.zeros(n, np.int64)
-        self.nibbles = np.tile((np.arange(17) * 2048).astype(np.int32), (n, CONTEXTS, 1)).astype(np.uint16)
+        self.nibbles = np.tile((np.arange(17) * 1024).astype(np.int16), (n * CONTEXTS, 1))
         self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def _narrow(self, lanes: np.ndarray, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
@@ -93,40 +94,48 @@ class _Lanes:
         return bit
 
     def _nibble(self, lanes: np.ndarray, context: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        counts = self.nibbles[lanes, context].astype(np.int32)
-        r = self.range[lanes] >> U(15)
+        row = lanes * CONTEXTS + context
+        counts = self.nibbles.take(row, axis=0)
+        r = self.range[lanes] >> U(14)
         if self.reading:
-            target = np.minimum((self.code[lanes] - self.low[lanes]) // r, U(32767)).astype(np.int32)
+            target = np.minimum((self.code[lanes] - self.low[lanes]) // r, U(16383)).astype(np.int16)
             value = (counts[:, 1:16] <= target[:, None]).sum(axis=1)
-        rows = np.arange(len(lanes))
-        cum = counts[rows, value]
-        self._narrow(lanes, r, cum, counts[rows, value + 1] - cum)
-        self.nibbles[lanes, context] = counts + ((_RISE[value] - counts) >> 5)
+        at = np.arange(0, 17 * len(row), 17) + value
+        flat = counts.ravel()
+        cum = flat.take(at)
+        self._narrow(lanes, r, cum, flat.take(at + 1) - cum)
+        rise = _RISE.take(value, axis=0)
+        rise -= counts
+        rise >>= 5
+        counts += rise
+        self.nibbles[row] = counts
         return value
 
     def step(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code the next id of each of ``lanes``."""
-        h1 = (self.last1[lanes] * 40503 >> 4) & (SLOTS1 - 1)
-        h2 = ((self.last1[lanes] * 31321 + self.last2[lanes] * 51197) >> 3) & (SLOTS2 - 1)
-        p1, c1 = self.pred1[lanes, h1].astype(np.int64), self.conf1[lanes, h1].astype(np.int64)
-        p2, c2 = self.pred2[lanes, h2].astype(np.int64), self.conf2[lanes, h2].astype(np.int64)
+        last1 = self.last1[lanes]
+        h1 = ((last1 * 40503 >> 4) & (SLOTS1 - 1)) + lanes * SLOTS1
+        h2 = (((last1 * 31321 + self.last2[lanes] * 51197) >> 3) & (SLOTS2 - 1)) + lanes * SLOTS2
+        p1, c1 = self.pred1.take(h1).astype(np.int64), self.conf1.take(h1).astype(np.int64)
+        p2, c2 = self.pred2.take(h2).astype(np.int64), self.conf2.take(h2).astype(np.int64)
         first = np.where(c2 > 0, p2, p1)
-        ctx, past = c2 * 8 + c1, self.past[lanes] * 2 + (p1 == p2)
-        a, b, w = self.by_conf[lanes, ctx], self.by_past[lanes, past], self.weight[lanes]
+        ctx, past = lanes * 64 + c2 * 8 + c1, lanes * 16 + self.past[lanes] * 2 + (p1 == p2)
+        a, b, w = self.by_conf.take(ctx), self.by_past.take(past), self.weight[lanes]
         p = np.clip((a * w + b * (256 - w)) >> 8, 32, 32736)
         hit = self._bit(lanes, p, None if self.reading else ids == first)
         goal = np.where(hit, 32768, 0)
         self.weight[lanes] = np.clip(w + np.where(np.abs(goal - a) < np.abs(goal - b), 2, -2), 16, 240)
-        self.by_conf[lanes, ctx], self.by_past[lanes, past] = a + ((goal - a) >> 5), b + ((goal - b) >> 5)
+        self.by_conf[ctx], self.by_past[past] = a + ((goal - a) >> 5), b + ((goal - b) >> 5)
         self.past[lanes] = (self.past[lanes] * 2 + hit) & 7
         out = first.copy() if self.reading else ids
         again = np.flatnonzero(~hit & (c2 > 0) & (c1 > 0) & (p1 != p2))
         rest = ~hit
         if len(again):
             own = lanes[again]
-            q = self.second[own, c1[again]]
+            at = own * 8 + c1[again]
+            q = self.second[at]
             met = self._bit(own, np.clip(q, 32, 32736), None if self.reading else ids[again] == p1[again])
-            self.second[own, c1[again]] = q + ((np.where(met, 32768, 0) - q) >> 5)
+            self.second[at] = q + ((np.where(met, 32768, 0) - q) >> 5)
             rest[again] = ~met
             if self.reading:
                 out[again] = p1[again]
@@ -142,9 +151,9 @@ class _Lanes:
                 out[left] = n1 << 12 | n2 << 8 | n3 << 4 | n4
         for pred, conf, h, was, c in ((self.pred1, self.conf1, h1, p1, c1), (self.pred2, self.conf2, h2, p2, c2)):
             same = was == out
-            pred[lanes, h] = np.where(c == 0, out, was)
-            conf[lanes, h] = np.where(c == 0, 1, np.where(same, np.minimum(c + 1, 7), c >> 1))
-        self.last2[lanes], self.last1[lanes] = self.last1[lanes], out
+            pred[h] = np.where(c == 0, out, was)
+            conf[h] = np.where(c == 0, 1, np.where(same, np.minimum(c + 1, 7), c >> 1))
+        self.last2[lanes], self.last1[lanes] = last1, out
         return out
 
     def codes(self) -> list[bytes]:
@@ -162,7 +171,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for at in range(0, len(blocks), LANES):
         some = blocks[at : at + LANES]
         sizes = np.array([len(b) for b in some])
-        grid = np.zeros((max([0, *sizes]), len(some)), np.int64)
+        grid = np.zeros((max([0, *sizes]), len(some)), np.int32)
         for i, b in enumerate(some):
             grid[: len(b), i] = b
         coder, lanes = _Lanes(len(some)), np.arange(len(some))
@@ -179,7 +188,7 @@ def decode_blocks(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for at in range(0, len(codes), LANES):
         n = np.array(sizes[at : at + LANES])
         coder, lanes = _Lanes(len(n), codes[at : at + LANES]), np.arange(len(n))
-        grid = np.zeros((max([0, *n]), len(n)), np.int64)
+        grid = np.zeros((max([0, *n]), len(n)), np.int32)
         for t in range(len(grid)):
             live = lanes[n > t]
             grid[t, live] = coder.step(live, None)
@@ -220,7 +229,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> np.ndarray:
         if self.OTHER_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         # White space after something else always starts a new piece, so what lies between stands by itself.
         chunks = re.findall(r"[ \n]*[^ \n]+|[ \n]+", text)
         known = self.known
@@ -230,7 +239,7 @@ class Vocabulary:
                 missing = list(set(chunks))
             for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4").astype(np.int64)
+        return np.frombuffer(b"".join([known[c] for c in chunks]), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -256,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, size, starts, block
-            flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+            flat = np.concatenate(held) if held else np.zeros(0, np.uint32)
             n = -(-len(flat) // BLOCK) if last else len(flat) // BLOCK
             pieces = [flat[i * BLOCK : (i + 1) * BLOCK] for i in range(n)]
             inside: list[list] = [[] for _ in range(n + 1)]
@@ -269,7 +278,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(vocabulary(path).ids(t or ""), end)
+                ids = np.append(vocabulary(path).ids(t or ""), np.uint32(end))
                 starts.append((size, i, len(ids)))
                 held.append(ids)
                 size += len(ids)
