@@ -25,6 +25,8 @@ PAD = 200
 #: Rows that smoothing adds to each bucket, dealt to the classes by their shares; and the least ratio that counts.
 SMOOTHING = 20.0
 LEAST_RATIO = 1.2
+#: Intercept of a model without weights at most: what tells no texts apart scores below one half, and so rejects none.
+UNTRAINED = math.log(1 / 2)
 
 
 @dataclass(frozen=True)
@@ -90,18 +92,22 @@ def log_count_ratios(counts: DataFrame, n_toxic: int, n_other: int) -> DataFrame
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
-    """Fit on at most ``max_train`` labelled rows, none of them held out; labels of one class only give its smoothed share.
+    """Fit on the documents of at most ``max_train`` labelled ids that ``docs`` holds, none of them held out.
 
-    Several labels of an id count as toxic if one is; null ids and labels are passed over.
+    Where nothing can be fitted, all texts get one score below one half, so none is rejected: the smoothed share of
+    toxic rows for labels of class 0 only, and at most 1/3 for no labelled document, for labels of class 1 only and
+    for classes that no n-gram tells apart. Several labels of an id count as toxic if one is; null ids and labels are
+    passed over.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").where(~is_held_out(F.col("_id")))
-    chosen = known.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
+    present = known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")  # before the limit: labels of other documents take no place
+    chosen = present.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
     data = materialise(rows.select("label", "text"), "toxicity-sample")
     features = data.mapInArrow(_features, "label int, index array<int>, value array<float>")  # large: made anew for each use
     n = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
-    flat = ToxicityModel(np.zeros(1 << BITS, np.float32), math.log((n_toxic + 1) / (n_other + 1)))
+    flat = ToxicityModel(np.zeros(1 << BITS, np.float32), min(math.log((n_toxic + 1) / (n_other + 1)), UNTRAINED))
     if not n_toxic or not n_other:
         return flat
     counts = features.mapInArrow(_bucket_counts, "bucket long, toxic long, other long")
@@ -151,5 +157,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that a model trained on ``labels`` scores below ``threshold``, with their columns."""
+    """The documents that a model trained on ``labels`` scores below ``threshold``, with their columns; all if none can be trained."""
     return score_toxicity(docs, train(docs, labels)).where(F.col("toxicity_score") < threshold).drop("toxicity_score")

@@ -161,3 +161,30 @@ def test_toxicity(spark):
     one_class = toxicity.train(docs, truth.where("toxic = 0"))
     assert one_class.score("zorgblat") < 0.5
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_without_evidence(spark):
+    """No label, only held-out ones, only toxic ones, or classes that nothing tells apart: no document goes."""
+    docs = spark.createDataFrame([(i, f"plain words of document {i}") for i in range(40)], "doc_id long, text string")
+    ids = docs.withColumn("held_out", toxicity.is_held_out(F.col("doc_id")))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    held = ids.where("held_out").select("doc_id", F.lit(1).alias("toxic"))
+    toxic = ids.where("NOT held_out").select("doc_id", F.lit(1).alias("toxic"))
+    alike = docs.select("doc_id", F.lit("the same text").alias("text"))
+    both = toxic.withColumn("toxic", (F.col("doc_id") > 3).cast("int"))
+    for texts, labels in ((docs, none), (docs, held), (docs, toxic), (alike, both)):
+        scores = {r.toxicity_score for r in toxicity.score_toxicity(texts, toxicity.train(texts, labels)).collect()}
+        assert len(scores) == 1 and scores.pop() < 0.5
+        assert toxicity.drop_toxic(texts, labels).count() == 40
+
+
+def test_toxicity_labels_of_other_documents_take_no_place(spark):
+    """The bounded sample is taken among the labels that have documents, however many others there are."""
+    rows = [(i, "zorgblat quxvile flomcrit " * 8 if i % 2 else "plain gentle words " * 8) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    others = spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    model = toxicity.train(docs, own.unionByName(others), max_train=100)
+    assert model.score(rows[0][1]) < 0.5 < model.score(rows[1][1])
+    want = toxicity.train(docs, own, max_train=100)
+    assert (model.weights == want.weights).all() and model.intercept == want.intercept
