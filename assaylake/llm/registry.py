@@ -44,8 +44,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that the tokenizer's file gives by default: the string of an added token in a text is that token."""
     small_batches(spark)
-    return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

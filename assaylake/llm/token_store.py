@@ -214,21 +214,27 @@ def unpack(block: bytes) -> tuple[bytes, int, list[tuple[int | None, int]]]:
 
 
 class Vocabulary:
-    """The library's ids of whole texts. Words come again and again, so their ids are remembered."""
+    """The library's ids of whole texts. Words come again and again, so their ids are remembered.
 
-    #: White space other than blank and newline: texts that hold it are encoded in one piece.
+    With ``added_tokens`` the string of an added token (such as <|endoftext|>) gives that token, as the library does
+    by default; without, it is ordinary text.
+    """
+
+    #: White space other than blank and newline: texts that hold it, or an added token's string, are encoded in one piece.
     OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 200_000, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not added_tokens:
+            self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
 
     def ids(self, text: str) -> np.ndarray:
-        if self.OTHER_SPACE.search(text):
+        if self.OTHER_SPACE.search(text) or any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         # White space after something else always starts a new piece, so what lies between stands by itself.
         chunks = re.findall(r"[ \n]*[^ \n]+|[ \n]+", text)
@@ -243,19 +249,20 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, added_tokens: bool = False) -> Vocabulary:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Vocabulary(path)
+    return Vocabulary(path, added_tokens=added_tokens)
 
 
-def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end: int = END) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", end: int = END, added_tokens: bool = False) -> DataFrame:
     """The files' blocks (part, block, n_tokens, data) of all documents in ascending id, ``end`` after each.
 
     A part is a range of ids, written in order by one task that gathers LANES blocks at most.
     Whole texts; null counts as empty; a null id comes first; repeated rows come each; no rows
     give no blocks; other columns are not read. Store ``data`` anywhere: a block decodes by itself.
+    ``added_tokens``: see ``Vocabulary``.
     """
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -278,7 +285,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(vocabulary(path).ids(t or ""), np.uint32(end))
+                ids = np.append(vocabulary(path, added_tokens).ids(t or ""), np.uint32(end))
                 starts.append((size, i, len(ids)))
                 held.append(ids)
                 size += len(ids)
@@ -335,9 +342,9 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, added_tokens: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from files written to the shared folder and read back."""
-    blocks = materialise(write_tokens(docs, path), "token-blocks")
+    blocks = materialise(write_tokens(docs, path, added_tokens=added_tokens), "token-blocks")
     sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("part", F.coalesce(before, F.lit(0)).alias("offset"))

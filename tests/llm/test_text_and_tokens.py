@@ -93,6 +93,26 @@ def test_token_files(spark, odd_docs, no_docs):
     assert token_store.token_digests(no_docs, path).count() == 0
 
 
+def test_token_files_of_the_query(spark, odd_docs, tmp_path):
+    """The query's ids are those of an untouched tokenizer, also where a text holds an added token's string."""
+    from tokenizers import Tokenizer
+
+    from assaylake.llm.registry import QUERIES
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c\n", "<|endoftext|>", "<|endoftext|><|endoftext|> \tx", "<|endof text|> d", "plain  words\n"]
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id not in (1, None)]
+    rows += [(20 + i, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start, want = 0, []
+    for i, x in sorted((i, x or "") for i, x in rows):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert t.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
+    assert sorted(tuple(r) for r in QUERIES["op6_token_ids"](spark, str(tmp_path)).collect()) == want
+
+
 def test_pieces(spark, odd_docs, no_docs):
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
