@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -171,6 +173,63 @@ def perplexity(df: DataFrame, key: str, seq: str, matrix: DataFrame) -> DataFram
     return at.join(matrix.select("pos", "letter", "freq"), ["pos", "letter"]).groupBy(key).agg(F.exp(-F.avg(F.ln("freq"))).alias("perplexity"))
 
 
+def log_odds(matrix: DataFrame, motif: str, alphabet: int, pseudocount: float = 1.0) -> dict[object, tuple[np.ndarray, np.ndarray]]:
+    """By motif the sorted code points of its letters, and for each position their log2 odds over a uniform alphabet.
+
+    ``matrix`` is a ``pspm`` by ``motif``. A position's pseudocount is dealt evenly to the alphabet, so letters that it
+    has not seen have a finite score: that of the last column. Collected: a row for each motif, position and letter.
+    """
+    cells: dict[object, dict[int, dict[int, int]]] = {}
+    for r in matrix.select(motif, "pos", "letter", "n").collect():
+        cells.setdefault(r[0], {}).setdefault(r["pos"], {})[ord(r["letter"])] = r["n"]
+    made = {}
+    for name, positions in cells.items():
+        letters = np.array(sorted({c for seen in positions.values() for c in seen}), np.uint32)
+        n = np.array([[positions[pos].get(int(c), 0) for c in letters] + [0] for pos in sorted(positions)], float)
+        made[name] = letters, np.log2((n * alphabet + pseudocount) / (n.sum(axis=1, keepdims=True) + pseudocount))
+    return made
+
+
+def best_window(text: str, letters: np.ndarray, scores: np.ndarray) -> tuple[int, float] | None:
+    """Start (from 1) and score of the window that fits best, the first of equal ones; None for shorter texts."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    n = len(codes) - len(scores) + 1
+    if n < 1:
+        return None
+    at = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    at[letters[at] != codes] = len(letters)
+    total = np.zeros(n)
+    for offset, row in enumerate(scores):
+        total += row[at[offset : offset + n]]
+    best = int(total.argmax())
+    return best + 1, float(total[best])
+
+
+def motif_scan(df: DataFrame, key: str, seq: str, matrix: DataFrame, motif: str, alphabet: int = 20, least: float = 0.8) -> DataFrame:
+    """(key, motif, start, score): the best window of each whole sequence for each motif, at ``least`` of the motif's best score or above.
+
+    ``matrix`` is a ``pspm`` by ``motif`` of equal-length members, named by strings; see ``log_odds``. All windows are scored; of equal
+    ones the first start is reported. Nulls and sequences shorter than a motif give no row for it.
+    """
+    held = df.sparkSession.sparkContext.broadcast(log_odds(matrix, motif, alphabet))  # as large as the matrix, whatever the input
+    schema = df.select(key, F.lit("").alias(motif), F.lit(0).alias("start"), F.lit(0.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least_of = {name: least * scores.max(axis=1).sum() - 1e-9 for name, (_, scores) in held.value.items()}
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for name, (letters, scores) in held.value.items() if text else ():
+                    found = best_window(text, letters, scores)
+                    if found and found[1] >= least_of[name]:
+                        rows.append((i, name, *found))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            types = (b.schema.field(0).type, pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, motif, "start", "score"])
+
+    return df.select(key, seq).mapInArrow(run, schema)
+
+
 def simpson_of_clusters(clusters: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
     """1 - sum of squared cluster shares, and 1 - clusters over sequences, by group."""
     sizes = clusters.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"))

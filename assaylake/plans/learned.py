@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions.expressions import coverage_band
+from assaylake.llm.common import small_batches
 from assaylake.operators import alignment as A
 from assaylake.operators import folds as D
 from assaylake.operators import kmers as K
@@ -149,13 +150,11 @@ def kmer_sample_correlation(spark, d):
 
 @query()
 def motif_scan(spark, d):
-    """Where each part's brand best fits the position matrix of its size group, if at 80 % of the best score or above."""
-    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
-    m = K.pspm(p, "p_brand", ["p_size"]).withColumn("score", F.log2(F.col("freq") * 36))
-    best = m.groupBy("p_size", "pos").agg(F.max("score").alias("s")).groupBy("p_size").agg(F.sum("s").alias("best"))
-    at = p.select("p_partkey", "p_size", F.posexplode(F.split("p_brand", "")).alias("pos", "letter")).where("letter <> ''").withColumn("pos", F.col("pos") + 1)
-    got = at.join(m, ["p_size", "pos", "letter"]).groupBy("p_partkey", "p_size").agg(F.sum("score").alias("score")).join(best, "p_size")
-    return got.where("score >= 0.8 * best").select("p_partkey", F.lit(1).alias("start"), "score")
+    """Where each document best fits the position matrix of each language's first eight letters, if at 80 % of the best score or above."""
+    small_batches(spark)
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("family"), K.as_sequence(F.col("text")).alias("sequence"))
+    heads = docs.where(F.length("sequence") >= 8).select("family", F.substring("sequence", 1, 8).alias("head"))
+    return K.motif_scan(docs, "doc_id", "sequence", K.pspm(heads, "head", ["family"]), "family", alphabet=36)
 
 
 @query()

@@ -156,3 +156,33 @@ def test_joins_keep_nulls(spark, contigs):
     empty = contigs.limit(0)
     assert metrics.coverage_metrics_behera(empty, ["tool"], [0.9], 7).count() == 0
     assert sets.set_combinations(empty, "hits", "tool").count() == 0
+
+
+def test_motif_scan(spark):
+    """Motifs planted at later starts are found, and all results are those of scoring every window by hand."""
+    members = {"f": ["MKVLAC", "MKVLSC", "MRVLAC", "MKILAC"], "g": ["WWPHYQ", "WWPHFQ"]}
+    family = spark.createDataFrame([(f, m) for f, ms in members.items() for m in ms], "family string, head string")
+    filler = "DEGNTD" * 200
+    rows = [(1, "MKVLAC" + filler), (2, filler[:7] + "MKVLAC" + filler), (3, filler[:1001] + "MRVLAC" + filler[:50] + "WWPHYQ"), (4, filler), (5, filler + "MKVLAC"), (6, "GMKVLACGMKVLAC"), (7, "MKVLA"), (8, ""), (9, None), (10, "ÄMKVLACé"), (11, "D" * 40 + "MKVLDC")]
+    df = spark.createDataFrame(rows, "id int, s string")
+    want = {}
+    for f, ms in members.items():
+        odds = lambda pos, letter: math.log2((20 * sum(m[pos] == letter for m in ms) + 1) / (len(ms) + 1))  # noqa: B023, E731
+        top = sum(max(odds(pos, m[pos]) for m in ms) for pos in range(6))
+        for i, text in rows:
+            windows = [(sum(odds(pos, text[at + pos]) for pos in range(6)), -at - 1) for at in range(len(text or "") - 5)]
+            if windows and max(windows)[0] >= 0.8 * top:
+                want[i, f] = -max(windows)[1], pytest.approx(max(windows)[0])
+    got = {(r.id, r.family): (r.start, r.score) for r in kmers.motif_scan(df, "id", "s", kmers.pspm(family, "head", ["family"]), "family").collect()}
+    assert got == want
+    assert {k: v[0] for k, v in got.items()} == {(1, "f"): 1, (2, "f"): 8, (3, "f"): 1002, (3, "g"): 1058, (5, "f"): 1201, (6, "f"): 2, (10, "f"): 2}
+    assert kmers.motif_scan(df, "id", "s", kmers.pspm(family.limit(0), "head", ["family"]), "family").count() == 0
+
+
+def test_motif_scan_query_reads_whole_documents(spark, tmp_path):
+    from assaylake.plans.registry import QUERIES
+
+    rows = [(i, "en", "Lead word then other things") for i in range(30)] + [(50, "de", "unlike " * 300 + "Lead word"), (51, None, None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.start for r in QUERIES["motif_scan"](spark, str(tmp_path)).where("family = 'en'").collect()}
+    assert got == {**{i: 1 for i in range(30)}, 50: 1801}
