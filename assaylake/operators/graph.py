@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +9,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, else one in the warehouse, which all see too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lineage-cuts"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it again.
 
-    The files survive lost executors and go when the driver's file system closes. What steps
-    before this one shuffled is of no more use: a collection lets Spark's cleaner remove it.
+    The files survive lost executors and go when the driver's file system closes. What steps before this one shuffled
+    goes when Spark's cleaner runs (``spark.cleaner.periodicGC.interval``).
     """
     spark = df.sparkSession
-    gc.collect()
-    spark._jvm.System.gc()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

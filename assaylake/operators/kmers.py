@@ -17,8 +17,8 @@ PIECE = 512
 
 
 def _cut(text: Column, k: int) -> Column:
-    """All substrings of length k of a text that has as many letters at least."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+    """All substrings of length k of a text that has as many letters at least: one walk of a pattern that looks ahead from each letter."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?![\\x{DC00}-\\x{DFFF}])(?=(.{%d}))" % k), F.lit(1))
 
 
 def _pieces(seq: Column, k: int) -> Column:
@@ -28,15 +28,20 @@ def _pieces(seq: Column, k: int) -> Column:
 
 
 def kmers(df: DataFrame, ids: Sequence[str], seq: str, ks: Sequence[int], distinct: bool = False) -> DataFrame:
-    """(ids, k, kmer): all overlapping substrings; sequences shorter than k give none. ``distinct``: each once for a row."""
+    """(ids, k, kmer): all overlapping substrings; sequences shorter than k give none. ``distinct``: each once for a row.
+
+    A letter becomes a row, so sequences, or else their pieces, are dealt out evenly first: neither a long sequence nor a
+    large file holds up a task, and what is shuffled for it is a small part of the k-mers.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = None
     for k in ks:
         long_enough = df.select(*ids, seq).where(F.length(seq) >= k)
         if distinct:
             words = F.array_distinct(F.flatten(F.transform(_pieces(F.col(seq), k), lambda piece: _cut(piece, k))))  # noqa: B023
-            made = long_enough.select(*ids, F.lit(k).alias("k"), F.explode(words).alias("kmer"))
+            made = long_enough.repartition(parts).select(*ids, F.lit(k).alias("k"), F.explode(words).alias("kmer"))
         else:
-            cut = long_enough.select(*ids, F.explode(_pieces(F.col(seq), k)).alias("_piece"))
+            cut = long_enough.select(*ids, F.explode(_pieces(F.col(seq), k)).alias("_piece")).repartition(parts)
             made = cut.select(*ids, F.lit(k).alias("k"), F.explode(_cut(F.col("_piece"), k)).alias("kmer"))
         out = made if out is None else out.unionByName(made)
     return out

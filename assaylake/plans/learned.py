@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.functions.expressions import coverage_band
-from assaylake.llm.common import small_batches
 from assaylake.operators import alignment as A
 from assaylake.operators import folds as D
 from assaylake.operators import kmers as K
@@ -151,7 +150,6 @@ def kmer_sample_correlation(spark, d):
 @query()
 def motif_scan(spark, d):
     """Where each document best fits the position matrix of each language's first eight letters, if at 80 % of the best score or above."""
-    small_batches(spark)
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("family"), K.as_sequence(F.col("text")).alias("sequence"))
     heads = docs.where(F.length("sequence") >= 8).select("family", F.substring("sequence", 1, 8).alias("head"))
     return K.motif_scan(docs, "doc_id", "sequence", K.pspm(heads, "head", ["family"]), "family", alphabet=36)
