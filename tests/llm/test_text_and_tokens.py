@@ -10,35 +10,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from assaylake.llm import html_text, piece_codec, token_counts, token_store, toxicity
-
-
-@pytest.mark.parametrize(
-    ("html", "text"),
-    [
-        (None, ""),
-        ("", ""),
-        ("<p>One<p>Two <b>bold</b><br>line", "One\n\nTwo bold\nline"),
-        ("<title>t</title><script>x</script><style>y</style><p hidden>n</p><div style='Display : None'>n</div>a<!-- c -->b", "ab"),
-        ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>e", "- a\n- b\n  3. c\n  4. d\n\ne"),
-        ("<table><tr><td>k<td>long value<tr><th>key2<td>v</table>", "k     long value\nkey2  v"),
-        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide one<td>z</table>", "a         b\n          c\nwide one     z"),
-        ("<div>a</div><div>b</div><h1>T</h1>c", "a\nb\n\nT\n\nc"),
-        ("<pre> x\n  y</pre>&amp;&lt;", " x\n  y\n\n&<"),
-        ("<details><summary>s</summary>gone</details><q>w</q>", 's\n"w"'),
-        ("a <![foo[ x > b </p> <unknown>c", None),
-        ("<td>loose</td></table></ul><li>x", None),
-        ("<div>" * 3000 + "deep", "deep"),
-    ],
-)
-def test_html(html, text):
-    got = html_text.html_to_text(html)
-    assert text is None or got == text
-
-
-def test_html_column(spark, no_docs):
-    pages = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old")], "page_id int, html string, text string")
-    assert [r.text for r in html_text.extract_text(pages).orderBy("page_id").collect()] == ["a", ""]
+from assaylake.llm import piece_codec, token_counts, token_store, toxicity
 
 
 def test_token_counts(spark, odd_docs, no_docs):
