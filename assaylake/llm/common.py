@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaylake.operators.graph import components, materialise
 
-__all__ = ["ascii_lower", "components", "materialise", "small_batches", "table", "unit_hash"]
+__all__ = ["ascii_lower", "col", "components", "materialise", "packed", "parts_of", "small", "table", "unit_hash", "with_fields"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -16,9 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Texts can be long: keep the Arrow batches that go to Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name}`")
+
+
+def packed(docs: DataFrame, without: Iterable[str] = (), **columns: Column) -> DataFrame:
+    """The rows as one struct ``row``, without the columns named, beside what is computed from them: no name can clash."""
+    kept = [c for c in docs.columns if c not in set(without)]
+    whole = F.struct(*[col(c) for c in kept]) if kept else F.struct()
+    return docs.select(whole.alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def with_fields(docs: DataFrame, **fields: str) -> T.StructType:
+    """The schema of ``docs`` with fields of these names and types behind."""
+    return T.StructType([*docs.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]])
+
+
+def parts_of(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, two at least."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows: texts can be long, and what is made of them is held a slice at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def ascii_lower(text: Column) -> Column:

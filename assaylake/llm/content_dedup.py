@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -13,16 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, col, materialise, packed, parts_of, small
 
-ROW = "_dedup_row"
-NORM = "_dedup_norm"
 #: Leading characters that splitters hold.
 HEAD = 48
 
 
-def _sorted(docs: DataFrame, text: str, doc_id: str, keep: str, carry: list[str]) -> DataFrame:
-    """Rows range-partitioned and sorted by normalised text; of equals the one to keep comes last.
+def _sorted(docs: DataFrame, text: str, doc_id: str, keep: str, whole: bool) -> DataFrame:
+    """(id, norm), with ``row`` if ``whole``: rows range-partitioned and sorted by normalised text; of equals the one to keep comes last.
 
     Splitters are sampled from the first characters, a digest and the id, so that what the driver
     sees of a sample is small however long the texts are, and a text that fills a third of all
@@ -30,62 +29,73 @@ def _sorted(docs: DataFrame, text: str, doc_id: str, keep: str, carry: list[str]
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    order = F.col("_dedup_id").asc_nulls_first() if keep == "max" else F.col("_dedup_id").desc_nulls_first()
-    rows = docs.select(F.col(doc_id).alias("_dedup_id"), ascii_lower(F.coalesce(text, F.lit(""))).alias(NORM), *carry)
-    rows = rows.withColumns({"_dedup_head": F.substring(NORM, 1, HEAD), "_dedup_md5": F.unhex(F.md5(NORM))})
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, "_dedup_head", "_dedup_md5", order)
-    return dealt.sortWithinPartitions("_dedup_head", "_dedup_md5", NORM, order).drop("_dedup_head", "_dedup_md5")
+    norm = ascii_lower(F.coalesce(col(text), F.lit("")))
+    columns = {"id": col(doc_id).cast("long"), "norm": norm}
+    rows = packed(docs, **columns) if whole else docs.select(*[c.alias(n) for n, c in columns.items()])
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "md5": F.unhex(F.md5("norm"))})
+    order = F.col("id").asc_nulls_first() if keep == "max" else F.col("id").desc_nulls_first()
+    dealt = rows.repartitionByRange(parts_of(docs), "head", "md5", order)
+    return dealt.sortWithinPartitions("head", "md5", "norm", order).drop("head", "md5")
 
 
-def _run_starts(texts: pa.Array, before: str | None) -> list[bool]:
+def _run_starts(texts: pa.Array, before: str | None) -> np.ndarray:
     """Whether each text differs, compared in full, from the one before it."""
-    first = [before is None or texts[0].as_py() != before]
-    return first if len(texts) == 1 else first + pc.not_equal(texts[1:], texts[:-1]).to_pylist()
+    first = np.array([before is None or texts[0].as_py() != before])
+    return first if len(texts) == 1 else np.concatenate([first, pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)])
 
 
 def _label_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: its run in this partition, the run's keeper and size; text only at the partition's ends.
 
-    Holds ids and one digest for each run, never texts, of the run at hand.
+    Holds the ids of the run at hand and one text of it.
     """
-    pid, run, before = TaskContext.get().partitionId(), -1, None
-    ids: list = []
-    sha = ""
-    types = {"doc_id": pa.int64(), "sha": pa.string(), "pid": pa.int32(), "run": pa.int64(), "keep": pa.int64(), "size": pa.int64(), "last": pa.bool_(), "edge": pa.string()}
-
-    def out(edge: str | None) -> pa.RecordBatch:
-        n = len(ids)
-        cols = [ids, [sha] * n, [pid] * n, [run] * n, [ids[-1]] * n, [n] * n, [False] * (n - 1) + [True], [None] * (n - 1) + [edge]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types.values(), strict=True)], names=list(types))
-
-    done: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+    pid, first, text, ids = TaskContext.get().partitionId(), 0, None, []
+
+    def out(ids: pa.Array, starts: np.ndarray, texts: list[str], last: bool) -> pa.RecordBatch:
+        """The rows of whole runs, which start at ``starts`` of ``ids`` and number from ``first``."""
+        sizes = np.diff(np.append(starts, len(ids)))
+        ends, run = starts + sizes - 1, np.repeat(np.arange(len(sizes)), sizes)
+        is_last = np.zeros(len(ids), bool)
+        is_last[ends] = True
+        edges = {0} if first == 0 else set()
+        edges |= {len(sizes) - 1} if last else set()
+        edge = pa.array([texts[i] if i in edges else None for i in range(len(sizes))], pa.string())
+        at_end = pa.array(np.where(is_last, run, -1), mask=~is_last)
+        sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
+        cols = [ids, sha.take(pa.array(run)), pa.array(np.full(len(ids), pid, np.int32)), pa.array(first + run), ids.take(pa.array(ends[run])), pa.array(sizes[run]), pa.array(is_last), edge.take(at_end)]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "sha", "pid", "run", "keep", "size", "last", "edge"])
+
+    for batch in small(batches, 2000):
+        own, texts = batch.column("id"), batch.column("norm")
+        starts = np.flatnonzero(_run_starts(texts, text))
+        if not len(starts):
+            ids.append(own)
             continue
-        texts, new = batch.column(NORM), batch.column("_dedup_id").to_pylist()
-        for i, starts in enumerate(_run_starts(texts, before)):
-            if starts:
-                if ids:
-                    done.append(out(before if run == 0 else None))
-                    if len(done) >= 2000:
-                        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-                        done = []
-                before, ids, run = texts[i].as_py(), [], run + 1
-                sha = hashlib.sha256(before.encode()).hexdigest()
-            ids.append(new[i])
-    if ids:
-        done.append(out(before))
-    if done:
-        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if text is None:
+            done, at, heads = own[: starts[-1]], starts[:-1], texts.take(pa.array(starts[:-1])).to_pylist()
+        else:
+            done = pa.concat_arrays([*ids, own[: starts[-1]]])
+            at, heads = np.append(0, starts[:-1] + len(done) - starts[-1]), [text, *texts.take(pa.array(starts[:-1])).to_pylist()]
+        if len(done):
+            yield out(done, at, heads, False)
+            first += len(at)
+        text, ids = texts[int(starts[-1])].as_py(), [own[starts[-1] :]]
+    if text is not None:
+        yield out(pa.concat_arrays(ids), np.zeros(1, np.int64), [text], True)
 
 
 def _stitch(runs: DataFrame) -> DataFrame:
-    """Join up the runs that cross partitions: at most two rows for each partition are compared, in full, in order."""
-    w = Window.orderBy("pid", "run")
+    """Join up the runs that cross partitions: neighbours are compared in full, two texts at a time.
+
+    Windows see at most two rows for each partition, and no texts.
+    """
     ends = runs.where("edge IS NOT NULL").select("pid", "run", "keep", "size", "edge")
-    groups = ends.withColumn("new", F.coalesce((F.col("edge") != F.lag("edge").over(w)).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(w))
+    order = Window.orderBy("pid", "run")
+    placed = ends.join(ends.select("pid", "run").withColumn("at", F.row_number().over(order)), ["pid", "run"])
+    before = placed.select((F.col("at") + 1).alias("at"), F.col("edge").alias("before"))
+    flags = placed.join(before, "at", "left").select("pid", "run", "keep", "size", F.coalesce((F.col("edge") != F.col("before")).cast("int"), F.lit(1)).alias("new"))
     g = Window.partitionBy("g").orderBy("pid", "run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    groups = flags.withColumn("g", F.sum("new").over(order))
     return groups.select("pid", "run", F.last("keep").over(g).alias("g_keep"), F.sum("size").over(g).alias("g_size"), (F.last("pid").over(g) == F.col("pid")).alias("g_last"))
 
 
@@ -97,12 +107,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     has no other. Repeated rows count each, and exactly one row of a group is kept. No rows give
     no rows; other columns, whatever their names, are not read.
     """
-    runs = materialise(
-        _sorted(docs.select(F.col(doc_id).cast("long").alias(doc_id), text), text, doc_id, keep, []).mapInArrow(
-            _label_runs, "doc_id long, sha string, pid int, run long, keep long, size long, last boolean, edge string"
-        ),
-        "content-runs",
-    )
+    labelled = _sorted(docs, text, doc_id, keep, False).mapInArrow(_label_runs, "doc_id long, sha string, pid int, run long, keep long, size long, last boolean, edge string")
+    runs = materialise(labelled, "content-runs")
     joined = runs.drop("edge").join(F.broadcast(_stitch(runs)), ["pid", "run"], "left")  # two rows a partition at most
     return joined.select(
         "doc_id",
@@ -114,21 +120,19 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "min") -> DataFrame:
-    """The kept rows with all their columns; the rules are those of ``exact_duplicates``."""
-    packed = docs.select(doc_id, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
-    schema = T.StructType([*packed.select(ROW).schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("edge", T.StringType())])
+    """The kept rows with all their columns, whatever their names; the rules are those of ``exact_duplicates``."""
+    rows = _sorted(docs, text, doc_id, keep, True).select("row", "norm")
+    schema = T.StructType([rows.schema["row"], T.StructField("pid", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("edge", T.StringType())])
 
     def last_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, run, held, before = TaskContext.get().partitionId(), -1, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts, rows = batch.column(NORM), batch.column(ROW)
+        for batch in small(batches):
+            texts, rows = batch.column("norm"), batch.column("row")
             starts = _run_starts(texts, before)
             ends = [i - 1 for i, s in enumerate(starts) if s and i]  # rows after which another run starts
             if starts[0] and held is not None:
                 yield pa.RecordBatch.from_arrays([held, pa.array([pid], pa.int32()), pa.array([run], pa.int64()), pa.array([before if run == 0 else None], pa.string())], names=schema.names)
-            run += starts[0]
+            run += int(starts[0])
             if ends:
                 edges = [texts[ends[0]].as_py() if run == 0 else None] + [None] * (len(ends) - 1)
                 yield pa.RecordBatch.from_arrays([rows.take(pa.array(ends)), pa.array([pid] * len(ends), pa.int32()), pa.array(range(run, run + len(ends)), pa.int64()), pa.array(edges, pa.string())], names=schema.names)
@@ -137,6 +141,6 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
         if held is not None:
             yield pa.RecordBatch.from_arrays([held, pa.array([pid], pa.int32()), pa.array([run], pa.int64()), pa.array([before], pa.string())], names=schema.names)
 
-    runs = materialise(_sorted(packed, text, doc_id, keep, [ROW]).mapInArrow(last_of_runs, schema), "content-kept")
+    runs = materialise(rows.mapInArrow(last_of_runs, schema), "content-kept")
     goes_on = _stitch(runs.select("pid", "run", F.lit(0).alias("keep"), F.lit(0).alias("size"), "edge")).where("NOT g_last").select("pid", "run")
-    return runs.join(F.broadcast(goes_on), ["pid", "run"], "left_anti").select(f"{ROW}.*")
+    return runs.join(F.broadcast(goes_on), ["pid", "run"], "left_anti").select("row.*")

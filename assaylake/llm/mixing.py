@@ -7,11 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import col, materialise, packed, unit_hash
 
-#: Sources whose rates may be broadcast; with more of them the rates are joined on salted keys.
-MAX_BROADCAST_SOURCES = 10_000
-SALTS = 64
+ADDED = ("copy", "copies", "mix_key")
 
 
 def source_rates(docs: DataFrame, source: str = "source", weights: Mapping[str, float] | None = None, temperature: float = 0.5, total: float | None = None) -> DataFrame:
@@ -20,7 +18,7 @@ def source_rates(docs: DataFrame, source: str = "source", weights: Mapping[str,
     Weights are those given (a source without one gets no copies) or n_docs ** temperature, both
     scaled to sum to one; rate = weight * total / n_docs, total being the number of documents unless given.
     """
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = docs.groupBy(col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
         raw = F.pow(F.col("n_docs").cast("double"), F.lit(float(temperature)))
     else:
@@ -33,17 +31,21 @@ def source_rates(docs: DataFrame, source: str = "source", weights: Mapping[str,
     return shared.select("source", "n_docs", weight.alias("weight"), (weight * goal / F.col("n_docs")).alias("rate"))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The array P(X <= 0), P(X <= 1), ... as far as doubles tell it from one; in logarithms, so that large rates work."""
+def poisson_draw(rate: Column, u: Column) -> Column:
+    """The Poisson distribution of mean ``rate`` inverted at ``u``: how many of P(X <= 0), P(X <= 1), ... do not exceed it.
+
+    Walks as far as doubles tell the sum from one, which is about as far as the copies that the row gets; in logarithms,
+    so that large rates work.
+    """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cum"), F.array(F.exp(-rate)).alias("cdf"))
+    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("cum"), (F.exp(-rate) <= u).cast("int").alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         logp = acc["logp"] + F.ln(rate) - F.ln(k.cast("double"))
         cum = acc["cum"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), cum.alias("cum"), F.concat(acc["cdf"], F.array(cum)).alias("cdf"))
+        return F.struct(logp.alias("logp"), cum.alias("cum"), (acc["n"] + (cum <= u).cast("int")).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["cdf"]))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["n"])).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, temperature: float = 0.5, total: float | None = None, seed: str = "mix") -> DataFrame:
@@ -52,19 +54,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     The draw inverts the Poisson distribution of the source's rate at a hash of seed and id, so it
     does not depend on partitioning. Adds copy (from 0), copies (the draw) and mix_key, by which rows
     are globally sorted. A null source is a source of its own; a null id draws as the empty string; repeated rows
-    draw alike; an empty table gives an empty table; input columns stay, but for those of the three added names.
+    draw alike; an empty table gives an empty table; input columns stay whatever their names, but for those of the
+    three added names. The table of rates is written first, so Spark knows its size: it is broadcast where that is
+    within the session's bound, else joined by shuffles, whose hot sources Spark splits.
     """
-    docs = docs.drop("copy", "copies", "mix_key")
-    rates = source_rates(docs, source, weights, temperature, total).select(F.col("source").alias("_src"), poisson_cdf(F.col("rate")).alias("_cdf"))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    rows = docs.withColumn("_u", unit_hash(seed, key))
-    if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("_src")))
-    else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_slot", F.floor(F.col("_u") * SALTS).cast("int"))
-        joined = rows.join(salted, (F.col("_slot") == F.col("_salt")) & F.col(source).eqNullSafe(F.col("_src"))).drop("_slot", "_salt")
-    drawn = joined.withColumn("copies", F.coalesce(F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))), F.lit(0))).where("_cdf IS NOT NULL AND copies > 0")
-    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    keyed = copied.withColumn("mix_key", unit_hash(f"{seed}-order", key, F.col("copy")))
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], "copy", "copies", "mix_key").orderBy("mix_key", doc_id, "copy")
+    key = F.coalesce(col(doc_id).cast("string"), F.lit(""))
+    rows = packed(docs, ADDED, key=key, id=col(doc_id), source=col(source), u=unit_hash(seed, key))
+    rates = materialise(source_rates(docs, source, weights, temperature, total).select(F.col("source").alias("src"), "rate"), "source-rates")
+    drawn = rows.join(rates, F.col("source").eqNullSafe(F.col("src"))).withColumn("copies", poisson_draw(F.col("rate"), F.col("u"))).where("copies > 0")
+    copied = drawn.select("row", "key", "id", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    keyed = copied.withColumn("mix_key", unit_hash(f"{seed}-order", F.col("key"), F.col("copy")))
+    return keyed.orderBy("mix_key", "id", "copy").select("row.*", *ADDED)

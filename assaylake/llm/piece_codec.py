@@ -11,7 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import col, small, with_fields
 
 SPACE = "▁"
 #: Chunks of which a worker remembers the ids.
@@ -100,10 +101,10 @@ class PieceCodec:
                 source += [at] * len(piece)
             spaced = strip and (new.endswith(b" ") if new else spaced)
             at += n
-        while strip and out.endswith(mark):
+        while strip and out.endswith(mark):  # what is left out at the end belongs to no piece
+            at = source[-len(mark)]
             del out[-len(mark) :], source[-len(mark) :]
-            at = source[-1] + 1 if not source else at
-        return bytes(out), np.array([*source, len(raw)], np.int64)
+        return bytes(out), np.array([*source, at], np.int64)
 
     def ids(self, text: str, norm: bytes) -> np.ndarray:
         """The ids of the normalised text, without begin and end."""
@@ -147,14 +148,14 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with piece_ids, piece_starts and piece_ends: ids with begin and end, and the original byte span of each.
 
     Whole texts, exactly the library's ids; null counts as empty (begin and end only). Input columns
-    of these names are replaced; no rows give no rows.
+    of these names are replaced, others stay whatever their names; repeated rows give a row each; no rows give no rows.
     """
     added = ["piece_ids", "piece_starts", "piece_ends"]
     kept = docs.drop(*added)
-    schema = kept.select("*", *[F.lit(None).cast("array<bigint>").alias(c) for c in added]).schema
+    schema = with_fields(kept, **dict.fromkeys(added, "array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [codec(path).encode(t or "") for t in b.column(text).to_pylist()]
             new = [pa.array([list(map(int, x)) for x in col], pa.list_(pa.int64())) for col in ([i for i, _ in rows], [s[:, 0] for _, s in rows], [s[:, 1] for _, s in rows])]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
@@ -163,12 +164,12 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
-    """``encoded`` with decoded, the text that the library makes of the ids; null ids give the empty text."""
+    """``encoded`` with decoded, the text that the library makes of the ids; null ids give the empty text; other columns stay."""
     kept = encoded.drop("decoded")
-    schema = kept.withColumn("decoded", F.lit("")).schema
+    schema = with_fields(kept, decoded="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = pa.array([codec(path).sp.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "decoded"])
 
@@ -184,7 +185,7 @@ def piece_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for t in b.column(1).to_pylist():
                 ids, spans = c.encode(t or "")
@@ -192,4 +193,4 @@ def piece_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str =
             n, i, d, s = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string()), pa.array(s, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, token_store, toxicity, vector_search
-from .common import small_batches, table
+from .common import table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url and the visible text of every page."""
-    small_batches(spark)
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
 
 
@@ -24,7 +23,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Every document scored by a model that learns from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
@@ -32,41 +31,39 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Every document without the windows of 50 words that also start in a document of smaller id, as digests."""
     return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each length in tokens that occurs, with the answers for the context limit of that length."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("text")
     return token_counts.length_table(token_counts.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids that the tokenizer's file gives by default: the string of an added token in a text is that token."""
-    small_batches(spark)
     return token_store.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Every document's fingerprint of three-word shingles, and the smallest doc_id of its links."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """The 20 nearest of all other vectors for every twentieth id."""
     return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Digests of the piece ids and of the decoded text of every document."""
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """The group of equal texts of every document; the largest doc_id of each stays."""
     return content_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
@@ -79,7 +76,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         rates AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
         terms AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-                  FROM rates, range(0, 400) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
+                  FROM rates, range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1) AS t(k)),
         drawn AS (SELECT *, ('0x' || md5('mix-' || doc_id)[1:13])::BIGINT / 4503599627370496.0 AS u FROM documents),
         copied AS (SELECT d.*, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.cdf <= d.u)::INT AS copies FROM drawn d)
         SELECT doc_id, text, lang, source, n_chars, c::INT AS copy, copies,

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import col, components, materialise, packed, parts_of, small
 
 SEGMENTS, WIDTH = 8, 8  # 64 bits as a ring of eight bytes
 MAX_BITS = 3
@@ -41,11 +41,11 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wo
     """(doc_id, fp): a signed 64-bit fingerprint for each row; a null or blank text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def ring_keys(fps: np.ndarray) -> np.ndarray:
@@ -122,8 +122,8 @@ def near_links(fps: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
     """(u, v): links between distinct fingerprints of at most three differing bits.
 
     Not every pair, but for each key a forest with the same connected fingerprints, so a large
-    group gives as many links as it has members. Keys of more than ``block`` members are cut into
-    parts and compared part against part, in tasks of bounded size.
+    group gives as many links as it has members. Keys of more than ``block`` members are cut by a
+    fifth segment that agrees, and what is still larger is compared part against part, in tasks of bounded size.
     """
     distinct = fps.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp")).distinct()
 
@@ -136,13 +136,21 @@ def near_links(fps: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
     keys = materialise(distinct.mapInArrow(run, "key long, fp long"), "ring-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     shared = keys.join(sizes, "key")
+    # Four segments agree; of the other four, with three bits between them, one agrees as well, by which large keys are cut.
+    start, skipped = F.floor(F.shiftright("key", 32) / 3), F.shiftright("key", 32) % 3 + 2
+    byte = lambda i: F.call_function("shiftright", F.col("fp"), (F.lit(56) - (start + i) % SEGMENTS * 8).cast("int")).bitwiseAND(F.lit(255))
+    cuts = F.transform(F.array(skipped, F.lit(5), F.lit(6), F.lit(7)), lambda i: (i * 256 + byte(i).cast("long")).cast("int"))
+    large = materialise(shared.where(F.col("n") > block).select("key", F.explode(cuts).alias("cut"), "fp"), "large-ring-keys")
+    cut_sizes = large.groupBy("key", "cut").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    whole = shared.where(F.col("n") <= block).select("key", F.lit(0).alias("cut"), "fp", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own)
     code = F.transform(others, lambda j: F.least(own, j).cast("long") * blocks + F.greatest(own, j))
-    parted = shared.select("key", "fp", F.explode(F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(code)).alias("part"))
-    parts = max(2, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = parted.select("key", "part", "fp").repartition(parts, "key", "part").sortWithinPartitions("key", "part")
+    parted = whole.unionByName(large.join(cut_sizes, ["key", "cut"]).select("key", "cut", "fp", "n"))
+    part = F.explode(F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(code))
+    parted = parted.select("key", "cut", "fp", part.alias("part")).select("key", (F.col("part") * 2048 + F.col("cut")).alias("part"), "fp")
+    dealt = parted.repartition(parts_of(fps), "key", "part").sortWithinPartitions("key", "part")
     return dealt.mapInArrow(_links, "u long, v long")
 
 
@@ -162,6 +170,12 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component, that of the smallest id, with all its columns; ids are taken to be distinct."""
-    keep = simhash_components(docs, text, doc_id).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each component, that of the smallest id, with all its columns, whatever their names.
+
+    Ids name documents: rows that share the id that stays all stay. Rows with a null id take no part: they stay, and
+    make no other go. Null and blank texts link with one another; no rows give no rows.
+    """
+    named = docs.where(col(doc_id).isNotNull())
+    keep = simhash_components(named, text, doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rows = packed(named, id=col(doc_id).cast("long"))
+    return rows.join(keep, F.col("id") == F.col("kept"), "left_semi").select("row.*").unionByName(docs.where(col(doc_id).isNull()))

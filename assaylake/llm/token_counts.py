@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import col, materialise
 
 #: Lengths for each block of the suffix sums.
 BLOCK = 1024
@@ -36,7 +36,7 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text")
         encode = _encoding(path, pattern).encode_ordinary
         return pd.Series([0 if t is None else len(encode(t)) for t in texts], dtype="int64")
 
-    return docs.withColumn("n_tokens", n_tokens(text))
+    return docs.withColumn("n_tokens", n_tokens(col(text)))
 
 
 def length_table(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
@@ -45,7 +45,8 @@ def length_table(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
     docs_at_least and tokens_at_least (suffix sums of the histogram), truncated_total (tokens left
     when every document is cut to the limit), total_tokens, and quantile (share of documents that
     are no longer). Null lengths count as 0; an empty table gives no rows. The suffix sums run
-    within blocks of lengths and over block totals, so no task sees the whole histogram.
+    within blocks of ``BLOCK`` lengths and over block totals, so no task sees the whole histogram, and a task of many
+    lengths holds that many rows at most, whatever the corpus.
     """
     hist = lengths.groupBy(F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
     hist = materialise(hist, "length-histogram")  # else every use of it would encode the corpus again

@@ -13,7 +13,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, unit_hash
+from .common import col, materialise, packed, small, unit_hash, with_fields
 
 GRAMS = (4, 6, 8)
 BITS = 20
@@ -61,7 +61,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         pairs = [np.unique(hashed_grams(t), return_counts=True) for t in b.column("text").to_pylist()]
         index = pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32()))
         value = pa.array([(c / (c.sum() + PAD)).astype(np.float32) for _, c in pairs], pa.list_(pa.float32()))
@@ -99,10 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     for classes that no n-gram tells apart. Several labels of an id count as toxic if one is; null ids and labels are
     passed over.
     """
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").where(~is_held_out(F.col("_id")))
-    present = known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")  # before the limit: labels of other documents take no place
+    known = labels.select(col(doc_id).alias("_id"), col(label).alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").where(~is_held_out(F.col("_id")))
+    present = known.join(docs.select(col(doc_id).alias("_id")), "_id", "left_semi")  # before the limit: labels of other documents take no place
     chosen = present.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
+    rows = docs.select(col(doc_id).alias("_id"), F.coalesce(col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
     data = materialise(rows.select("label", "text"), "toxicity-sample")
     features = data.mapInArrow(_features, "label int, index array<int>, value array<float>")  # large: made anew for each use
     n = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     held = docs.sparkSession.sparkContext.broadcast((ratio, place))  # as large as the buckets, whatever the input
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             index, value, at = b.column("index").flatten().to_numpy(), b.column("value").flatten().to_numpy(), b.column("index").offsets.to_numpy()
             ratio, place = held.value
             kept = ratio[index] != 0
@@ -146,10 +146,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the buckets, whatever the input
     kept = docs.drop("toxicity_score")
-    schema = kept.withColumn("toxicity_score", F.lit(0.0)).schema
+    schema = with_fields(kept, toxicity_score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             scores = pa.array([held.value.score(t) for t in b.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "toxicity_score"])
 
@@ -157,5 +157,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that a model trained on ``labels`` scores below ``threshold``, with their columns; all if none can be trained."""
-    return score_toxicity(docs, train(docs, labels)).where(F.col("toxicity_score") < threshold).drop("toxicity_score")
+    """The documents that a model trained on ``labels`` scores below ``threshold``, with their columns; all if none can be trained.
+
+    Null texts are scored as empty ones; null ids are scored and not learned from; repeated rows stay or go alike; no
+    rows give no rows; columns of any name stay, also one named toxicity_score.
+    """
+    rows = packed(docs, text=col("text"))
+    return score_toxicity(rows, train(docs, labels)).where(F.col("toxicity_score") < threshold).select("row.*")

@@ -1,12 +1,9 @@
 import pytest
 
-from assaylake.llm.common import small_batches
-
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and long texts, repeated rows, and extra columns with names the operators use."""
-    small_batches(spark)
     long_text = " ".join(f"word{i}" for i in range(5000))
     rows = [
         (1, "Alpha beta gamma delta", "en", "a", "x", 1),

@@ -24,17 +24,28 @@ def test_mixing(spark):
 
 
 def test_poisson_draws(spark):
-    for rate in (0.3, 4.0, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first().c
-        k = min(len(cdf) - 1, int(rate))
-        want = sum(math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in range(k + 1))
-        assert math.isclose(cdf[k], want, rel_tol=1e-9) and cdf[-1] > 1 - 1e-9
+    us = [0.0, 1e-9, 0.1, 0.5, 0.9, 0.999999]
+    for rate in (0.0, 0.3, 4.0, 900.0):
+        got = [r.n for r in spark.createDataFrame([(u,) for u in us], "u double").select(mixing.poisson_draw(F.lit(rate), F.col("u")).alias("n")).collect()]
+        cum, terms = 0.0, []
+        for k in range(1200):
+            cum += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) if rate else 1.0
+            terms.append(cum)
+        assert got == [sum(c <= u for c in terms) if rate else 0 for u in us]
 
 
-def test_many_sources_take_the_salted_way(spark, odd_docs, no_docs, monkeypatch):
+def test_mixing_with_large_rates(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    got = mixing.mix_sources(docs, total=60_000.0).groupBy("doc_id").count().collect()
+    assert len(got) == 3 and all(19_000 < r["count"] < 21_000 for r in got)
+
+
+def test_rates_beyond_the_broadcast_bound_give_the_same_rows(spark, odd_docs, no_docs):
     want = sorted(map(str, mixing.mix_sources(odd_docs).collect()))
-    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 1)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert sorted(map(str, mixing.mix_sources(odd_docs).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     assert mixing.mix_sources(no_docs).count() == 0
 
 
