@@ -4,29 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assaylake.llm import content_dedup, mixing, piece_codec, simhash, toxicity
-from assaylake.llm.common import materialise, small_batches, table
+from assaylake.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of these documents, scores 0.5 or more go."""
-    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one of the largest doc_id stays."""
-    small_batches(spark)
     return content_dedup.drop_exact_duplicates(docs, keep="max").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays, that of the smallest doc_id."""
-    small_batches(spark)
     return simhash.drop_near_duplicates(docs).select(COLUMNS)
 
 
@@ -37,7 +33,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids, decoded text and spans, a row for each copy."""
-    small_batches(spark)
     return piece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
