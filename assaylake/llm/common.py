@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from assaylake.operators.graph import components, materialise
 
-__all__ = ["ascii_lower", "col", "components", "materialise", "packed", "parts_of", "small", "table", "unit_hash", "with_fields"]
+__all__ = ["ascii_lower", "col", "components", "materialise", "packed", "parts_of", "small", "table", "unit_hash", "with_columns"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -32,9 +32,21 @@ def packed(docs: DataFrame, without: Iterable[str] = (), **columns: Column) -> D
     return docs.select(whole.alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
-def with_fields(docs: DataFrame, **fields: str) -> T.StructType:
-    """The schema of ``docs`` with fields of these names and types behind."""
-    return T.StructType([*docs.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]])
+def with_columns(docs: DataFrame, source: str, make: Callable[[pa.Array], list[pa.Array]], **fields: str) -> DataFrame:
+    """``docs`` with columns of these names and types, made of slices of column ``source`` in Python workers; they replace input columns of these names.
+
+    Inside, columns go by number, so no name can clash.
+    """
+    column = docs.select(col(source).alias("source"), "*")
+    kept = [c for c in docs.columns if c not in fields]
+    plain = column.toDF("source", *[f"c{i}" for i in range(len(docs.columns))]).select("source", *[f"c{i}" for i, c in enumerate(docs.columns) if c not in fields])
+    schema = T.StructType([*plain.schema.fields[1:], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *make(b.column(0))], names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*kept, *fields)
 
 
 def parts_of(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, small, with_fields
+from .common import col, small, with_columns
 
 SPACE = "▁"
 #: Chunks of which a worker remembers the ids.
@@ -150,30 +150,22 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     Whole texts, exactly the library's ids; null counts as empty (begin and end only). Input columns
     of these names are replaced, others stay whatever their names; repeated rows give a row each; no rows give no rows.
     """
-    added = ["piece_ids", "piece_starts", "piece_ends"]
-    kept = docs.drop(*added)
-    schema = with_fields(kept, **dict.fromkeys(added, "array<bigint>"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            rows = [codec(path).encode(t or "") for t in b.column(text).to_pylist()]
-            new = [pa.array([list(map(int, x)) for x in col], pa.list_(pa.int64())) for col in ([i for i, _ in rows], [s[:, 0] for _, s in rows], [s[:, 1] for _, s in rows])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
+    def encode(texts: pa.Array) -> list[pa.Array]:
+        rows = [codec(path).encode(t or "") for t in texts.to_pylist()]
+        columns = [i for i, _ in rows], [s[:, 0] for _, s in rows], [s[:, 1] for _, s in rows]
+        return [pa.array([x.astype(np.int64) for x in c], pa.list_(pa.int64())) for c in columns]
 
-    return kept.mapInArrow(run, schema)
+    return with_columns(docs, text, encode, **dict.fromkeys(("piece_ids", "piece_starts", "piece_ends"), "array<bigint>"))
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
     """``encoded`` with decoded, the text that the library makes of the ids; null ids give the empty text; other columns stay."""
-    kept = encoded.drop("decoded")
-    schema = with_fields(kept, decoded="string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            texts = pa.array([codec(path).sp.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, "decoded"])
+    def decode(rows: pa.Array) -> list[pa.Array]:
+        return [pa.array([codec(path).sp.decode(x or []) for x in rows.to_pylist()], pa.string())]
 
-    return kept.mapInArrow(run, schema)
+    return with_columns(encoded, ids, decode, decoded="string")
 
 
 def piece_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

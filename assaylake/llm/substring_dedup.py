@@ -1,15 +1,19 @@
-"""Substring dedup: suffix automata of reference shards, past which documents stream for matching statistics.
-
-To build every shard's automaton and stream every document past it would take the product of both. So
-shards are keyed by anchors: of every window of words one run of a third of its length, chosen by its
-hash, is an anchor, and two equal windows have the same one. Only the surroundings of anchors that
-occur in several documents become references, each distinct one once, with its smallest document;
-an anchor's references form a shard. Anchors only route; which windows are equal the automata say.
+"""Substring dedup: broadcast suffix automata of reference shards, past which documents stream for matching statistics.
+
+A document need not meet all automata. Of every window of words one run of a third of its length,
+chosen by its hash, is an anchor, and equal windows have equal anchors. So anchors route: only the
+surroundings of anchors that occur in several documents become references, each distinct one once,
+from its smallest document; a shard holds the references of a share of the anchors, and of a document
+the parts around a shard's anchors stream past that shard's automaton. Which windows are equal, and
+whether an earlier document has them, the automata say. Shards are of bounded size and are broadcast
+in waves of bounded size, so neither the driver nor a task holds more however large the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from assaylake.operators.graph import shared_dir
+
+from .common import col, materialise, packed, parts_of, small
 
 WINDOW = 50
-#: References of one shard; larger shards are split by longer common parts, and in the end hold one window each.
-SHARD = 256
+#: References of one anchor; anchors of more are split by longer common parts, and in the end stand for one window each.
+SHARD = 2048
+#: Words of the references of one shard on average, shards of a wave, and bytes of automata that are broadcast at once.
+SHARD_WORDS, WAVE_SHARDS, WAVE_BYTES = 200_000, 12, 64 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)] * 2
@@ -72,17 +80,19 @@ class SuffixAutomaton:
     """All word sequences of its references, each with the smallest document; references come in order of document."""
 
     def __init__(self):
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.doc = [-1], [0], [None]
+        self.words: dict[bytes, int] = {}
+        self.docs: list[int] = []
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length, self.doc = [-1], [0], [0]
 
-    def _state(self, nexts: dict[bytes, int], link: int, length: int, doc: int) -> int:
+    def _state(self, nexts: dict[int, int], link: int, length: int, doc: int) -> int:
         self.next.append(nexts)
         self.link.append(link)
         self.length.append(length)
         self.doc.append(doc)
         return len(self.link) - 1
 
-    def _split(self, p: int, q: int, w: bytes) -> int:
+    def _split(self, p: int, q: int, w: int) -> int:
         """A state for what is shared of q's sequences, which ends them at p's."""
         clone = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.doc[q])
         while p >= 0 and self.next[p].get(w) == q:
@@ -92,13 +102,16 @@ class SuffixAutomaton:
         return clone
 
     def add(self, words: list[bytes], doc: int) -> None:
-        last = 0
-        for w in words:
+        if not self.docs or self.docs[-1] != doc:
+            self.docs.append(doc)
+        own, last, known = len(self.docs) - 1, 0, self.words
+        for word in words:
+            w = known.setdefault(word, len(known))
             p, q = last, self.next[last].get(w)
             if q is not None:  # another reference has gone this way
                 last = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
                 continue
-            last = self._state({}, 0, self.length[p] + 1, doc)
+            last = self._state({}, 0, self.length[p] + 1, own)
             while p >= 0 and w not in self.next[p]:
                 self.next[p][w] = last
                 p = self.link[p]
@@ -106,21 +119,66 @@ class SuffixAutomaton:
                 q = self.next[p][w]
                 self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
 
-    def first_documents(self, words: list[bytes], window: int) -> list[int | None]:
-        """Matching statistics cut at the window: for each window of ``words`` the smallest document that has it."""
-        found, v, n = [], 0, 0
-        for i, w in enumerate(words):
-            while v and w not in self.next[v]:
-                v = self.link[v]
-                n = self.length[v]
-            if w in self.next[v]:
-                v, n = self.next[v][w], n + 1
-            while v and self.length[self.link[v]] >= window:
-                v = self.link[v]
-                n = self.length[v]
-            if i + 1 >= window:
-                found.append(self.doc[v] if n >= window else None)
-        return found
+    def pack(self) -> bytes:
+        """The automaton as flat arrays: of each state one way on, the ways beyond it, the link, the length, the document; the words."""
+        one = [next(iter(n.items()), (0xFFFFFFFF, 0)) for n in self.next]
+        more = [(v, w, t) for v, n in enumerate(self.next) if len(n) > 1 for w, t in list(n.items())[1:]]
+        link = self.link.copy()
+        link[0] = 0
+        arrays = [np.array(x, t).ravel().tobytes() for x, t in ((self.docs, "<i8"), (one, "<u4"), (more, "<u4"), (link, "<u4"), (self.length, "<u4"), (self.doc, "<u4"))]
+        parts = [*arrays, b" ".join(self.words)]
+        return struct.pack("<7Q", *map(len, parts)) + b"".join(parts)
+
+
+class Matcher:
+    """A packed automaton, past which sequences of words stream. The arrays stay where they are."""
+
+    def __init__(self, blob: bytes):
+        parts, at = [], 56
+        for n in struct.unpack_from("<7Q", blob):
+            parts.append(memoryview(blob)[at : at + n])
+            at += n
+        self.docs = parts[0].cast("q")
+        one, more, self.link, self.length, self.doc = (p.cast("I") for p in parts[1:6])
+        self.word, self.to = one[::2], one[1::2]
+        flat = np.frombuffer(more, "<u4").reshape(-1, 3)
+        words = bytes(parts[6]).split(b" ") if parts[6] else []
+        self.n_words, self.words = len(words), {w: i for i, w in enumerate(words)}
+        self.more = dict(zip((flat[:, 0].astype(np.int64) * len(words) + flat[:, 1]).tolist(), flat[:, 2].tolist(), strict=True))
+
+    def spans(self, words: list[bytes], window: int, doc: int) -> list[tuple[int, int]]:
+        """Maximal spans of ``words`` whose windows are all in documents before ``doc``.
+
+        Reads them off the matching statistics: at each word how long a sequence that ends there is in the automaton.
+        """
+        word, to, more, link, length, n_words = self.word, self.to, self.more, self.link, self.length, self.n_words
+        found: list[tuple[int, int]] = []
+        v = n = 0
+        start = end = -1
+        for i, w in enumerate(map(self.words.get, words)):
+            if w is None:
+                v = n = 0
+                continue
+            while True:
+                t = to[v] if word[v] == w else more.get(v * n_words + w, 0)
+                if t:
+                    v, n = t, n + 1
+                    break
+                if not v:
+                    break
+                v = link[v]
+                n = length[v]
+            if n >= window:
+                while length[link[v]] >= window:
+                    v = link[v]
+                    n = length[v]
+                if self.docs[self.doc[v]] < doc:
+                    if i - window + 1 > end:
+                        if end >= 0:
+                            found.append((start, end))
+                        start = i - window + 1
+                    end = i + 1
+        return [*found, (start, end)] if end >= 0 else found
 
 
 def _digest(off: int, ctx: bytes) -> bytes:
@@ -145,26 +203,11 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _first_of_shard(shard: list[tuple], window: int) -> Iterator[tuple]:
-    """(cid, start, end, doc): runs of window starts, in words before the anchor, whose smallest document is doc."""
-    auto = SuffixAutomaton()
-    split = [(doc, cid, ctx.encode().split(b" "), off) for cid, ctx, off, doc in sorted(shard, key=lambda r: r[3])]
-    for doc, _, words, _ in split:
-        auto.add(words, doc)
-    for _, cid, words, off in split:
-        docs = auto.first_documents(words, window)
-        at = 0
-        for i in range(1, len(docs) + 1):
-            if i == len(docs) or docs[i] != docs[at]:
-                yield cid, at - off, i - 1 - off, docs[at]
-                at = i
-
-
 def _routes(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, n_words, sha, anchors) of each row; th tells apart texts that share an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             n, sha, hashes, places = [], [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
@@ -185,7 +228,7 @@ def _occurrences(shared: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "pos", "key", "lo", "hi", "cid"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for b in batches:
+        for b in small(batches):
             for i, th, text, places in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")], strict=True):
                 words, wanted = words_of(text), set(places)
                 joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
@@ -206,7 +249,7 @@ def _references(owners: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cid", "key", "ctx", "off", "first", "large"]
         types = [pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
-        for b in batches:
+        for b in small(batches):
             for i, text, cuts in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "cuts")], strict=True):
                 words = words_of(text)
                 rows = [(c["cid"], c["key"], b" ".join(words[c["pos"] - c["hi"] : c["pos"] - c["lo"] + window]).decode(), c["hi"], i, c["large"]) for c in cuts]
@@ -223,7 +266,7 @@ def _refine(large: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["parent", "cid", "key", "lo", "hi", "ctx", "off", "first"]
         types = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64()]
-        for b in batches:
+        for b in small(batches):
             rows = []
             for cid, lo, hi, ctx, off, first in zip(*[b.column(c).to_pylist() for c in ("cid", "lo", "hi", "ctx", "off", "first")], strict=True):
                 mid = (lo + hi) // 2
@@ -235,30 +278,101 @@ def _refine(large: DataFrame, window: int) -> DataFrame:
     return large.mapInArrow(run, "parent binary, cid binary, key long, lo int, hi int, ctx string, off int, first long")
 
 
-def _firsts(small: DataFrame, window: int) -> DataFrame:
-    """Every shard's automaton built, and its references streamed past it."""
+def _automata(references: DataFrame) -> DataFrame:
+    """(shard, wave, n_bytes, automaton) from (shard, ctx, first): each shard is read in order of document, by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["cid", "start", "end", "first"], [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-        shard, at = [], None
-        for b in batches:
-            out = []
-            for key, cid, ctx, off, first in zip(*[b.column(c).to_pylist() for c in ("key", "cid", "ctx", "off", "first")], strict=True):
-                if key != at:
-                    out += _first_of_shard(shard, window)
-                    shard, at = [], key
-                shard.append((cid, ctx, off, first))
-            yield _batch(out, names, types)
-        yield _batch(list(_first_of_shard(shard, window)), names, types)
-
-    parts = max(2, int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = small.select("key", "cid", "ctx", "off", "first").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "cid binary, start int, end int, first long")
+        at, auto = None, None
+
+        def made() -> pa.RecordBatch:
+            blob = auto.pack()
+            return _batch([(at, at // WAVE_SHARDS, len(blob), blob)], ["shard", "wave", "n_bytes", "automaton"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()])
+
+        for b in small(batches):
+            for shard, ctx, first in zip(*[b.column(c).to_pylist() for c in ("shard", "ctx", "first")], strict=True):
+                if shard != at:
+                    if auto:
+                        yield made()
+                    at, auto = shard, SuffixAutomaton()
+                auto.add(ctx.encode().split(b" "), first)
+        if auto:
+            yield made()
+
+    dealt = references.repartition(parts_of(references), "shard").sortWithinPartitions("shard", "first", "ctx")
+    return dealt.mapInArrow(run, "shard int, wave int, n_bytes long, automaton binary")
+
+
+def _regions(routed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(wave, shard, doc_id, th, at, part): what of each document streams past each shard, from (doc_id, th, pos, lo, hi, shard)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["wave", "shard", "doc_id", "th", "at", "part"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        for b in small(batches):
+            for i, th, text, places in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")], strict=True):
+                words, rows, held = words_of(text), [], None
+                for shard, start, end in [*sorted((p["shard"], p["pos"] - p["hi"], p["pos"] - p["lo"] + window) for p in places), (-1, 0, 0)]:
+                    if held and held[0] == shard and start <= held[2] - window + 1:
+                        held[2] = max(held[2], end)
+                        continue
+                    if held:
+                        rows.append((held[0] // WAVE_SHARDS, held[0], i, th, held[1], b" ".join(words[held[1] : held[2]]).decode()))
+                    held = [shard, start, end]
+                yield _batch(rows, names, types)
+
+    places = routed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("shard", "pos", "lo", "hi")).alias("places"))  # of one document
+    texts = shared.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"])
+    return texts.join(places, ["doc_id", "th"]).mapInArrow(run, "wave int, shard int, doc_id long, th long, at int, part string")
+
+
+def _streamed(regions: DataFrame, automata: dict[int, bytes], window: int) -> DataFrame:
+    """(doc_id, th, start, end): the words of regions that earlier documents have, by the automata of their shards, which are broadcast."""
+    held = regions.sparkSession.sparkContext.broadcast(automata)  # WAVE_BYTES at most, or one shard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, matcher = None, None
+        for b in small(batches, 1000):
+            rows = []
+            for shard, i, th, start, part in zip(*[b.column(c).to_pylist() for c in ("shard", "doc_id", "th", "at", "part")], strict=True):
+                if shard != at:
+                    at, matcher = shard, Matcher(held.value[shard])
+                rows += [(i, th, start + a, start + e) for a, e in matcher.spans(part.encode().split(b" "), window, i)]
+            yield _batch(rows, ["doc_id", "th", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+    return regions.sortWithinPartitions("shard").mapInArrow(run, "doc_id long, th long, start int, end int")
+
+
+def _waves(automata: DataFrame) -> Iterator[tuple[int, list[int]]]:
+    """(wave, shards): shards of a wave whose automata are within ``WAVE_BYTES`` together; known are sizes, a number for each shard."""
+    sizes = automata.select("wave", "shard", "n_bytes").orderBy("wave", "shard").collect()
+    wave, shards, n = None, [], 0
+    for r in sizes:
+        if shards and (r["wave"] != wave or n + r["n_bytes"] > WAVE_BYTES):
+            yield wave, shards
+            shards, n = [], 0
+        wave, n = r["wave"], n + r["n_bytes"]
+        shards.append(r["shard"])
+    if shards:
+        yield wave, shards
+
+
+def _matched(references: DataFrame, routed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """(doc_id, th, start, end) of all documents: a wave of automata at a time is built, broadcast, and streamed past."""
+    spark = shared.sparkSession
+    automata = materialise(_automata(references), "automata", by="wave")
+    regions = materialise(_regions(routed, shared, window), "regions", by="wave")
+    path = f"{shared_dir(spark)}/matched-{uuid.uuid4().hex}"
+    schema = "doc_id long, th long, start int, end int"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for wave, shards in _waves(automata):
+        some = automata.where((F.col("wave") == wave) & F.col("shard").isin(shards)).select("shard", "automaton")
+        blobs = {r["shard"]: bytes(r["automaton"]) for r in some.toLocalIterator()}
+        _streamed(regions.where((F.col("wave") == wave) & F.col("shard").isin(shards)).drop("wave"), blobs, window).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The routes of all rows, the texts that share an anchor with others, and the word spans to remove from them."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"), F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("th"))
     routes = materialise(_routes(rows, window), "routes")
     each = routes.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("h"), F.col("a.places").alias("pos"))
     several = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
@@ -267,14 +381,12 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
     shared = materialise(rows.join(materialise(places, "shared-anchors"), "doc_id"), "sharing-texts")
     found = materialise(_occurrences(shared, window), "occurrences")
 
-    owner = F.min(F.struct("doc_id", "th", "pos", "lo", "hi")).alias("o")
-    each = found.groupBy("key", "cid").agg(owner)
-    shards = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    each = materialise(each.join(shards, "key").select("key", "cid", "n", "o.*"), "reference-places")
-    # A shard of one reference needs no search: all its windows are first where the reference is.
-    alone = each.where("n = 1").select("cid", (-F.col("hi")).alias("start"), (-F.col("lo")).alias("end"), F.col("doc_id").alias("first"))
-    cut = materialise(_references(each.where("n > 1").withColumn("large", F.col("n") > SHARD).drop("n"), shared, window), "references")
-    spans = [alone, _firsts(cut.where("NOT large"), window)]
+    owners = materialise(found.groupBy("key", "cid").agg(F.min(F.struct("doc_id", "th", "pos", "lo", "hi")).alias("o")).select("key", "cid", "o.*"), "reference-places")
+    large = owners.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("key")
+    large = materialise(large, "large-keys")
+    cut = materialise(_references(owners.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), shared, window), "references")
+    references = cut.where("NOT large").select("key", "ctx", "first")
+    routed = found.join(large, "key", "left_anti").select("doc_id", "th", "pos", "lo", "hi", "key")
     level = cut.where("large").select("cid", F.lit(0).alias("lo"), F.lit(window - window // 3).alias("hi"), "ctx", "off", "first")
     roots = None  # (root, cid): references and the parts that they were cut into
     while not level.isEmpty():
@@ -283,16 +395,17 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
         roots = parents.withColumnRenamed("parent", "root") if roots is None else parents.join(roots.withColumnRenamed("cid", "parent"), "parent").select("root", "cid").distinct()
         roots = materialise(roots, "reference-parts")
         parts = materialise(halves.groupBy("key", "lo", "hi", "cid", "ctx", "off").agg(F.min("first").alias("first")), "parts")
-        large = materialise(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("key"), "large-shards")
-        firsts = _firsts(parts.join(large, "key", "left_anti"), window)
-        spans.append(firsts.join(roots, "cid").select(F.col("root").alias("cid"), "start", "end", "first"))
-        level = parts.join(large, "key", "left_semi").drop("key")
-    firsts = spans[0]
-    for more in spans[1:]:
-        firsts = firsts.unionByName(more)
-    hit = found.select("doc_id", "th", "pos", "cid").join(firsts, "cid").where(F.col("first") < F.col("doc_id"))
-    span = F.struct((F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end") + window).alias("end"))
-    return routes, shared, hit.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans"))  # of one document
+        still = materialise(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("key"), "large-shards")
+        leaves = parts.join(still, "key", "left_anti")
+        references = references.unionByName(leaves.select("key", "ctx", "first"))
+        to = roots.join(leaves.select("key", "lo", "hi", "cid"), "cid").select(F.col("root").alias("cid"), F.col("key").alias("part_key"), F.col("lo").alias("part_lo"), F.col("hi").alias("part_hi"))
+        narrow = F.greatest("lo", "part_lo").alias("lo"), F.least("hi", "part_hi").alias("hi")
+        routed = routed.unionByName(found.join(to, "cid").select("doc_id", "th", "pos", *narrow, F.col("part_key").alias("key")))
+        level = parts.join(still, "key", "left_semi").drop("key")
+    n_words = owners.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
+    shard = F.pmod("key", F.lit(-(-n_words // SHARD_WORDS) or 1)).cast("int").alias("shard")
+    spans = _matched(references.select(shard, "ctx", "first"), routed.select("doc_id", "th", "pos", "lo", "hi", shard), shared, window)
+    return routes, shared, spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
 
 
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
@@ -304,7 +417,7 @@ def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
 
 def _cut(shared: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for i, th, text, cuts in zip(*[b.column(c).to_pylist() for c in ("doc_id", "th", "text", "spans")], strict=True):
                 words = words_of(text)
@@ -321,12 +434,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Words are runs without ASCII white space; a text that loses words is joined anew by single
     spaces, others stay as they are. Windows are judged on the input. Rows with a null id neither
     lose words nor count as earlier; nulls stay null; rows that share an id are not earlier than
-    one another; no rows give no rows.
+    one another; no rows give no rows; other columns stay, whatever their names.
     """
     _, shared, spans = _plan(docs, text, doc_id, window)
-    cut = materialise(_cut(shared, spans), "cut-texts").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
-    on = (F.col(doc_id) == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_th"))
-    return docs.join(cut, on, "left").withColumn(text, F.coalesce("_kept", text)).select(docs.columns)
+    cut = _cut(shared, spans).select("doc_id", "th", F.col("kept").alias("new"))
+    rows = packed(docs, id=col(doc_id).cast("long"), hash=F.xxhash64(F.coalesce(col(text), F.lit(""))))
+    joined = rows.join(cut, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
+    old = lambda c: F.col(f"row.`{c}`")
+    return joined.select(*[(F.coalesce("new", old(c)) if c == text else old(c)).alias(c) for c in docs.columns])
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:

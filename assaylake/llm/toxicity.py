@@ -13,7 +13,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, packed, small, unit_hash, with_fields
+from .common import col, materialise, packed, small, unit_hash, with_columns
 
 GRAMS = (4, 6, 8)
 BITS = 20
@@ -145,15 +145,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     Repeated rows score alike; no rows give no rows; an input column of that name is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # as large as the buckets, whatever the input
-    kept = docs.drop("toxicity_score")
-    schema = with_fields(kept, toxicity_score="double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            scores = pa.array([held.value.score(t) for t in b.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "toxicity_score"])
+    def score(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([held.value.score(t) for t in texts.to_pylist()], pa.float64())]
 
-    return kept.mapInArrow(run, schema)
+    return with_columns(docs, text, score, toxicity_score="double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -61,7 +61,9 @@ def removed_by_force(rows, window):
 
 
 def test_substring_dedup(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD", 15)  # so that shards are split
+    monkeypatch.setattr(substring_dedup, "SHARD", 15)  # so that large keys are split
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 150)  # and there are many shards, waves and parts of waves
+    monkeypatch.setattr(substring_dedup, "WAVE_BYTES", 20_000)
     rnd = random.Random(3)
     passages = [[f"p{k}_{j}" for j in range(n)] for k, n in enumerate((14, 12, 30))]
     rows = []
@@ -93,15 +95,22 @@ def test_substring_dedup_odd(odd_docs, no_docs):
 
 def test_automaton_against_scan():
     rnd = random.Random(5)
-    refs = [[rnd.choice([b"a", b"b"]) for _ in range(rnd.randrange(1, 30))] for _ in range(12)]
-    auto = substring_dedup.SuffixAutomaton()
-    for i, r in enumerate(refs):
-        auto.add(r, i)
-    for _ in range(50):
-        q = [rnd.choice([b"a", b"b", b"c"]) for _ in range(25)]
-        for n in (1, 3, 6):
-            want = [next((i for i, r in enumerate(refs) if any(r[j : j + n] == q[p : p + n] for j in range(len(r)))), None) for p in range(len(q) - n + 1)]
-            assert auto.first_documents(q, n) == want
+    for _ in range(20):
+        refs = [[rnd.choice([b"a", b"b"]) for _ in range(rnd.randrange(1, 30))] for _ in range(rnd.randrange(1, 12))]
+        auto = substring_dedup.SuffixAutomaton()
+        for i, r in enumerate(refs):
+            auto.add(r, 10 * i)
+        matcher = substring_dedup.Matcher(auto.pack())
+        for _ in range(30):
+            q = [rnd.choice([b"a", b"b", b"c"]) for _ in range(25)]
+            for n in (1, 3, 6):
+                for doc in (0, 35, 1000):
+                    hit = [any(10 * i < doc and r[j : j + n] == q[p : p + n] for i, r in enumerate(refs) for j in range(len(r))) for p in range(len(q) - n + 1)]
+                    want = {x for p, h in enumerate(hit) if h for x in range(p, p + n)}
+                    got = matcher.spans(q, n, doc)
+                    assert {x for a, e in got for x in range(a, e)} == want
+                    assert all(e < a for (_, e), (a, _) in zip(got, got[1:], strict=False)) or n > 1
+    assert substring_dedup.Matcher(substring_dedup.SuffixAutomaton().pack()).spans([b"a"], 1, 5) == []
 
 
 def components_by_force(ids, fps):
