@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Shuffle files go with the query that wrote them.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, else one in the warehouse, which all see too."""
@@ -16,12 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it again.
 
-    The files survive lost executors and go when the driver's file system closes. What steps before this one shuffled
-    goes when Spark's cleaner runs (``spark.cleaner.periodicGC.interval``).
+    The files survive lost executors and go when the driver's file system closes. What was shuffled for them is of no
+    more use and goes as soon as they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    was = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, was)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
