@@ -11,6 +11,7 @@ in waves of bounded size, so neither the driver nor a task holds more however la
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 import uuid
@@ -19,6 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ WINDOW = 50
 #: References of one anchor; anchors of more are split by longer common parts, and in the end stand for one window each.
 SHARD = 2048
 #: Words of the references of one shard on average, shards of a wave, and bytes of automata that are broadcast at once.
-SHARD_WORDS, WAVE_SHARDS, WAVE_BYTES = 200_000, 12, 64 << 20
+SHARD_WORDS, WAVE_SHARDS, WAVE_BYTES = 200_000, 64, 64 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)] * 2
@@ -77,26 +80,33 @@ def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 class SuffixAutomaton:
-    """All word sequences of its references, each with the smallest document; references come in order of document."""
+    """All word sequences of its references, each with the smallest document; references come in order of document.
+
+    Nearly all states have one way on, kept in lists; only the ways beyond it are dictionaries.
+    """
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
         self.docs: list[int] = []
-        self.next: list[dict[int, int]] = [{}]
+        self.word, self.to, self.more = [-1], [0], {}
         self.link, self.length, self.doc = [-1], [0], [0]
 
-    def _state(self, nexts: dict[int, int], link: int, length: int, doc: int) -> int:
-        self.next.append(nexts)
-        self.link.append(link)
-        self.length.append(length)
-        self.doc.append(doc)
-        return len(self.link) - 1
-
     def _split(self, p: int, q: int, w: int) -> int:
         """A state for what is shared of q's sequences, which ends them at p's."""
-        clone = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1, self.doc[q])
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        word, to, more, clone = self.word, self.to, self.more, len(self.word)
+        for column, value in ((word, word[q]), (to, to[q]), (self.link, self.link[q]), (self.length, self.length[p] + 1), (self.doc, self.doc[q])):
+            column.append(value)
+        if q in more:
+            more[clone] = dict(more[q])
+        while p >= 0:
+            if word[p] == w:
+                if to[p] != q:
+                    break
+                to[p] = clone
+            elif p in more and more[p].get(w) == q:
+                more[p][w] = clone
+            else:
+                break
             p = self.link[p]
         self.link[q] = clone
         return clone
@@ -104,47 +114,59 @@ class SuffixAutomaton:
     def add(self, words: list[bytes], doc: int) -> None:
         if not self.docs or self.docs[-1] != doc:
             self.docs.append(doc)
-        own, last, known = len(self.docs) - 1, 0, self.words
-        for word in words:
-            w = known.setdefault(word, len(known))
-            p, q = last, self.next[last].get(w)
+        word, to, more, link, length, docs, known, own, last = self.word, self.to, self.more, self.link, self.length, self.doc, self.words, len(self.docs) - 1, 0
+        for x in words:
+            w = known.get(x)
+            if w is None:
+                w = known[x] = len(known)
+            p, q = last, to[last] if word[last] == w else more[last].get(w) if last in more else None
             if q is not None:  # another reference has gone this way
-                last = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
+                last = q if length[q] == length[p] + 1 else self._split(p, q, w)
                 continue
-            last = self._state({}, 0, self.length[p] + 1, own)
-            while p >= 0 and w not in self.next[p]:
-                self.next[p][w] = last
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][w]
-                self.link[last] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
+            last = len(word)
+            word.append(-1)
+            to.append(0)
+            link.append(0)
+            length.append(length[p] + 1)
+            docs.append(own)
+            while p >= 0:
+                if word[p] < 0:
+                    word[p], to[p] = w, last
+                elif word[p] == w:
+                    q = to[p]
+                elif p not in more:
+                    more[p] = {w: last}
+                elif (q := more[p].get(w)) is None:
+                    more[p][w] = last
+                if q is not None:
+                    link[last] = q if length[q] == length[p] + 1 else self._split(p, q, w)
+                    break
+                p = link[p]
 
     def pack(self) -> bytes:
-        """The automaton as flat arrays: of each state one way on, the ways beyond it, the link, the length, the document; the words."""
-        one = [next(iter(n.items()), (0xFFFFFFFF, 0)) for n in self.next]
-        more = [(v, w, t) for v, n in enumerate(self.next) if len(n) > 1 for w, t in list(n.items())[1:]]
-        link = self.link.copy()
-        link[0] = 0
-        arrays = [np.array(x, t).ravel().tobytes() for x, t in ((self.docs, "<i8"), (one, "<u4"), (more, "<u4"), (link, "<u4"), (self.length, "<u4"), (self.doc, "<u4"))]
-        parts = [*arrays, b" ".join(self.words)]
-        return struct.pack("<7Q", *map(len, parts)) + b"".join(parts)
+        """The automaton as flat arrays, compressed. Ways mostly lead to the next state, so they are kept as steps."""
+        more = np.array([(v, w, t) for v, ways in self.more.items() for w, t in ways.items()], np.int64).reshape(-1, 3)
+        step = np.array(self.to, np.int64) - np.arange(len(self.to))
+        arrays = self.word, step, more[:, 0], more[:, 1], more[:, 2], [0, *self.link[1:]], self.length, self.doc
+        parts = [np.array(self.docs, "<i8").tobytes(), *(np.asarray(x, np.int64).astype("<u4").tobytes() for x in arrays), b" ".join(self.words)]
+        return zstandard.compress(struct.pack("<10Q", *map(len, parts)) + b"".join(parts), 1)
 
 
 class Matcher:
-    """A packed automaton, past which sequences of words stream. The arrays stay where they are."""
+    """A packed automaton, past which sequences of words stream."""
 
-    def __init__(self, blob: bytes):
-        parts, at = [], 56
-        for n in struct.unpack_from("<7Q", blob):
+    def __init__(self, packed: bytes):
+        blob, parts, at = zstandard.decompress(packed), [], 80
+        for n in struct.unpack_from("<10Q", blob):
             parts.append(memoryview(blob)[at : at + n])
             at += n
         self.docs = parts[0].cast("q")
-        one, more, self.link, self.length, self.doc = (p.cast("I") for p in parts[1:6])
-        self.word, self.to = one[::2], one[1::2]
-        flat = np.frombuffer(more, "<u4").reshape(-1, 3)
-        words = bytes(parts[6]).split(b" ") if parts[6] else []
+        self.word, self.link, self.length, self.doc = (parts[i].cast("I") for i in (1, 6, 7, 8))
+        step, *more = (np.frombuffer(parts[i], "<u4") for i in (2, 3, 4, 5))
+        self.to = memoryview(step + np.arange(len(step), dtype="<u4"))
+        words = bytes(parts[9]).split(b" ") if parts[9] else []
         self.n_words, self.words = len(words), {w: i for i, w in enumerate(words)}
-        self.more = dict(zip((flat[:, 0].astype(np.int64) * len(words) + flat[:, 1]).tolist(), flat[:, 2].tolist(), strict=True))
+        self.more = dict(zip((more[0].astype(np.int64) * len(words) + more[1]).tolist(), more[2].tolist(), strict=True))
 
     def spans(self, words: list[bytes], window: int, doc: int) -> list[tuple[int, int]]:
         """Maximal spans of ``words`` whose windows are all in documents before ``doc``.
@@ -283,6 +305,7 @@ def _automata(references: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, auto = None, None
+        gc.disable()  # there are no cycles to find among so many states
 
         def made() -> pa.RecordBatch:
             blob = auto.pack()
@@ -297,6 +320,7 @@ def _automata(references: DataFrame) -> DataFrame:
                 auto.add(ctx.encode().split(b" "), first)
         if auto:
             yield made()
+        gc.enable()
 
     dealt = references.repartition(parts_of(references), "shard").sortWithinPartitions("shard", "first", "ctx")
     return dealt.mapInArrow(run, "shard int, wave int, n_bytes long, automaton binary")
@@ -324,9 +348,8 @@ def _regions(routed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     return texts.join(places, ["doc_id", "th"]).mapInArrow(run, "wave int, shard int, doc_id long, th long, at int, part string")
 
 
-def _streamed(regions: DataFrame, automata: dict[int, bytes], window: int) -> DataFrame:
-    """(doc_id, th, start, end): the words of regions that earlier documents have, by the automata of their shards, which are broadcast."""
-    held = regions.sparkSession.sparkContext.broadcast(automata)  # WAVE_BYTES at most, or one shard
+def _streamed(regions: DataFrame, held: Broadcast[dict[int, bytes]], window: int) -> DataFrame:
+    """(doc_id, th, start, end): the words of regions that earlier documents have, by the automata of their shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, matcher = None, None
@@ -365,8 +388,9 @@ def _matched(references: DataFrame, routed: DataFrame, shared: DataFrame, window
     spark.createDataFrame([], schema).write.parquet(path)
     for wave, shards in _waves(automata):
         some = automata.where((F.col("wave") == wave) & F.col("shard").isin(shards)).select("shard", "automaton")
-        blobs = {r["shard"]: bytes(r["automaton"]) for r in some.toLocalIterator()}
-        _streamed(regions.where((F.col("wave") == wave) & F.col("shard").isin(shards)).drop("wave"), blobs, window).write.mode("append").parquet(path)
+        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in some.toLocalIterator()})  # WAVE_BYTES at most, or one shard
+        _streamed(regions.where((F.col("wave") == wave) & F.col("shard").isin(shards)).drop("wave"), held, window).write.mode("append").parquet(path)
+        held.destroy()
     return spark.read.schema(schema).parquet(path)
 
 
