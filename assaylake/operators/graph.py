@@ -16,23 +16,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lineage-cuts"
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None, onto: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it again.
 
-    The files survive lost executors and go when the driver's file system closes. What was shuffled for them is of no
-    more use and goes as soon as they are written.
+    With ``onto``, the rows are added to those of a table made here. The files survive lost executors and go when the
+    driver's file system closes. What was shuffled for them is of no more use and goes as soon as they are written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = onto.stored_at if onto is not None else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANED, "false")
     spark.conf.set(CLEANED, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+        (df.write.partitionBy(by) if by else df.write).mode("errorifexists" if onto is None else "append").option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANED, was)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
