@@ -14,8 +14,8 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.operators.graph import shared_dir
-
 from .common import col, materialise, packed, parts_of, small
 
 WINDOW = 50
@@ -49,6 +47,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+class _Hashes(dict):
+    """Words come again and again, so their hashes are remembered, within bounds."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # ASCII white space only
 
@@ -61,9 +72,8 @@ def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     gram, n = window // 3, len(words)
     if n < window:
         return np.zeros(0, np.int64), *(np.zeros(0, np.int64),) * 3
-    h = xxhash.xxh64_intdigest
     up, down = _powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array([h(w) for w in words], np.uint64) * up[:n])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n) * up[:n])])
     g = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
@@ -145,9 +155,10 @@ class SuffixAutomaton:
 
     def pack(self) -> bytes:
         """The automaton as flat arrays, compressed. Ways mostly lead to the next state, so they are kept as steps."""
-        more = np.array([(v, w, t) for v, ways in self.more.items() for w, t in ways.items()], np.int64).reshape(-1, 3)
+        ways = list(self.more.values())
+        more = np.repeat(np.fromiter(self.more, np.int64), np.fromiter(map(len, ways), np.int64)), *(list(chain.from_iterable(x)) for x in (ways, map(dict.values, ways)))
         step = np.array(self.to, np.int64) - np.arange(len(self.to))
-        arrays = self.word, step, more[:, 0], more[:, 1], more[:, 2], [0, *self.link[1:]], self.length, self.doc
+        arrays = self.word, step, *more, [0, *self.link[1:]], self.length, self.doc
         parts = [np.array(self.docs, "<i8").tobytes(), *(np.asarray(x, np.int64).astype("<u4").tobytes() for x in arrays), b" ".join(self.words)]
         return zstandard.compress(struct.pack("<10Q", *map(len, parts)) + b"".join(parts), 1)
 
@@ -361,7 +372,8 @@ def _streamed(regions: DataFrame, held: Broadcast[dict[int, bytes]], window: int
                 rows += [(i, th, start + a, start + e) for a, e in matcher.spans(part.encode().split(b" "), window, i)]
             yield _batch(rows, ["doc_id", "th", "start", "end"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
-    return regions.sortWithinPartitions("shard").mapInArrow(run, "doc_id long, th long, start int, end int")
+    # Dealt by shard, so that few tasks unpack each automaton; Spark splits a shard that many documents meet.
+    return regions.hint("rebalance", "shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, th long, start int, end int")
 
 
 def _waves(automata: DataFrame) -> Iterator[tuple[int, list[int]]]:
@@ -383,15 +395,14 @@ def _matched(references: DataFrame, routed: DataFrame, shared: DataFrame, window
     spark = shared.sparkSession
     automata = materialise(_automata(references), "automata", by="wave")
     regions = materialise(_regions(routed, shared, window), "regions", by="wave")
-    path = f"{shared_dir(spark)}/matched-{uuid.uuid4().hex}"
-    schema = "doc_id long, th long, start int, end int"
-    spark.createDataFrame([], schema).write.parquet(path)
+    found = materialise(spark.createDataFrame([], "doc_id long, th long, start int, end int"), "matched")
     for wave, shards in _waves(automata):
-        some = automata.where((F.col("wave") == wave) & F.col("shard").isin(shards)).select("shard", "automaton")
-        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in some.toLocalIterator()})  # WAVE_BYTES at most, or one shard
-        _streamed(regions.where((F.col("wave") == wave) & F.col("shard").isin(shards)).drop("wave"), held, window).write.mode("append").parquet(path)
+        of_wave = (F.col("wave") == wave) & F.col("shard").isin(shards)
+        some = automata.where(of_wave).select("shard", "automaton").toLocalIterator()
+        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in some})  # WAVE_BYTES at most, or one shard
+        materialise(_streamed(regions.where(of_wave).drop("wave"), held, window), "matched", onto=found)
         held.destroy()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(found.schema).parquet(found.stored_at)
 
 
 def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -410,7 +421,9 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
     large = materialise(large, "large-keys")
     cut = materialise(_references(owners.join(large.withColumn("large", F.lit(True)), "key", "left").withColumn("large", F.coalesce("large", F.lit(False))), shared, window), "references")
     references = cut.where("NOT large").select("key", "ctx", "first")
-    routed = found.join(large, "key", "left_anti").select("doc_id", "th", "pos", "lo", "hi", "key")
+    # What an anchor's only reference holds has no earlier document than that reference's own.
+    alone = owners.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select("key", "doc_id")
+    routed = found.join(large, "key", "left_anti").join(alone, ["key", "doc_id"], "left_anti").select("doc_id", "th", "pos", "lo", "hi", "key")
     level = cut.where("large").select("cid", F.lit(0).alias("lo"), F.lit(window - window // 3).alias("hi"), "ctx", "off", "first")
     roots = None  # (root, cid): references and the parts that they were cut into
     while not level.isEmpty():
