@@ -56,6 +56,11 @@ def fraction_subsample(df: DataFrame, key: str, fractions: Sequence[float], seed
     return df.withColumn("_u", u).withColumn("fraction", F.explode(F.filter(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.col("_u") < f))).drop("_u")
 
 
+def sample_frac(df: DataFrame, key: str, fraction: float, seed: int = 1) -> DataFrame:
+    """The share of rows whose keys hash below ``fraction``; rows of one key stay together."""
+    return df.where(hash_unit(seed, F.col(key)) < fraction)
+
+
 def group_sample_n(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 1) -> DataFrame:
     """n rows of each group, those of the smallest hashes."""
     w = Window.partitionBy(*by).orderBy(hash_order(seed, F.col(key)), key)

@@ -62,21 +62,23 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, rep): the clusters of a greedy pass in order of ``rank`` (small first), found in rounds.
 
-    ``nodes``: (node, rank), ranks distinct. A node founds a cluster once no undecided neighbour comes
-    before it, and takes its undecided neighbours; the result equals the sequential pass.
+    ``nodes``: (node, rank), ranks distinct. In each round those nodes found clusters that no open neighbour comes
+    before, and they and their neighbours are open no more. In the end a node that founds none belongs to the first of
+    the founders that it neighbours, as in the sequential pass.
     """
     both = edges.select("u", "v").where("u <> v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     r = nodes.select(F.col("node").alias("v"), F.col("rank").alias("rv"))
     both = materialise(both.join(r, "v").join(nodes.select(F.col("node").alias("u"), F.col("rank").alias("ru")), "u"), "star-edges")
-    left = materialise(nodes.select("node", "rank"), "star-open")
-    done = None
+    left = materialise(nodes.select("node"), "star-open")
+    founders = materialise(left.limit(0), "star-founders")
     while not left.isEmpty():
-        open_ = left.select(F.col("node").alias("u"))
-        live = both.join(open_, "u").join(open_.select(F.col("u").alias("v")), "v")
+        live = both.join(left.select(F.col("node").alias("u")), "u").join(left.select(F.col("node").alias("v")), "v")
         before = live.where("rv < ru").select(F.col("u").alias("node")).distinct()
-        found = left.join(before, "node", "left_anti")
-        taken = live.join(found.select(F.col("node").alias("u")), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.struct("ru", "u")).alias("m"))
-        new = materialise(found.select("node", F.col("node").alias("rep")).unionByName(taken.join(found, "node", "left_anti").select("node", F.col("m.u").alias("rep"))), "star-round")
-        done = new if done is None else done.unionByName(new)
-        left = materialise(left.join(new, "node", "left_anti"), "star-open")
-    return done if done is not None else nodes.select("node", F.col("node").alias("rep"))
+        found = materialise(left.join(before, "node", "left_anti"), "star-found")
+        materialise(found, "star-founders", onto=founders)
+        taken = live.join(found.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node"))
+        left = materialise(left.join(found.unionByName(taken).distinct(), "node", "left_anti"), "star-open")
+    founders = nodes.sparkSession.read.schema(founders.schema).parquet(founders.stored_at)
+    first = both.join(founders.select(F.col("node").alias("u")), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.struct("ru", "u")).alias("m"))
+    members = first.join(founders, "node", "left_anti").select("node", F.col("m.u").alias("rep"))
+    return founders.select("node", F.col("node").alias("rep")).unionByName(members)

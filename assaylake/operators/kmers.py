@@ -140,6 +140,56 @@ def divergence(merged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return got.withColumn("flag", F.when(F.col("jsd") > 0.15, "HIGH").when(F.col("jsd") > 0.10, "MOD").otherwise("LOW")).withColumn("chi2", 2 * F.col("n_test") * F.col("kl"))
 
 
+def held_out_entropy(counts: DataFrame, label: str, alphabet: int = 4) -> DataFrame:
+    """By held-out label and k: diversity of its k-mers (test), of all others' (train), and the divergence of the two with its flag.
+
+    A k-mer that a label lacks adds to the train side what it adds to the whole, so only k-mers that occur are summed
+    for each label and the rest is subtracted from the sums of all: no grid of labels and k-mers.
+    """
+    xlogx = lambda c: F.when(c > 0, c * F.ln(c.cast("double"))).otherwise(0.0)
+    all_ = counts.groupBy("k", "kmer").agg(F.sum("n").alias("t"))
+    t, n = F.col("t"), F.col("n")
+    whole = all_.groupBy("k").agg(F.sum("t").cast("double").alias("all_t"), F.sum(xlogx(t)).alias("all_l"), F.sum(t.cast("double") * t).alias("all_2"), F.count(F.lit(1)).alias("all_n"))  # a row for each k
+    sizes = counts.groupBy(label, "k").agg(F.sum("n").cast("double").alias("size")).join(F.broadcast(whole), "k").withColumn("rest", F.col("all_t") - F.col("size"))
+    own = counts.join(all_, ["k", "kmer"]).join(F.broadcast(sizes), [label, "k"]).withColumn("r", t - n)  # a row for each label and k
+    p, q = n / F.col("size"), F.when(F.col("rest") > 0, F.col("r") / F.col("rest"))
+    js = p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
+    r = F.col("r")
+    sums = own.groupBy(label, "k").agg(
+        F.sum(xlogx(r) - xlogx(t)).alias("dL"), F.sum(r.cast("double") * r - t.cast("double") * t).alias("d2"), F.count_if(r == 0).alias("gone"), F.sum("r").alias("r"), F.sum(js).alias("js"),
+        *[F.first(c).alias(c) for c in ("rest", "all_l", "all_2", "all_n")],
+    )
+    m, bits = F.col("rest"), F.ln(F.lit(2.0))
+    shannon = F.greatest(F.ln(m) - (F.col("all_l") + F.col("dL")) / m, F.lit(0.0))
+    jsd = F.sqrt(F.greatest((F.col("js") + (m - F.col("r")) / m) / 2, F.lit(0.0)))
+    train = sums.where("rest > 0").select(label, "k", shannon.alias("train_shannon"), (shannon / bits).alias("train_shannon_bits"), (shannon / bits / (F.col("k") * F.log2(F.lit(float(alphabet))))).alias("train_normalised"), (-F.log2((F.col("all_2") + F.col("d2")) / (m * m))).alias("train_renyi2"), (F.col("all_n") - F.col("gone")).alias("train_richness"), jsd.alias("jsd"))
+    test = diversity(counts, [label], alphabet).select(label, "k", "shannon", "shannon_bits", "normalised", "adjusted", "renyi2", "richness")
+    return test.join(train, [label, "k"]).withColumn("flag", F.when(F.col("jsd") > 0.15, "HIGH").when(F.col("jsd") > 0.10, "MOD").otherwise("LOW"))
+
+
+def kmer_pca(counts: DataFrame, sample: str, k: int = 3) -> DataFrame:
+    """(sample, component, share, score): principal components of the samples' k-mer profiles, not centred; largest loading of a component positive.
+
+    The products of profiles are summed over all k-mers by Spark; only their table, a number for each pair of samples, is
+    decomposed on the driver. Samples are labels, few in number.
+    """
+    a = counts.groupBy(sample, "k", "kmer").agg(F.sum("n").cast("double").alias("n"))
+    pairs = a.select(F.col(sample).alias("a"), "k", "kmer", F.col("n").alias("x")).join(a.select(F.col(sample).alias("b"), "k", "kmer", F.col("n").alias("y")), ["k", "kmer"])
+    rows = pairs.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
+    names = sorted({r["a"] for r in rows})
+    at = {x: i for i, x in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    for r in rows:
+        gram[at[r["a"]], at[r["b"]]] = r["g"]
+    values, vectors = np.linalg.eigh(gram)
+    made = []
+    for c in range(min(k, len(names))):
+        v, u = max(float(values[-1 - c]), 0.0), vectors[:, -1 - c]
+        u = u * (1 if u[np.abs(u).argmax()] > 0 else -1)
+        made += [(x, c + 1, v / float(values.sum()), float(u[i]) * v**0.5) for i, x in enumerate(names)]
+    return counts.sparkSession.createDataFrame(made, f"{sample} string, component int, share double, score double")
+
+
 def sequence_scores(df: DataFrame, ids: Sequence[str], seq: str, alphabet: str = "ACGT") -> DataFrame:
     """Entropy, information and change complexity of every sequence, from counts of letters."""
     return df.select(*ids, letter_entropy(F.col(seq), alphabet).alias("base_entropy"), information_content(F.col(seq), alphabet).alias("information"), change_complexity(F.col(seq)).alias("complexity"))
@@ -159,10 +209,11 @@ def length_gc_stats(df: DataFrame, by: Sequence[str], seq: str, gc: str = "GC")
 
 
 def composition_features(df: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
-    """GC share and skews, CpG count and ratio of every sequence."""
+    """GC share and skews, CpG count and ratio, and distinct 6-mers over 4^6 of every sequence; shorter ones have none."""
     g, c, a, t = (count_letter(F.col(seq), x) for x in "GCAT")
+    complexity = F.when(F.length(seq) >= 6, F.size(F.array_distinct(_cut(F.col(seq), 6)))).otherwise(F.length(seq) * 0) / 4096
     cpg = (F.length(seq) - F.length(F.replace(F.col(seq), F.lit("CG"), F.lit("")))) / 2
-    return df.select(*ids, safe_ratio(g + c, F.length(seq)).alias("prop_gc"), safe_ratio(g - c, g + c).alias("gc_skew"), safe_ratio(a - t, a + t).alias("at_skew"), cpg.cast("long").alias("cpg_count"), safe_ratio(cpg * F.length(seq), g * c).alias("cpg_ratio"))
+    return df.select(*ids, safe_ratio(g + c, F.length(seq)).alias("prop_gc"), safe_ratio(g - c, g + c).alias("gc_skew"), safe_ratio(a - t, a + t).alias("at_skew"), cpg.cast("long").alias("cpg_count"), safe_ratio(cpg * F.length(seq), g * c).alias("cpg_ratio"), complexity.alias("linguistic_complexity_6"))
 
 
 def pspm(df: DataFrame, seq: str, by: Sequence[str] = ()) -> DataFrame:

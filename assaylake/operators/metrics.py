@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import coverage_band, safe_ratio
 
+from .stats import cumulative, nx_lx
+
 
 def threshold_cross(df: DataFrame, thresholds: Sequence[float], name: str = "threshold") -> DataFrame:
     """Every row once for each threshold: an explode, so no join."""
@@ -159,10 +161,11 @@ def band_share(contigs: DataFrame, tool: str, fold: str, cov: str = "reference_c
 
 
 def coverage_ecdf(contigs: DataFrame, tool: str, cov: str = "reference_coverage") -> DataFrame:
-    """Empirical distribution of coverage by tool, on distinct values: counted first, so that no tool's rows meet in one task."""
+    """Empirical distribution of coverage by tool, on distinct values, from running counts over ranges of values."""
     counts = contigs.where(F.col(cov).isNotNull()).groupBy(tool, cov).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(tool)
-    return counts.select(tool, cov, "n", safe_ratio(F.sum("n").over(w.orderBy(cov)), F.sum("n").over(w)).alias("ecdf"))
+    whole = counts.groupBy(tool).agg(F.sum("n").alias("_all")).withColumnRenamed(tool, "_tool")
+    upto = cumulative(counts, [tool], cov, "n", "_upto").join(whole, F.col(tool).eqNullSafe(F.col("_tool")))
+    return upto.select(tool, cov, "n", safe_ratio(F.col("_upto"), F.col("_all")).alias("ecdf"))
 
 
 def running_pr_auc(metrics: DataFrame, by: Sequence[str], x: str = "sensitivity", y: str = "precision") -> DataFrame:
@@ -170,3 +173,20 @@ def running_pr_auc(metrics: DataFrame, by: Sequence[str], x: str = "sensitivity"
     w = Window.partitionBy(*by).orderBy(x, y)
     area = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     return metrics.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_a", area).groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("auc"))
+
+
+def assembly_stats(contigs: DataFrame, by: Sequence[str], n_refs: int, width: str = "length", gc: str = "prop_gc", cov: str = "reference_coverage", ref: str = "hits", shares: Sequence[float] = (0.25, 0.5, 0.75, 0.85, 0.95)) -> DataFrame:
+    """One row for each assembly: counts and sizes of its sequences, N10 to N90, GC, sequences with a hit, references with a
+    hit and covered to at least each of ``shares``, with their proportions of ``n_refs``. Null coverage counts as none."""
+    w = F.col(width)
+    sizes = contigs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_seqs"), F.min(w).alias("smallest"), F.max(w).alias("largest"), F.sum(w).alias("n_bases"), F.avg(w).alias("mean_len"),
+        F.count_if(w < 200).alias("n_under_200"), F.count_if(w > 1000).alias("n_over_1k"), F.count_if(w > 10000).alias("n_over_10k"),
+        safe_ratio(F.sum(F.col(gc) * w), F.sum(w)).alias("gc"), F.count(ref).alias("n_with_hit"), F.avg(F.col(ref).isNotNull().cast("int")).alias("p_with_hit"),
+    )
+    xs = [10, 30, 50, 70, 90]
+    nx = nx_lx(contigs, by, width, xs).groupBy(*by).agg(*[F.max(F.when(F.col("x") == x, F.col("n"))).alias(f"n{x}") for x in xs])
+    best = contigs.where(F.col(ref).isNotNull()).groupBy(*by, ref).agg(F.coalesce(F.max(cov), F.lit(0.0)).alias("_best"))
+    covered = best.groupBy(*by).agg(F.count(F.lit(1)).alias("n_refs_with_hit"), *[F.count_if(F.col("_best") >= x).alias(f"cov{round(100 * x)}") for x in shares])
+    got = sizes.join(nx, list(by)).join(covered, list(by), "left").na.fill(0, ["n_refs_with_hit", *[f"cov{round(100 * x)}" for x in shares]])
+    return got.withColumns({f"p_cov{round(100 * x)}": F.col(f"cov{round(100 * x)}") / n_refs for x in shares})

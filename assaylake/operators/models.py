@@ -91,12 +91,26 @@ def partial_dependence(df: DataFrame, variables: Sequence[str], cls: str, of: st
     return each.groupBy("value", "cls").agg(F.avg("p").alias("mean_probability"))
 
 
-def pca_features(df: DataFrame, variables: Sequence[str], k: int = 3) -> DataFrame:
-    """(component, variance) after median imputation, dropping constants and scaling."""
+def _components(df: DataFrame, variables: Sequence[str], k: int):
+    """The fitted steps: median imputation, dropping constants, scaling, components."""
     data = _features(df, variables)
     steps = [VarianceThresholdSelector(featuresCol="features", outputCol="kept"), StandardScaler(inputCol="kept", outputCol="scaled", withMean=True), PCA(k=k, inputCol="scaled", outputCol="pc")]
-    model = Pipeline(stages=steps).fit(data).stages[-1]
-    return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(model.explainedVariance)], "component int, variance double")
+    return data, Pipeline(stages=steps).fit(data)
+
+
+def pca_features(df: DataFrame, variables: Sequence[str], k: int = 3) -> DataFrame:
+    """(component, variance, variable, loading) after median imputation, dropping constants and scaling."""
+    model = _components(df, variables, k)[1]
+    kept, pca = [variables[i] for i in model.stages[0].selectedFeatures], model.stages[-1]
+    rows = [(c + 1, float(pca.explainedVariance[c]), v, float(pca.pc[i, c])) for c in range(k) for i, v in enumerate(kept)]
+    return df.sparkSession.createDataFrame(rows, "component int, variance double, variable string, loading double")
+
+
+def pca_scores(df: DataFrame, keys: Sequence[str], variables: Sequence[str], k: int = 3) -> DataFrame:
+    """(keys, pc1, pc2, ...): the scores of every row on the components of ``pca_features``."""
+    data, model = _components(df, variables, k)
+    at = model.transform(data).select(*keys, vector_to_array("pc").alias("_pc"))
+    return at.select(*keys, *[F.col("_pc")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
 def binomial_glm_effects(df: DataFrame, factors: Sequence[str], successes: str, trials: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import safe_ratio
 
+from .graph import materialise
+
 
 def long_form(df: DataFrame, variables: Sequence[str], cls: Sequence[str] = ()) -> DataFrame:
     """(classes, variable, value) of numeric columns without nulls."""
@@ -17,11 +19,45 @@ def long_form(df: DataFrame, variables: Sequence[str], cls: Sequence[str] = ())
     return df.select(*cls, F.explode(pairs).alias("x")).select(*cls, "x.*").where("value IS NOT NULL")
 
 
+def cumulative(counts: DataFrame, by: Sequence[str], value: str, n: str, out: str) -> DataFrame:
+    """``counts`` with the running sum of ``n`` over values in order, by group.
+
+    Values are dealt to ranges of (group, value), which are summed by themselves and then moved by what comes before
+    them, so no task sees a group whole; between tasks go a row for each range and group.
+    """
+    parts = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialise(counts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
+    sums = dealt.groupBy("_p", *by).agg(F.sum(n).alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_p", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_b"))
+    inside = dealt.withColumn("_c", F.sum(n).over(Window.partitionBy("_p", *by).orderBy(value)))
+    on = [inside["_p"] == before["_p"], *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    return inside.join(before, on).withColumn(out, F.col("_c") + F.col("_b")).select(*counts.columns, out)
+
+
 def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """(by, value, ties, rank): mean rank of each distinct value. Rows are counted first, so a window sees values, not rows."""
+    """(by, value, ties, rank): mean rank of each distinct value, however many values a group has."""
     counts = long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*by).orderBy(value))
-    return counts.withColumn("rank", upto - (F.col("ties") - 1) / 2)
+    return cumulative(counts, by, value, "ties", "_upto").withColumn("rank", F.col("_upto") - (F.col("ties") - 1) / 2).drop("_upto")
+
+
+def ranks_in_blocks(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """``average_ranks`` for many groups of a few rows each."""
+    counts = long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    return counts.withColumn("rank", F.sum("ties").over(Window.partitionBy(*by).orderBy(value)) - (F.col("ties") - 1) / 2)
+
+
+def quantiles(long: DataFrame, by: Sequence[str], shares: Sequence[float], value: str = "value") -> DataFrame:
+    """(by, share, quantile): exact quantiles, linear between neighbours, from running counts of values; nulls are passed over."""
+    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = cumulative(counts, by, value, "_n", "_upto")
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_all")
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)]
+    at = upto.join(whole, on).withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares]))).withColumn("_at", F.col("share") * (F.col("_all") - 1))
+    holds = lambda i: (F.col("_upto") > i) & (F.col("_upto") - F.col("_n") <= i)
+    low, high = F.floor("_at"), F.ceil("_at")
+    ends = at.where(holds(low) | holds(high)).groupBy(*by, "share").agg(F.max(F.when(holds(low), F.col(value))).alias("_l"), F.max(F.when(holds(high), F.col(value))).alias("_h"), F.max(F.col("_at") - low).alias("_w"))
+    return ends.select(*by, "share", (F.col("_l") + F.col("_w") * (F.col("_h") - F.col("_l"))).alias("quantile"))
 
 
 def zscore(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +69,7 @@ def zscore(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 
 def iqr_outlier_mask(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """Rows within 1.5 interquartile ranges of the quartiles of their group."""
-    q = df.groupBy(*by).agg(F.percentile(column, F.lit(0.25)).alias("_q1"), F.percentile(column, F.lit(0.75)).alias("_q3"))
+    q = quantiles(df, by, [0.25, 0.75], column).groupBy(*by).agg(F.max(F.when(F.col("share") == 0.25, F.col("quantile"))).alias("_q1"), F.max(F.when(F.col("share") == 0.75, F.col("quantile"))).alias("_q3"))
     r = F.col("_q3") - F.col("_q1")
     return df.join(q, list(by)).where(F.col(column).between(F.col("_q1") - 1.5 * r, F.col("_q3") + 1.5 * r)).drop("_q1", "_q3")
 
@@ -55,9 +91,13 @@ def nx_lx(df: DataFrame, by: Sequence[str], width: str, xs: Sequence[int]) -> Da
 
 def summary_stats(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """n, mean, sd, se and five numbers of each variable by group."""
-    p = lambda x: F.percentile("value", F.lit(x))
-    got = long_form(df, variables, by).groupBy(*by, "variable").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), p(0.25).alias("q1"), F.median("value").alias("median"), p(0.75).alias("q3"), F.max("value").alias("max"))
-    return got.withColumn("se", F.col("sd") / F.sqrt("n"))
+    long, keys = long_form(df, variables, by), [*by, "variable"]
+    got = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    p = lambda x: F.max(F.when(F.col("share") == x, F.col("quantile")))
+    q = quantiles(long, keys, [0.25, 0.5, 0.75]).groupBy(*keys).agg(p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"))
+    q = q.select(*[F.col(c).alias(f"_q_{c}") for c in keys], "q1", "median", "q3")
+    got = got.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in keys])
+    return got.select(*keys, "n", "mean", "sd", "min", "q1", "median", "q3", "max", (F.col("sd") / F.sqrt("n")).alias("se"))
 
 
 def confusion_matrix(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -82,7 +122,7 @@ def cross_tab(df: DataFrame, target: str, secondary: str) -> DataFrame:
 
 def class_profile(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
     """Median by class and variable, and its z-score across classes."""
-    med = long_form(df, variables, [cls]).groupBy(cls, "variable").agg(F.median("value").alias("median"))
+    med = quantiles(long_form(df, variables, [cls]), [cls, "variable"], [0.5]).select(cls, "variable", F.col("quantile").alias("median"))
     w = Window.partitionBy("variable")
     sd = F.stddev_samp("median").over(w)
     return med.withColumn("z", F.when(sd < 1e-10, 0.0).otherwise((F.col("median") - F.avg("median").over(w)) / sd))
@@ -151,7 +191,7 @@ def pairwise_t(df: DataFrame, variable: str, cls: str, by: Sequence[str] = ()) -
 def levene(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
     """Analysis of variance on absolute deviations from the class median."""
     long = long_form(df, variables, [cls])
-    med = long.groupBy("variable", cls).agg(F.median("value").alias("_m"))
+    med = quantiles(long, ["variable", cls], [0.5]).select("variable", cls, F.col("quantile").alias("_m"))
     dev = long.join(med, ["variable", cls]).select("variable", cls, F.abs(F.col("value") - F.col("_m")).alias("value"))
     g = dev.groupBy("variable", cls).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     n, m = F.col("n"), F.col("m")
@@ -161,7 +201,7 @@ def levene(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     """Chi squared of ranks within blocks, tie-corrected; one value for each block and treatment."""
-    ranks = average_ranks(df.select(block, F.col(value).alias("value")), [block])
+    ranks = ranks_in_blocks(df.select(block, F.col(value).alias("value")), [block])
     k = df.select(F.count_distinct(treatment).alias("k"), F.count_distinct(block).alias("b"))
     sums = df.join(ranks, (df[block] == ranks[block]) & (df[value] == ranks["value"])).groupBy(treatment).agg(F.sum("rank").alias("R"))
     ties = ranks.agg(F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("t"))
@@ -186,7 +226,7 @@ def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), method: str = "BH")
 
 def equal_frequency_bins(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """Bin 1 to n of each row by exact quantile cuts: one row of cuts, no global sort of rows."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_cuts"))
+    cuts = quantiles(df, [], [i / n for i in range(1, n)], column).agg(F.array_sort(F.collect_list("quantile")).alias("_cuts"))  # n - 1 numbers
     return df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(column))) + 1).drop("_cuts")
 
 

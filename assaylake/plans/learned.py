@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaylake.functions import expressions as X
 from assaylake.functions.expressions import coverage_band
 from assaylake.operators import alignment as A
 from assaylake.operators import folds as D
 from assaylake.operators import kmers as K
+from assaylake.operators import metrics as E
 from assaylake.operators import models as M
 from assaylake.operators import sets as S
 from assaylake.operators import similar as N
@@ -16,7 +18,7 @@ from assaylake.operators.stats import average_ranks, cluster_curve_stats
 
 from .book import query
 from .recovery import FILTERED, OVER, depth_stats, good
-from .sequences import KM, pc
+from .sequences import KM, U, pc
 from .sequences import counts as sequence_counts
 from .views import HITS, REFS, SEQS, refs, table
 
@@ -155,18 +157,22 @@ def motif_scan(spark, d):
     return K.motif_scan(docs, "doc_id", "sequence", K.pspm(heads, "head", ["family"]), "family", alphabet=36)
 
 
-@query()
+FOLDS = """t AS (SELECT kmer, sum(n) AS t FROM km GROUP BY 1), g AS (SELECT o.organism, t.kmer, coalesce(n, 0) AS a, t - coalesce(n, 0) AS b FROM (SELECT DISTINCT organism FROM km) o CROSS JOIN t LEFT JOIN km ON km.organism = o.organism AND km.kmer = t.kmer),
+ pq AS (SELECT *, a / sum(a) OVER w AS p, b / sum(b) OVER w AS q FROM g WINDOW w AS (PARTITION BY organism)),
+ fe AS (SELECT organism, 5 AS k, -sum(CASE WHEN p > 0 THEN p * ln(p) END) AS shannon, -log2(sum(p * p)) AS renyi2, count(*) FILTER (a > 0) AS richness, sum(a) AS total,
+  -sum(CASE WHEN q > 0 THEN q * ln(q) END) AS train_shannon, -log2(sum(q * q)) AS train_renyi2, count(*) FILTER (b > 0) AS train_richness,
+  sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS jsd FROM pq GROUP BY 1),
+ ft AS (SELECT organism, k, shannon, shannon / ln(2) AS shannon_bits, shannon / ln(2) / (k * 6) AS normalised, shannon / ln(2) / (k * 6) + (richness - 1) / (2 * ln(2) * total) AS adjusted, renyi2, richness,
+  train_shannon, train_shannon / ln(2) AS train_shannon_bits, train_shannon / ln(2) / (k * 6) AS train_normalised, train_renyi2, train_richness, jsd, CASE WHEN jsd > 0.15 THEN 'HIGH' WHEN jsd > 0.1 THEN 'MOD' ELSE 'LOW' END AS flag FROM fe)"""
+
+
+@query(f"WITH {SEQS}, {KM}, {FOLDS} SELECT * FROM ft", "shannon shannon_bits normalised adjusted renyi2 train_shannon train_shannon_bits train_normalised train_renyi2 jsd")
 def fold_entropy_table(spark, d):
-    """By held-out label: diversity of its sequences and divergence from all others."""
-    counts = materialise(sequence_counts(spark, d), "kmer-counts")
-    out = K.diversity(counts, ["organism"], 64).select("organism", "k", "shannon", "shannon_bits", "normalised", "adjusted", "renyi2", "richness")
-    total = counts.groupBy("k", "kmer").agg(F.sum("n").alias("_t"))
-    sides = counts.select("organism").distinct().crossJoin(total).join(counts, ["organism", "k", "kmer"], "left")  # labels are few
-    merged = sides.select("organism", "k", "kmer", F.coalesce("n", F.lit(0)).alias("n_test"), (F.col("_t") - F.coalesce("n", F.lit(0))).alias("n_train"))
-    return out.join(K.divergence(merged, ["organism"]).select("organism", "k", "jsd", "flag"), ["organism", "k"])
+    """By held-out label: diversity of its sequences and of all others, and the divergence of the two."""
+    return K.held_out_entropy(materialise(sequence_counts(spark, d), "kmer-counts"), "organism", 64)
 
 
-@query()
+@query(f"WITH {SEQS}, {KM}, {FOLDS} SELECT k, count(*) AS n, median(shannon_bits) AS median_bits, stddev_samp(shannon_bits) AS sd_bits, median(jsd) AS median_jsd, count(*) FILTER (flag = 'HIGH') AS n_high, avg((flag = 'HIGH')::INT) AS share_high FROM ft GROUP BY 1", "median_bits sd_bits median_jsd share_high")
 def family_entropy_summary(spark, d):
     t = fold_entropy_table(spark, d)
     return t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.median("shannon_bits").alias("median_bits"), F.stddev_samp("shannon_bits").alias("sd_bits"), F.median("jsd").alias("median_jsd"), F.count_if(F.col("flag") == "HIGH").alias("n_high"), F.avg((F.col("flag") == "HIGH").cast("int")).alias("share_high"))
@@ -199,8 +205,41 @@ def kmer_assessment_by_band(spark, d):
 
 @query()
 def kmer_pca(spark, d):
-    """Components of the sources' k-mer profiles, k-mers hashed into 32 features."""
-    counts = K.kmer_counts(table(spark, d, "documents"), ["source"], "text", [3])
-    hashed = counts.withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(32)))
-    profile = hashed.groupBy("source").pivot("bucket", list(range(32))).agg(F.sum("n")).na.fill(0)
-    return M.pca_features(profile.toDF("source", *[f"f{i}" for i in range(32)]), [f"f{i}" for i in range(32)])
+    """Components of the sources' profiles of all 3-mers, not centred."""
+    return K.kmer_pca(K.kmer_counts(table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "text"), ["source"], "text", [3]), "source")
+
+
+@query()
+def pca_scores(spark, d):
+    return M.pca_scores(lines(spark, d), ["l_orderkey", "l_linenumber"], VARS)
+
+
+GC = "gcd AS (SELECT l_returnflag AS tool, l_linenumber AS fold, l_extendedprice AS length, l_discount AS prop_gc, CASE WHEN l_tax <> 0 THEN l_quantity / 50 END AS cov, CASE WHEN l_tax <> 0 THEN 'ref' || l_suppkey END AS hits FROM lineitem)"
+NX = "run AS (SELECT tool, fold, length, sum(length) OVER (PARTITION BY tool, fold ORDER BY length DESC) AS s, sum(length) OVER (PARTITION BY tool, fold) AS a FROM gcd), nx AS (SELECT tool, fold, " + ", ".join(f"max(length) FILTER (s >= a * {x} / 100) AS n{x}" for x in (10, 30, 50, 70, 90)) + " FROM run GROUP BY ALL)"
+BEST = "best AS (SELECT tool, fold, hits, coalesce(max(cov), 0) AS b FROM gcd WHERE hits IS NOT NULL GROUP BY ALL), cv AS (SELECT tool, fold, count(*) AS n_refs_with_hit, " + ", ".join(f"count(*) FILTER (b >= 0.{x}) AS cov{x}, count(*) FILTER (b >= 0.{x}) / 1000 AS p_cov{x}" for x in (25, 50, 75, 85, 95)) + " FROM best GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {GC}, {NX}, {BEST}, sz AS (SELECT tool, fold, count(*) AS n_seqs, min(length) AS smallest, max(length) AS largest, sum(length) AS n_bases, avg(length) AS mean_len, count(*) FILTER (length < 200) AS n_under_200, count(*) FILTER (length > 1000) AS n_over_1k,
+  count(*) FILTER (length > 10000) AS n_over_10k, sum(prop_gc * length) / sum(length) AS gc, count(hits) AS n_with_hit, count(hits) / count(*) AS p_with_hit FROM gcd GROUP BY ALL)
+  SELECT * FROM sz JOIN nx USING (tool, fold) JOIN cv USING (tool, fold)""",
+    "smallest largest n_bases mean_len gc p_with_hit n10 n30 n50 n70 n90 p_cov25 p_cov50 p_cov75 p_cov85 p_cov95",
+)
+def assembly_stats(spark, d):
+    """One row for each tool and fold; discounts stand for GC shares."""
+    hit = F.col("l_tax") != 0
+    c = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("tool"), F.col("l_linenumber").alias("fold"), F.col("l_extendedprice").alias("length"), F.col("l_discount").alias("prop_gc"),
+        F.when(hit, F.col("l_quantity") / 50).alias("reference_coverage"), F.when(hit, F.concat(F.lit("ref"), F.col("l_suppkey").cast("string"))).alias("hits"),
+    )
+    return E.assembly_stats(c, ["tool", "fold"], 1000)
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {U.format(k='l_orderkey')} < 0.3")
+def sample_frac(spark, d):
+    return D.sample_frac(lines(spark, d), "l_orderkey", 0.3).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, 3 * l_discount / (1 - l_discount + 3 * l_discount) AS shifted FROM lineitem", "shifted")
+def odds_shift(spark, d):
+    return lines(spark, d).select("l_orderkey", "l_linenumber", X.odds_shift(F.lit(3.0), F.col("l_discount")).alias("shifted"))

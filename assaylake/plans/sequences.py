@@ -442,7 +442,7 @@ def _c(x: str) -> str:
     return f"(length(sequence) - length(replace(sequence, '{x}', '')))"
 
 
-@query(f"WITH {SEQS} SELECT entry_id, ({_c('G')} + {_c('C')})::DOUBLE / nullif(length(sequence), 0) AS prop_gc, ({_c('G')} - {_c('C')})::DOUBLE / nullif({_c('G')} + {_c('C')}, 0) AS gc_skew, ({_c('A')} - {_c('T')})::DOUBLE / nullif({_c('A')} + {_c('T')}, 0) AS at_skew, ({_c('CG')} // 2)::BIGINT AS cpg_count, {_c('CG')} / 2.0 * length(sequence) / nullif({_c('G')} * {_c('C')}, 0) AS cpg_ratio FROM seqs", "prop_gc gc_skew at_skew cpg_ratio")
+@query(f"WITH {SEQS} SELECT entry_id, ({_c('G')} + {_c('C')})::DOUBLE / nullif(length(sequence), 0) AS prop_gc, ({_c('G')} - {_c('C')})::DOUBLE / nullif({_c('G')} + {_c('C')}, 0) AS gc_skew, ({_c('A')} - {_c('T')})::DOUBLE / nullif({_c('A')} + {_c('T')}, 0) AS at_skew, ({_c('CG')} // 2)::BIGINT AS cpg_count, {_c('CG')} / 2.0 * length(sequence) / nullif({_c('G')} * {_c('C')}, 0) AS cpg_ratio, len(list_distinct(list_transform(range(1, length(sequence) - 4), lambda i: substr(sequence, i, 6)))) / 4096 AS linguistic_complexity_6 FROM seqs", "prop_gc gc_skew at_skew cpg_ratio linguistic_complexity_6")
 def composition_features(spark, d):
     return K.composition_features(seqs(spark, d), ["entry_id"], "sequence")
 
