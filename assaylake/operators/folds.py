@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import hash_order, hash_unit
 
+from .stats import cumulative
+
 
 def vfold_split(df: DataFrame, key: str, v: int = 12, seed: int = 1) -> DataFrame:
     """Fold 1 to v of each row, by hash: no global order, sizes equal on average. A fold's analysis set is ``fold <> f``."""
@@ -17,9 +19,10 @@ def vfold_split(df: DataFrame, key: str, v: int = 12, seed: int = 1) -> DataFram
 
 
 def stratified_vfold(df: DataFrame, strata: Sequence[str], key: str, v: int = 12, seed: int = 1) -> DataFrame:
-    """Folds of equal sizes within strata."""
-    w = Window.partitionBy(*strata).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(v)).cast("int") + 1)
+    """Folds of equal sizes within strata. Rows are numbered within ranges of (stratum, hash), so a large stratum is many tasks' work."""
+    rows = df.withColumns({"_h": hash_order(seed, F.col(key)), "_one": F.lit(1)})
+    numbered = cumulative(rows, strata, ["_h", key], "_one", "_r")
+    return numbered.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(v)).cast("int") + 1).drop("_h", "_one", "_r")
 
 
 def fold_strata_counts(folds: DataFrame, stratum: str, v: int) -> DataFrame:

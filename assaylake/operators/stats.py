@@ -19,18 +19,18 @@ def long_form(df: DataFrame, variables: Sequence[str], cls: Sequence[str] = ())
     return df.select(*cls, F.explode(pairs).alias("x")).select(*cls, "x.*").where("value IS NOT NULL")
 
 
-def cumulative(counts: DataFrame, by: Sequence[str], value: str, n: str, out: str) -> DataFrame:
-    """``counts`` with the running sum of ``n`` over values in order, by group.
+def cumulative(counts: DataFrame, by: Sequence[str], value: str | Sequence[str], n: str, out: str) -> DataFrame:
+    """``counts`` with the running sum of ``n`` over rows in order of ``value``, by group.
 
     Values are dealt to ranges of (group, value), which are summed by themselves and then moved by what comes before
     them, so no task sees a group whole; between tasks go a row for each range and group.
     """
-    parts = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = materialise(counts.repartitionByRange(parts, *by, value).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
+    parts, order = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), [value] if isinstance(value, str) else value
+    dealt = materialise(counts.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
     sums = dealt.groupBy("_p", *by).agg(F.sum(n).alias("_s"))
     earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_p", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_b"))
-    inside = dealt.withColumn("_c", F.sum(n).over(Window.partitionBy("_p", *by).orderBy(value)))
+    inside = dealt.withColumn("_c", F.sum(n).over(Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     on = [inside["_p"] == before["_p"], *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
     return inside.join(before, on).withColumn(out, F.col("_c") + F.col("_b")).select(*counts.columns, out)
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from assaylake.operators.curate import exclude_patterns, parse_run_path
 
@@ -43,14 +43,15 @@ def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
 def scan_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, read_id, seq, qual) of four-line records.
 
-    A record may start with '@' in its quality line too, so lines are numbered in their file: each
-    partition of the file is counted first, as Spark's own index of rows does.
+    A record may start with '@' in its quality line too, so lines are numbered in their file: lines of a block follow
+    one another, and blocks are counted first and placed by where they start.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    schema = T.StructType([*lines.schema.fields, T.StructField("i", T.LongType())])
-    numbered = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
-    first = numbered.groupBy("file").agg(F.min("i").alias("_first"))  # a row for each file
-    rec = numbered.join(F.broadcast(first), "file").withColumn("j", F.col("i") - F.col("_first"))
+    at = {"file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    lines = spark.read.text(path).select("value", *[c.alias(n) for n, c in at.items()]).withColumn("_m", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "_block").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    rec = lines.join(F.broadcast(placed), ["file", "_block"]).withColumn("j", F.col("_m") - F.col("_first") + F.col("_before"))  # a row for each block
     line = lambda k: F.max(F.when(F.col("j") % 4 == k, F.col("value")))
     four = rec.groupBy("file", F.floor(F.col("j") / 4).alias("n")).agg(line(0).alias("head"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual"))
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))

@@ -70,3 +70,16 @@ def test_sink_and_ingest(spark, tmp_path):
     put(tmp_path / "in/b.csv", "3\n")
     assert call() == 1
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3
+
+
+def test_fastq_of_many_blocks(spark, tmp_path):
+    reads = [(f"r{i}", "ACGT" * (1 + i % 5), "@+I!" * (1 + i % 5)) for i in range(200)]
+    for f in ("a", "b"):
+        (tmp_path / f"{f}.fastq").write_text("".join(f"@{n}-{f}\n{s}\n+\n{q}\n" for n, s, q in reads))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sorted((r.read_id, r.seq, r.qual) for r in files.scan_fastq(spark, f"{tmp_path}/*.fastq").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == sorted((f"{n}-{f}", s, q) for n, s, q in reads for f in "ab")
