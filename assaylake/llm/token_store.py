@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import col, materialise, parts_of, small
 
-BLOCK = 4096
-#: Blocks that are coded in step, and ids that a writer gathers before it codes.
-LANES = 1024
+#: Short blocks, many in step: each step's array calls serve many ids, and the models of all lanes stay small.
+BLOCK = 1024
+#: Blocks that are coded in step; a writer gathers so many before it codes.
+LANES = 2048
 MAGIC = b"CMR1"
 #: magic, ids, documents that start here, bytes of the code, checksum of all that follows.
 HEAD = struct.Struct("<4sIIII")
@@ -35,7 +36,7 @@ END = 2
 
 U = np.uint64
 TOP, BOT = U(1 << 48), U(1 << 32)
-SLOTS1, SLOTS2, CONTEXTS = 1 << 11, 1 << 12, 1 + 16 + 256 + 512
+SLOTS1, SLOTS2, CONTEXTS = 1 << 9, 1 << 10, 1 + 16 + 64 + 128
 #: After a nibble the cumulative counts move a 32nd of the way to one that is all that nibble, less a floor of 32 for each.
 _RISE = np.array([[(16384 - 16 * 32 if i > s else 0) + 32 * i for i in range(17)] for s in range(16)], np.int16)
 
@@ -145,8 +146,8 @@ class _Lanes:
             v = None if self.reading else ids[left]
             n1 = self._nibble(own, np.zeros(len(own), np.int64), None if v is None else v >> 12)
             n2 = self._nibble(own, 1 + n1, None if v is None else v >> 8 & 15)
-            n3 = self._nibble(own, 17 + n1 * 16 + n2, None if v is None else v >> 4 & 15)
-            n4 = self._nibble(own, 273 + ((n1 * 256 + n2 * 16 + n3) * 167 >> 3 & 511), None if v is None else v & 15)
+            n3 = self._nibble(own, 17 + ((n1 * 16 + n2) * 37 >> 2 & 63), None if v is None else v >> 4 & 15)
+            n4 = self._nibble(own, 81 + ((n1 * 256 + n2 * 16 + n3) * 167 >> 3 & 127), None if v is None else v & 15)
             if self.reading:
                 out[left] = n1 << 12 | n2 << 8 | n3 << 4 | n4
         for pred, conf, h, was, c in ((self.pred1, self.conf1, h1, p1, c1), (self.pred2, self.conf2, h2, p2, c2)):
@@ -264,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     give no blocks; other columns are not read. Store ``data`` anywhere: a block decodes by itself.
     ``added_tokens``: see ``Vocabulary``.
     """
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
@@ -283,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             block += n
             return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(block - n, block), pa.int64()), pa.array([len(p) for p in pieces], pa.int64()), pa.array(rows, pa.binary())], names=["part", "block", "n_tokens", "data"])
 
-        for b in batches:
+        for b in small(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(vocabulary(path, added_tokens).ids(t or ""), np.uint32(end))
                 starts.append((size, i, len(ids)))
@@ -294,14 +295,14 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         if size:
             yield flush(True)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text)
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(run, "part int, block long, n_tokens long, data binary")
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
     """doc_id, part, start (in the part), n_tokens, ids_crc32 of each document, from the blocks alone."""
-    parts = max(2, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_of(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue: list[tuple[int, bytes]] = []
@@ -331,19 +332,22 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
-        for b in batches:
+        for b in small(batches):
             queue += zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True)
             if len(queue) >= LANES:
                 yield drain()
         if queue:
             yield drain()
 
-    ordered = blocks.select("part", "block", "data").repartition(parts, "part").sortWithinPartitions("part", "block")
+    ordered = blocks.select("part", "block", "data").repartitionByRange(parts, "part").sortWithinPartitions("part", "block")
     return ordered.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, path: str, added_tokens: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from files written to the shared folder and read back."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from files written to the shared folder and read back.
+
+    Null texts count as empty, null ids come first, repeated rows come each; no rows give no rows.
+    """
     blocks = materialise(write_tokens(docs, path, added_tokens=added_tokens), "token-blocks")
     sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
