@@ -63,10 +63,15 @@ class _Lanes:
         self.nibbles = np.tile((np.arange(17) * 1024).astype(np.int16), (n * CONTEXTS, 1))
         self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
+    def _of(self, lanes: np.ndarray) -> np.ndarray | slice:
+        """Lanes are distinct and in order: all of them need no lookup."""
+        return slice(None) if len(lanes) == self.n else lanes
+
     def _narrow(self, lanes: np.ndarray, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
         """Take the share [cum, cum + freq) of each range of steps ``r``; move settled words out or in."""
-        low, rng = self.low[lanes] + cum.astype(U) * r, r * freq.astype(U)
-        self.low[lanes], self.range[lanes] = low, rng
+        some = self._of(lanes)
+        low, rng = self.low[some] + cum.astype(U) * r, r * freq.astype(U)
+        self.low[some], self.range[some] = low, rng
         settled = (low ^ (low + rng)) < TOP
         due = settled | (rng < BOT)
         while due.any():
@@ -88,9 +93,10 @@ class _Lanes:
 
     def _bit(self, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """Code a bit that is one with probability p / 32768."""
-        r = self.range[lanes] >> U(15)
+        some = self._of(lanes)
+        r = self.range[some] >> U(15)
         if self.reading:
-            bit = (self.code[lanes] - self.low[lanes]) // r < p.astype(U)
+            bit = (self.code[some] - self.low[some]) < p.astype(U) * r
         self._narrow(lanes, r, np.where(bit, 0, p), np.where(bit, p, 32768 - p))
         return bit
 
@@ -114,20 +120,21 @@ class _Lanes:
 
     def step(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code the next id of each of ``lanes``."""
-        last1 = self.last1[lanes]
+        some = self._of(lanes)
+        last1 = self.last1[some]
         h1 = ((last1 * 40503 >> 4) & (SLOTS1 - 1)) + lanes * SLOTS1
-        h2 = (((last1 * 31321 + self.last2[lanes] * 51197) >> 3) & (SLOTS2 - 1)) + lanes * SLOTS2
+        h2 = (((last1 * 31321 + self.last2[some] * 51197) >> 3) & (SLOTS2 - 1)) + lanes * SLOTS2
         p1, c1 = self.pred1.take(h1).astype(np.int64), self.conf1.take(h1).astype(np.int64)
         p2, c2 = self.pred2.take(h2).astype(np.int64), self.conf2.take(h2).astype(np.int64)
         first = np.where(c2 > 0, p2, p1)
-        ctx, past = lanes * 64 + c2 * 8 + c1, lanes * 16 + self.past[lanes] * 2 + (p1 == p2)
-        a, b, w = self.by_conf.take(ctx), self.by_past.take(past), self.weight[lanes]
+        ctx, past = lanes * 64 + c2 * 8 + c1, lanes * 16 + self.past[some] * 2 + (p1 == p2)
+        a, b, w = self.by_conf.take(ctx), self.by_past.take(past), self.weight[some]
         p = np.clip((a * w + b * (256 - w)) >> 8, 32, 32736)
         hit = self._bit(lanes, p, None if self.reading else ids == first)
         goal = np.where(hit, 32768, 0)
-        self.weight[lanes] = np.clip(w + np.where(np.abs(goal - a) < np.abs(goal - b), 2, -2), 16, 240)
+        self.weight[some] = np.clip(w + np.where(np.abs(goal - a) < np.abs(goal - b), 2, -2), 16, 240)
         self.by_conf[ctx], self.by_past[past] = a + ((goal - a) >> 5), b + ((goal - b) >> 5)
-        self.past[lanes] = (self.past[lanes] * 2 + hit) & 7
+        self.past[some] = (self.past[some] * 2 + hit) & 7
         out = first.copy() if self.reading else ids
         again = np.flatnonzero(~hit & (c2 > 0) & (c1 > 0) & (p1 != p2))
         rest = ~hit
@@ -154,7 +161,7 @@ class _Lanes:
             same = was == out
             pred[h] = np.where(c == 0, out, was)
             conf[h] = np.where(c == 0, 1, np.where(same, np.minimum(c + 1, 7), c >> 1))
-        self.last2[lanes], self.last1[lanes] = last1, out
+        self.last2[some], self.last1[some] = last1.copy(), out
         return out
 
     def codes(self) -> list[bytes]:
