@@ -164,3 +164,14 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
     assert components(edges.where(F.lit(False))).count() == 0
+
+
+def test_fingerprint_equals_a_plain_version():
+    import xxhash
+
+    for text in ["One two THREE four five", "a a a a", "Ünï Code x", "one two", "", " \t\n", " a\x1cb c d", "word " * 3000, None]:
+        words = [w for w in (text or "").translate(LOWER).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) % (1 << 64) == want
