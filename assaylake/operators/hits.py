@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaylake.functions.expressions import overlap_ratio, safe_ratio
+from assaylake.functions.expressions import safe_ratio
+
+from .graph import materialise
 
 
 def filter_hits(hits: DataFrame, min_coverage: float = 0.5, min_identity: float = 80) -> DataFrame:
@@ -48,28 +50,57 @@ def annotate_hits(hits: DataFrame, coverage_threshold: float = 0.9) -> DataFrame
     return per.withColumn("final_annotation", label).withColumn("best_subject", F.col("_best.sseqid")).drop("_longest", "_best")
 
 
+def _fewest(length: Column, threshold: float) -> Column:
+    """The fewest shared positions that are more than the threshold's share of a length."""
+    n = F.floor(length * threshold)
+    over = lambda x: x / length > threshold
+    return F.when(over(n), n).when(over(n + 1), n + 1).otherwise(n + 2)
+
+
+def _overlapping(intervals: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Keys of ``intervals`` (key, owner, s, e) with two of different owners that share more than the threshold of the shorter one.
+
+    A sweep in order of starts, without pairs. An interval meets an earlier one like this exactly if, of those with other
+    owners, the one that reaches farthest shares enough for this one's length, or one shares enough for its own length. So
+    the two best of different owners are carried along: the best so far, and the best of what it has displaced or held
+    off. Ranges of (key, start) are swept by themselves and then see what the ranges before them end with, a row for each
+    range and key, so no task sees a hot key whole. Positions are whole numbers; rows with a null take no part.
+    """
+    threshold = max(threshold, 0.0)
+    parts = max(2, int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = intervals.select(F.col(key).alias("key"), "owner", "s", "e").dropna().withColumn("need", _fewest(F.col("e") - F.col("s") + 1, threshold))
+    dealt = materialise(rows.repartitionByRange(parts, "key", "s", "e", "owner").withColumn("_p", F.spark_partition_id()), "intervals")  # once: ranges are sampled
+    earlier = Window.partitionBy("_p", "key").orderBy("s", "e", "owner").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    displaced = lambda a, b: F.when(a["owner"] != b["owner"], F.least(a, b))
+    ways = {"far": F.col("e").cast("long"), "free": F.col("e") + 1 - F.col("need")}
+    swept = dealt.withColumns({w: F.struct(x.alias("x"), "owner") for w, x in ways.items()})
+    swept = swept.withColumns({f"{w}1": F.max(w).over(earlier) for w in ways})
+    swept = swept.withColumns({f"{w}_off": displaced(F.col(f"{w}1"), F.col(w)) for w in ways})
+    swept = swept.withColumns({f"{w}2": F.max(f"{w}_off").over(earlier) for w in ways})
+    ends = swept.groupBy("_p", "key").agg(*[F.max(x).alias(f"end_{x}") for w in ways for x in (w, f"{w}_off")])
+    ends = ends.withColumns({f"{w}_b1": F.max(f"end_{w}").over(before) for w in ways})
+    ends = ends.withColumns({f"{w}_b_off": F.greatest(displaced(F.col(f"{w}_b1"), F.col(f"end_{w}")), F.col(f"end_{w}_off")) for w in ways})
+    ends = ends.withColumns({f"{w}_b2": F.max(f"{w}_b_off").over(before) for w in ways}).select("_p", "key", *[f"{w}_b{i}" for w in ways for i in (1, 2)])
+    other = lambda c: F.when(F.col(f"{c}1")["owner"] != F.col("owner"), F.col(f"{c}1")["x"]).otherwise(F.col(f"{c}2")["x"])
+    meets = [c for at in ("", "_b") for c in (other(f"far{at}") - F.col("s") + 1 >= F.col("need"), other(f"free{at}") >= F.col("s"))]
+    found = swept.join(ends, ["_p", "key"]).where(F.lit(threshold < 1) & F.coalesce(F.greatest(*meets), F.lit(False)))
+    return found.select(F.col("key").alias(key)).distinct()
+
+
+def _flagged(hits: DataFrame, key: str, owner: str, threshold: float) -> DataFrame:
+    over = _overlapping(hits.dropna(subset=["sstart", "send"]).select(key, F.col(owner).alias("owner"), F.least("sstart", "send").alias("s"), F.greatest("sstart", "send").alias("e")), key, threshold)
+    return hits.select(key).distinct().join(over.withColumn("overlaps", F.lit(True)), key, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
+
+
 def hit_overlap_selfjoin(hits: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Per query: does any pair of its hits overlap on the subject axis by more than the threshold?"""
-    h = hits.select("qseqid", "hit_id", F.least("sstart", "send").alias("s"), F.greatest("sstart", "send").alias("e"))
-    a, b = h.alias("a"), h.alias("b")
-    meets = (F.col("a.qseqid") == F.col("b.qseqid")) & (F.col("a.hit_id") < F.col("b.hit_id")) & (F.col("a.s") <= F.col("b.e")) & (F.col("b.s") <= F.col("a.e"))
-    over = a.join(b, meets & (overlap_ratio(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")) > threshold)).select(F.col("a.qseqid").alias("qseqid")).distinct()
-    return hits.select("qseqid").distinct().join(over.withColumn("overlaps", F.lit(True)), "qseqid", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
+    return _flagged(hits, "qseqid", "hit_id", threshold)
 
 
 def contig_overlap_selfjoin(hits: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per subject: does any pair of distinct queries overlap on it by more than the threshold?
-
-    Intervals are joined by the buckets of positions that they touch, so those far apart on a long
-    subject never meet.
-    """
-    h = hits.select("sseqid", "qseqid", F.least("sstart", "send").alias("s"), F.greatest("sstart", "send").alias("e"))
-    width = 64
-    binned = lambda d: d.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
-    a, b = binned(h).alias("a"), binned(h).alias("b")
-    meets = (F.col("a.sseqid") == F.col("b.sseqid")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.qseqid") < F.col("b.qseqid")) & (F.col("a.s") <= F.col("b.e")) & (F.col("b.s") <= F.col("a.e"))
-    over = a.join(b, meets & (overlap_ratio(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")) > threshold)).select(F.col("a.sseqid").alias("sseqid")).distinct()
-    return hits.select("sseqid").distinct().join(over.withColumn("overlaps", F.lit(True)), "sseqid", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
+    """Per subject: does any pair of distinct queries overlap on it by more than the threshold?"""
+    return _flagged(hits, "sseqid", "qseqid", threshold)
 
 
 def annotation_summary(annotated: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Worked examples of the metrics, intervals and sequence scores."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,35 @@ def test_annotation_closed_form(spark):
     assert got == {"a": "full", "b": "fragment", "c": "chimera", "d": "chimera", "e": "fragment", "f": "multi"}
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.29])
+def test_overlaps_equal_brute_force(spark, threshold):
+    """A hot key, intervals in either order, several from one owner, nulls; more ranges than keys."""
+    draw = random.Random(7)
+    rows = [("hot", f"q{i % 3}", i, 400 * i + draw.randint(0, 150), 400 * i + draw.randint(151, 500)) for i in range(300)]
+    for key in range(80):
+        for i in range(draw.randint(1, 6)):
+            s, n = draw.randint(1, 200), draw.choice([7, 20, 60, 100, 100])
+            rows.append((f"k{key}", f"q{draw.randint(1, 3)}", 1000 + 10 * key + i, *draw.choice([(s, s + n - 1), (s + n - 1, s)])))
+    rows += [("nulls", "q1", 5000, None, 9), ("nulls", "q2", 5001, 1, 9), ("nulls", None, 5002, 1, 9), ("nulls", "q2", 5003, 1, 9)]
+    got = {}
+    df = spark.createDataFrame(rows, "k string, o string, hit_id int, sstart int, send int")
+    for row in hits.contig_overlap_selfjoin(df.select(F.col("k").alias("sseqid"), F.col("o").alias("qseqid"), "sstart", "send"), threshold).collect():
+        got[row["sseqid"], 1] = row["overlaps"]
+    for row in hits.hit_overlap_selfjoin(df.select(F.col("k").alias("qseqid"), "hit_id", "sstart", "send"), threshold).collect():
+        got[row["qseqid"], 2] = row["overlaps"]
+    want = {}
+    for k, *_ in rows:
+        mine = [r for r in rows if r[0] == k and r[3] is not None]
+        for owner in (1, 2):
+            want[k, owner] = False
+            for a, b in itertools.combinations(mine, 2):
+                (s, e), (u, v) = sorted(a[3:]), sorted(b[3:])
+                if None not in (a[owner], b[owner]) and a[owner] != b[owner] and (min(e, v) - max(s, u) + 1) / (min(e - s, v - u) + 1) > threshold:
+                    want[k, owner] = True
+    assert got == want
+    assert threshold == 0.0 or len(set(got.values())) == 2
+
+
 def test_depth_sweep_equals_brute_force(spark):
     rows = [("k", 1, 5), ("k", 3, 8), ("k", 8, 3), ("k", 20, 22), ("m", 2, 2)]
     got = hits.interval_depth(spark.createDataFrame(rows, "k string, s int, e int"), "k").collect()
