@@ -9,9 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, materialise, packed, small, unit_hash, with_columns
 
@@ -60,20 +61,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small(batches):
-        pairs = [np.unique(hashed_grams(t), return_counts=True) for t in b.column("text").to_pylist()]
-        index = pa.array([i.astype(np.int32) for i, _ in pairs], pa.list_(pa.int32()))
-        value = pa.array([(c / (c.sum() + PAD)).astype(np.float32) for _, c in pairs], pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([b.column("label"), index, value], names=["label", "index", "value"])
-
-
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of this partition's toxic and other rows hold each bucket: as many rows as buckets at most."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for b in batches:
-        for label, index in zip(b.column("label").to_pylist(), b.column("index"), strict=True):
-            counts[label, index.values.to_numpy()] += 1  # no bucket twice in a row
+    for b in small(batches):
+        for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+            counts[label, np.unique(hashed_grams(text))] += 1
     used = np.flatnonzero(counts.any(axis=0))
     for at in range(0, len(used), 1 << 15):
         some = used[at : at + (1 << 15)]
@@ -104,13 +97,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     chosen = present.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
     rows = docs.select(col(doc_id).alias("_id"), F.coalesce(col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
     data = materialise(rows.select("label", "text"), "toxicity-sample")
-    features = data.mapInArrow(_features, "label int, index array<int>, value array<float>")  # large: made anew for each use
     n = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     flat = ToxicityModel(np.zeros(1 << BITS, np.float32), min(math.log((n_toxic + 1) / (n_other + 1)), UNTRAINED))
     if not n_toxic or not n_other:
         return flat
-    counts = features.mapInArrow(_bucket_counts, "bucket long, toxic long, other long")
+    counts = data.mapInArrow(_bucket_counts, "bucket long, toxic long, other long")
     got = log_count_ratios(counts, n_toxic, n_other).orderBy("bucket").toPandas()  # a row for each bucket at most
     if got.empty:
         return flat
@@ -120,19 +112,24 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     place[used] = np.arange(len(used))
     held = docs.sparkSession.sparkContext.broadcast((ratio, place))  # as large as the buckets, whatever the input
 
+    n_used = len(used)
+
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sparse vectors of the n-grams' shares times their ratios; n-grams are made anew, as they are larger than the texts."""
+        ratio, place = held.value
         for b in small(batches):
-            index, value, at = b.column("index").flatten().to_numpy(), b.column("value").flatten().to_numpy(), b.column("index").offsets.to_numpy()
-            ratio, place = held.value
-            kept = ratio[index] != 0
-            ends = np.concatenate([[0], np.cumsum(kept)])[at - at[0]].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[kept])) for x in (place[index], SCALE * value * ratio[index])]
-            yield pa.RecordBatch.from_arrays([b.column("label"), *lists], names=["label", "index", "value"])
-
-    n_used = len(used)
-    scaled = materialise(features.mapInArrow(scale, "label int, index array<int>, value array<double>"), "toxicity-features")
-    vector = F.udf(lambda index, value: SparseVector(n_used, sorted(zip(index, value, strict=True))), VectorUDT())
-    rows = scaled.select("label", vector("index", "value").alias("features"))
+            indices, values = [], []
+            for text in b.column("text").to_pylist():
+                index, times = np.unique(hashed_grams(text), return_counts=True)
+                share, kept = (times / (times.sum() + PAD)).astype(np.float32), ratio[index] != 0
+                indices.append(place[index[kept]])
+                values.append(SCALE * share[kept] * ratio[index[kept]])
+            columns = [pa.array([0] * b.num_rows, pa.int8()), pa.array([n_used] * b.num_rows, pa.int32()), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            vectors = pa.StructArray.from_arrays(columns, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), vectors], names=["label", "features"])
+
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("features", VectorUDT())])
+    rows = materialise(data.mapInArrow(scale, schema), "toxicity-features")
     fit = LogisticRegression(labelCol="label", maxIter=30, regParam=1e-4, standardization=False).fit(rows)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = SCALE * ratio[used] * fit.coefficients.toArray()
