@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, token_store, toxicity, vector_search
+from . import content_dedup, html_text, language_id, merkle, mixing, piece_codec, simhash, spelling, substring_dedup, token_counts, token_store, toxicity, vector_search
 from .common import table
 
 
@@ -67,8 +67,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by profiles of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.is_held_out(F.col("doc_id"))
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof digest of every document, and the root that its proof gives for a text without line ends where its id's crc32 is even."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf_hash(*[F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in fields])
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", fields, F.when(even, tampered))
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("payload", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus, with one in 31 of its places in documents misspelt, and the word whose variant it is."""
+    words = spelling.corpus_words(table(spark, sf_dir, "documents"), drop_every=31)
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op6_token_ids, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op6_token_ids, op7_simhash, op8_nearest_neighbours, op9_pieces, op10_exact_dedup, op11_language_id, op12_merkle_manifest, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {

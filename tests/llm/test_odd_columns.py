@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from assaylake.llm import content_dedup, html_text, mixing, piece_codec, simhash, substring_dedup, token_counts, token_store, toxicity, vector_search
+from assaylake.llm import content_dedup, html_text, language_id, merkle, mixing, piece_codec, simhash, spelling, substring_dedup, token_counts, token_store, toxicity, vector_search
 
 LLM = Path(html_text.__file__).parent
 #: Every name in quotes that the operators' code holds, whatever it stands for there.
@@ -51,6 +51,10 @@ def test_clashing_names(clashing):
     same(token_counts.token_lengths(clashing, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), clashing, ["n_tokens"])
     assert token_store.token_digests(clashing, P.path("byte_bpe_50k.json")).count() == clashing.count()
     same(html_text.extract_text(clashing, "text", "out.text"), clashing, ["out.text"])
+    tongues = clashing.withColumn("lang", F.lit("en"))
+    same(language_id.identify(tongues, language_id.train(tongues)), tongues, language_id.ADDED)
+    assert merkle.manifest(clashing, "doc_id", "source", ["doc_id", "text"]).count() == clashing.count()
+    assert spelling.group_variants(spelling.corpus_words(clashing)).count() > 0
     vectors = clashing.withColumn("vec_id", F.col("doc_id")).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
     assert vector_search.nearest_neighbours(vectors, F.col("id") % 20 == 0).count() == 0
 
