@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import change_complexity, count_letter, information_content, letter_entropy, safe_ratio
+from assaylake.functions.tails import chi2_p
 
 #: k-mers cut from one piece of a sequence.
 PIECE = 512
@@ -129,15 +130,15 @@ def two_sample(counts: DataFrame, side: str, test: str, by: Sequence[str] = ())
 
 
 def divergence(merged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Square root of the Jensen-Shannon divergence (base 2) with its flag, and KL(test || train) with 2 N KL over shared k-mers."""
+    """Square root of the Jensen-Shannon divergence (base 2) with its flag, and KL(test || train) over shared k-mers with 2 N KL and its p by chi squared of distinct k-mers less one."""
     keys = [*by, "k"]
     size = merged.groupBy(*keys).agg(F.sum("n_test").cast("double").alias("_a"), F.sum("n_train").cast("double").alias("_b"))
     p, q = F.col("n_test") / F.col("_a"), F.col("n_train") / F.col("_b")
     m = (p + q) / 2
     js = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
     kl = F.when((p > 0) & (q > 0), p * F.ln(p / q)).otherwise(0.0)
-    got = merged.join(size, keys).where("_a > 0 AND _b > 0").groupBy(*keys).agg(F.sqrt(F.greatest(F.sum(js) / 2, F.lit(0.0))).alias("jsd"), F.sum(kl).alias("kl"), F.max("_a").alias("n_test"))
-    return got.withColumn("flag", F.when(F.col("jsd") > 0.15, "HIGH").when(F.col("jsd") > 0.10, "MOD").otherwise("LOW")).withColumn("chi2", 2 * F.col("n_test") * F.col("kl"))
+    got = merged.join(size, keys).where("_a > 0 AND _b > 0").groupBy(*keys).agg(F.sqrt(F.greatest(F.sum(js) / 2, F.lit(0.0))).alias("jsd"), F.sum(kl).alias("kl"), F.max("_a").alias("n_test"), F.count(F.lit(1)).alias("_d"))
+    return got.withColumn("flag", F.when(F.col("jsd") > 0.15, "HIGH").when(F.col("jsd") > 0.10, "MOD").otherwise("LOW")).withColumn("chi2", 2 * F.col("n_test") * F.col("kl")).withColumn("p", chi2_p("chi2", F.col("_d") - 1)).drop("_d")
 
 
 def held_out_entropy(counts: DataFrame, label: str, alphabet: int = 4) -> DataFrame:

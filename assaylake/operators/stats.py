@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import safe_ratio
+from assaylake.functions.tails import chi2_p, f_p, normal_p, t_p
 
 from .graph import materialise
 
@@ -19,20 +22,28 @@ def long_form(df: DataFrame, variables: Sequence[str], cls: Sequence[str] = ())
     return df.select(*cls, F.explode(pairs).alias("x")).select(*cls, "x.*").where("value IS NOT NULL")
 
 
-def cumulative(counts: DataFrame, by: Sequence[str], value: str | Sequence[str], n: str, out: str) -> DataFrame:
-    """``counts`` with the running sum of ``n`` over rows in order of ``value``, by group.
+def _over_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, str], f: Callable, join: Callable, backwards: bool = False) -> DataFrame:
+    """``rows`` with running ``f`` of columns by group: ``values`` names each result's column; ``join`` puts two results together.
 
-    Values are dealt to ranges of (group, value), which are summed by themselves and then moved by what comes before
+    Rows are dealt to ranges of (group, order), which are run through by themselves and then moved by what comes before
     them, so no task sees a group whole; between tasks go a row for each range and group.
     """
-    parts, order = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), [value] if isinstance(value, str) else value
-    dealt = materialise(counts.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
-    sums = dealt.groupBy("_p", *by).agg(F.sum(n).alias("_s"))
-    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_p", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_b"))
-    inside = dealt.withColumn("_c", F.sum(n).over(Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    on = [inside["_p"] == before["_p"], *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
-    return inside.join(before, on).withColumn(out, F.col("_c") + F.col("_b")).select(*counts.columns, out)
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialise(rows.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
+    sums = dealt.groupBy("_p", *by).agg(*[f(n).alias(f"_s_{out}") for out, n in values.items()])
+    w = Window.partitionBy(*by).orderBy("_p")
+    others = w.rowsBetween(1, Window.unboundedFollowing) if backwards else w.rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_p").alias("_p2"), *[F.col(c).alias(f"_by_{c}") for c in by], *[f(f"_s_{out}").over(others).alias(f"_b_{out}") for out in values])
+    own = Window.partitionBy("_p", *by).orderBy(*order)
+    own = own.rowsBetween(0, Window.unboundedFollowing) if backwards else own.rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select("*", *[f(n).over(own).alias(f"_c_{out}") for out, n in values.items()])
+    on = [F.col("_p") == F.col("_p2"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    return inside.join(before, on).select(*rows.columns, *[join(F.col(f"_c_{out}"), F.col(f"_b_{out}")).alias(out) for out in values])
+
+
+def cumulative(counts: DataFrame, by: Sequence[str], value: str | Sequence[str], n: str | dict[str, str], out: str = "") -> DataFrame:
+    """``counts`` with the running sum ``out`` of ``n`` over rows in order of ``value``, by group; ``n`` may also name several results' columns."""
+    return _over_ranges(counts, by, [value] if isinstance(value, str) else value, {out: n} if isinstance(n, str) else n, F.sum, lambda c, b: c + F.coalesce(b, F.lit(0)))
 
 
 def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -79,10 +90,11 @@ def nx_lx(df: DataFrame, by: Sequence[str], width: str, xs: Sequence[int]) -> Da
 
     Works on counts of widths, not on sequences.
     """
-    counts = df.groupBy(*by, width).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy(F.col(width).desc())
-    whole = Window.partitionBy(*by)
-    run = counts.withColumn("sum", F.sum(F.col(width) * F.col("c")).over(w)).withColumn("all", F.sum(F.col(width) * F.col("c")).over(whole)).withColumn("below", F.sum("c").over(w) - F.col("c"))
+    counts = df.where(F.col(width).isNotNull()).groupBy(*by, width).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumns({"_back": -F.col(width), "_mass": F.col(width) * F.col("c")})
+    whole = counts.groupBy(*by).agg(F.sum("_mass").alias("all")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "all")
+    run = cumulative(counts, by, "_back", {"sum": "_mass", "upto": "c"}).withColumn("below", F.col("upto") - F.col("c"))
+    run = run.join(whole, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)])
     cut = run.withColumn("x", F.explode(F.array(*[F.lit(x) for x in xs]))).withColumn("goal", F.col("all") * F.col("x") / 100)
     reached = cut.where(F.col("sum") >= F.col("goal")).groupBy(*by, "x").agg(F.max(F.struct(F.col(width).alias("w"), "below", "sum", "goal", "c")).alias("r"))
     short = F.col("r.goal") - (F.col("r.sum") - F.col("r.w") * F.col("r.c"))
@@ -136,56 +148,80 @@ def pearson_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """(a, b, r) of average ranks; rank tables are of distinct values and are joined to the rows."""
+    """(a, b, r) of average ranks. All variables are ranked in one pass over counts of values, and ranks are joined to the rows."""
+    df = df.select(*[F.col(v).cast("double").alias(v) for v in variables])
+    ranks = materialise(average_ranks(long_form(df, variables), ["variable"]), "ranks")  # so that its size is known
     for v in variables:
-        r = average_ranks(df.select(F.col(v).alias("value")).where("value IS NOT NULL"), []).select(F.col("value").alias(f"_v_{v}"), F.col("rank").alias(f"_r_{v}"))
+        r = ranks.where(F.col("variable") == v).select(F.col("value").alias(f"_v_{v}"), F.col("rank").alias(f"_r_{v}"))
         df = df.join(r, F.col(v) == F.col(f"_v_{v}"), "left").drop(f"_v_{v}")
     got = pearson_matrix(df, [f"_r_{v}" for v in variables])
     return got.withColumns({"a": F.substring("a", 4, 1000), "b": F.substring("b", 4, 1000)})
 
 
-def anova_eta2(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
-    """One-way F and eta squared of each variable, from group moments."""
-    g = long_form(df, variables, [cls]).where(F.col(cls).isNotNull()).groupBy("variable", cls).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(rho, n, p) of rows that have both: p from t = rho sqrt((n - 2) / (1 - rho^2)), two-sided."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = both.agg(F.count(F.lit(1)).alias("n"))
+    got = spearman_matrix(both, [x, y]).select(F.col("r").alias("rho")).crossJoin(F.broadcast(n))  # one row
+    return got.withColumn("p", t_p(F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))), F.col("n") - 2))
+
+
+def _between(long: DataFrame, cls: str) -> DataFrame:
+    """(variable, k, N, F, eta2, p): classes against what varies within them, from group moments of (cls, variable, value)."""
+    g = long.where(F.col(cls).isNotNull()).groupBy("variable", cls).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     n, m = F.col("n"), F.col("m")
     s = g.groupBy("variable").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(n * F.col("v")).alias("ssw"), (F.sum(n * m * m) - F.pow(F.sum(n * m), F.lit(2.0)) / F.sum(n)).alias("ssb"))
-    return s.select("variable", "k", "N", safe_ratio(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k"))).alias("F"), safe_ratio(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"))
+    got = s.select("variable", "k", "N", safe_ratio(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k"))).alias("F"), safe_ratio(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"))
+    return got.withColumn("p", f_p("F", F.col("k") - 1, F.col("N") - F.col("k")))
 
 
-def kruskal_wallis(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
-    """Tie-corrected H of each variable."""
-    long = long_form(df, variables, [cls]).where(F.col(cls).isNotNull())
-    ranks = average_ranks(long, ["variable"])
+def anova_eta2(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
+    """One-way F, eta squared and p of each variable."""
+    return _between(long_form(df, variables, [cls]), cls)
+
+
+def _ranked_cells(long: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
+    """(variable, value, cls, n, rank, ties), and (variable, N, t), t being the sum of ties^3 - ties: from one count of the cells."""
+    cells = materialise(long.where(F.col(cls).isNotNull()).groupBy("variable", "value", cls).agg(F.count(F.lit(1)).alias("n")), "rank-cells")
+    counts = cells.groupBy("variable", "value").agg(F.sum("n").alias("ties"))
+    ranks = materialise(cumulative(counts, ["variable"], "value", "ties", "_upto").withColumn("rank", F.col("_upto") - (F.col("ties") - 1) / 2).drop("_upto"), "ranks")
     ties = ranks.groupBy("variable").agg(F.sum("ties").alias("N"), F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("t"))
-    cells = long.groupBy("variable", "value", cls).agg(F.count(F.lit(1)).alias("_cell")).join(ranks, ["variable", "value"])
-    groups = cells.groupBy("variable", cls).agg(F.sum("_cell").alias("n"), F.sum(F.col("_cell") * F.col("rank")).alias("R"))
+    return cells.join(ranks, ["variable", "value"]), ties
+
+
+def kruskal_wallis(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
+    """Tie-corrected H of each variable, and its p by chi squared."""
+    cells, ties = _ranked_cells(long_form(df, variables, [cls]), cls)
+    groups = cells.groupBy("variable", cls).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("R"))
     h = groups.groupBy("variable").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("R") * F.col("R") / F.col("n")).alias("s")).join(ties, "variable")
     N = F.col("N").cast("double")
-    return h.select("variable", "k", "N", safe_ratio(12 / (N * (N + 1)) * F.col("s") - 3 * (N + 1), 1 - F.col("t") / (N * N * N - N)).alias("H"))
+    got = h.select("variable", "k", "N", safe_ratio(12 / (N * (N + 1)) * F.col("s") - 3 * (N + 1), 1 - F.col("t") / (N * N * N - N)).alias("H"))
+    return got.withColumn("p", chi2_p("H", F.col("k") - 1))
 
 
-def wilcoxon_rank_sum(df: DataFrame, variables: Sequence[str], cls: str, a: str, b: str) -> DataFrame:
-    """U of class ``a`` against ``b`` and its tie-corrected normal deviate."""
-    long = long_form(df, variables, [cls]).where(F.col(cls).isin(a, b))
-    ranks = average_ranks(long, ["variable"])
-    ties = ranks.groupBy("variable").agg(F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("t"))
-    cells = long.groupBy("variable", "value").agg(F.count_if(F.col(cls) == a).alias("ca"), F.count_if(F.col(cls) == b).alias("cb")).join(ranks, ["variable", "value"])
-    s = cells.groupBy("variable").agg(F.sum("ca").cast("double").alias("na"), F.sum("cb").cast("double").alias("nb"), F.sum(F.col("ca") * F.col("rank")).alias("ra")).join(ties, "variable")
+def wilcoxon_rank_sum(df: DataFrame, variables: Sequence[str], cls: str, a: str, b: str, correct: bool = True) -> DataFrame:
+    """U of class ``a`` against ``b``, its tie-corrected normal deviate, and the two-sided p, by default with half a rank's correction for continuity."""
+    cells, ties = _ranked_cells(long_form(df, variables, [cls]).where(F.col(cls).isin(a, b)), cls)
+    of = lambda x: F.sum(F.when(F.col(cls) == x, F.col("n")).otherwise(0)).cast("double")
+    s = cells.groupBy("variable").agg(of(a).alias("na"), of(b).alias("nb"), F.sum(F.when(F.col(cls) == a, F.col("n") * F.col("rank"))).alias("ra")).join(ties, "variable")
     na, nb = F.col("na"), F.col("nb")
     u = F.col("ra") - na * (na + 1) / 2
     n = na + nb
-    var = na * nb / 12 * (n + 1 - F.col("t") / (n * (n - 1)))
-    return s.select("variable", na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"), u.alias("U"), safe_ratio(u - na * nb / 2, F.sqrt(var)).alias("z"))
+    sd, off = F.sqrt(na * nb / 12 * (n + 1 - F.col("t") / (n * (n - 1)))), u - na * nb / 2
+    half = F.when(off != 0, 0.5).otherwise(0.0) if correct else F.lit(0.0)
+    got = s.select("variable", na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"), u.alias("U"), safe_ratio(off, sd).alias("z"), safe_ratio(F.abs(off) - half, sd).alias("_c"))
+    return got.withColumn("p", normal_p("_c")).drop("_c")
 
 
 def pairwise_t(df: DataFrame, variable: str, cls: str, by: Sequence[str] = ()) -> DataFrame:
-    """Welch's t and degrees of freedom for every pair of classes in each group, from moments."""
+    """Welch's t, degrees of freedom and two-sided p for every pair of classes in each group, from moments."""
     m = df.where(F.col(cls).isNotNull()).groupBy(*by, cls).agg(F.count(variable).alias("n"), F.avg(variable).alias("m"), F.var_samp(variable).alias("v"))
     a = m.select(*by, F.col(cls).alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("v").alias("va"))
     b = m.select(*by, F.col(cls).alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("v").alias("vb"))
     pairs = a.join(b, list(by)) if by else a.crossJoin(b)  # moments: a row for each class
     x, y = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    return pairs.where("a < b").select(*by, "a", "b", safe_ratio(F.col("ma") - F.col("mb"), F.sqrt(x + y)).alias("t"), safe_ratio((x + y) * (x + y), x * x / (F.col("na") - 1) + y * y / (F.col("nb") - 1)).alias("df"))
+    got = pairs.where("a < b").select(*by, "a", "b", safe_ratio(F.col("ma") - F.col("mb"), F.sqrt(x + y)).alias("t"), safe_ratio((x + y) * (x + y), x * x / (F.col("na") - 1) + y * y / (F.col("nb") - 1)).alias("df"))
+    return got.withColumn("p", t_p("t", "df"))
 
 
 def levene(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
@@ -193,35 +229,42 @@ def levene(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
     long = long_form(df, variables, [cls])
     med = quantiles(long, ["variable", cls], [0.5]).select("variable", cls, F.col("quantile").alias("_m"))
     dev = long.join(med, ["variable", cls]).select("variable", cls, F.abs(F.col("value") - F.col("_m")).alias("value"))
-    g = dev.groupBy("variable", cls).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    n, m = F.col("n"), F.col("m")
-    s = g.groupBy("variable").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(n * F.col("v")).alias("ssw"), (F.sum(n * m * m) - F.pow(F.sum(n * m), F.lit(2.0)) / F.sum(n)).alias("ssb"))
-    return s.select("variable", safe_ratio(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k"))).alias("F"))
+    return _between(dev, cls).select("variable", "k", "N", "F", "p")
 
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
-    """Chi squared of ranks within blocks, tie-corrected; one value for each block and treatment."""
+    """Chi squared of ranks within blocks, tie-corrected, and its p; one value for each block and treatment."""
     ranks = ranks_in_blocks(df.select(block, F.col(value).alias("value")), [block])
     k = df.select(F.count_distinct(treatment).alias("k"), F.count_distinct(block).alias("b"))
     sums = df.join(ranks, (df[block] == ranks[block]) & (df[value] == ranks["value"])).groupBy(treatment).agg(F.sum("rank").alias("R"))
     ties = ranks.agg(F.sum(F.pow(F.col("ties").cast("double"), F.lit(3.0)) - F.col("ties")).alias("t"))
     one = sums.agg(F.sum(F.col("R") * F.col("R")).alias("s")).crossJoin(k).crossJoin(ties)  # one row each
     kk, b = F.col("k").cast("double"), F.col("b").cast("double")
-    return one.select("k", "b", safe_ratio(12 * F.col("s") / (b * kk * (kk + 1)) - 3 * b * (kk + 1), 1 - F.col("t") / (b * (kk * kk * kk - kk))).alias("chi2"))
+    got = one.select("k", "b", safe_ratio(12 * F.col("s") / (b * kk * (kk + 1)) - 3 * b * (kk + 1), 1 - F.col("t") / (b * (kk * kk * kk - kk))).alias("chi2"))
+    return got.withColumn("p", chi2_p("chi2", F.col("k") - 1))
 
 
 def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), method: str = "BH") -> DataFrame:
-    """Adjusted p-values (BH, bonferroni or none) and significance stars, for tables of tests."""
-    w = Window.partitionBy(*by)
-    n = F.count(p).over(w)
+    """``df`` with adjusted p-values (BH, bonferroni or none) and significance stars; a null p has neither and is not counted.
+
+    BH takes for each distinct p the least of q n / (how many are up to q) over all q from p on: running counts and running
+    minima over ranges of values, so a table of any number of tests is many tasks' work.
+    """
+    key = [F.col(c) for c in by]
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     if method == "BH":
-        rank = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))
-        df = df.withColumn("_x", F.col(p) * n / rank)
-        adj = F.least(F.min("_x").over(w.orderBy(F.col(p).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
+        counts = cumulative(counts, by, "_q", "_n", "_upto")
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_all")
+    counts = counts.join(whole, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)])
+    if method == "BH":
+        counts = _over_ranges(counts.withColumn("_x", F.col("_q") * F.col("_all") / F.col("_upto")), by, ["_q"], {"_least": "_x"}, F.min, F.least, backwards=True)
+        adj = F.col("_least")
     else:
-        df, adj = df.withColumn("_x", F.lit(0)), F.least(F.col(p) * (n if method == "bonferroni" else 1), F.lit(1.0))
+        adj = F.col("_q") * (F.col("_all") if method == "bonferroni" else 1)
+    found = counts.select(*[c.alias(f"_to_{n}") for c, n in zip(key, by, strict=True)], "_q", F.least(adj, F.lit(1.0)).alias("p_adj"))
     q = F.col("p_adj")
-    return df.withColumn("p_adj", F.when(F.col(p).isNotNull(), adj)).withColumn("stars", F.when(q < 0.001, "***").when(q < 0.01, "**").when(q < 0.05, "*").when(q.isNotNull(), "ns")).drop("_x")
+    got = df.join(found, [F.col(p) == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in by]], "left").select(*df.columns, "p_adj")
+    return got.withColumn("stars", F.when(q < 0.001, "***").when(q < 0.01, "**").when(q < 0.05, "*").when(q.isNotNull(), "ns"))
 
 
 def equal_frequency_bins(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -241,12 +284,51 @@ def mutual_information(df: DataFrame, variables: Sequence[str], cls: str, n: int
     return out
 
 
-def ordinal_power(df: DataFrame, label: str, odds: float, alpha_z: float = 1.959964, power_z: float = 0.841621) -> DataFrame:
-    """Sample size to detect an odds ratio on ordered classes: 6 (za + zb)^2 / ln(odds)^2 / (1 - sum p^3)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    s = counts.agg(F.sum("n").alias("N"), F.sum(F.pow("n", F.lit(3.0))).alias("c"))
-    ps = 1 - F.col("c") / F.pow("N", F.lit(3.0))
-    return s.select(F.lit(float(odds)).alias("odds"), ps.alias("ps"), (6 * (alpha_z + power_z) ** 2 / F.pow(F.ln(F.lit(float(odds))), F.lit(2.0)) / ps).alias("n_needed"))
+def quality_profile(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, mean, p10, q1, median, q3, p90) of a value, exactly; nulls are passed over."""
+    names = {0.1: "p10", 0.25: "q1", 0.5: "median", 0.75: "q3", 0.9: "p90"}
+    q = quantiles(df, by, list(names), value).groupBy(*[F.col(c).alias(f"_q_{c}") for c in by]).agg(*[F.max(F.when(F.col("share") == x, F.col("quantile"))).alias(n) for x, n in names.items()])
+    means = df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return means.join(q, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left").select(*by, "mean", *names.values())
+
+
+def shifted_classes(df: DataFrame, label: str, odds: float, by: Sequence[str] = (), folds: int = 0) -> DataFrame:
+    """(by, label, n, p, p_shifted, p_mean): the shares of ordered classes, what they become when all cumulative odds are multiplied, and the mean of the two.
+
+    Classes ascend by ``label``, nulls left out. A cumulative share c becomes o c / (1 - c + o c), and differences of
+    neighbours give the classes again. Windows run over classes, a row for each. With ``folds``, ``by`` is a fold from 1
+    on, and the shares are those of all other folds: totals less the fold's own.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if folds:
+        all_ = counts.groupBy(label).agg(F.sum("n").alias("_t")).select(label, "_t", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(folds).cast("long"))).alias("_f"))
+        own = counts.select(F.col(by[0]).alias("_g"), F.col(label).alias("_l"), "n")
+        got = all_.join(own, (F.col("_f") == F.col("_g")) & (F.col(label) == F.col("_l")), "left")
+        counts = got.select(F.col("_f").alias(by[0]), label, (F.col("_t") - F.coalesce("n", F.lit(0.0))).alias("n")).where("n > 0")
+    w = Window.partitionBy(*by)
+    upto = lambda x: F.sum(x).over(w.orderBy(label).rowsBetween(Window.unboundedPreceding, 0))
+    o = F.lit(float(odds))
+    got = counts.withColumn("_all", F.sum("n").over(w)).withColumn("_c", upto("n") / F.col("_all")).withColumn("_e", o * F.col("_c") / (1 - F.col("_c") + o * F.col("_c")))
+    got = got.withColumns({"p": F.col("n") / F.col("_all"), "p_shifted": F.col("_e") - F.coalesce(F.lag("_e").over(w.orderBy(label)), F.lit(0.0))})
+    return got.select(*by, label, F.col("n").cast("long").alias("n"), "p", "p_shifted", ((F.col("p") + F.col("p_shifted")) / 2).alias("p_mean"))
+
+
+def ordinal_power(classes: DataFrame, odds: float, by: Sequence[str] = (), p: str = "p", n: Column | str | None = None, fraction: float = 0.5, alpha: float = 0.05, power: float = 0.9) -> DataFrame:
+    """(by, odds, ps, n_needed, power): proportional odds of two groups on ordered classes whose shares are ``p``.
+
+    ps = 1 - sum p^3. ``n_needed`` rows in all, ``fraction`` of them in the first group, find the odds ratio with ``power``
+    at level ``alpha``: 3 (za + zb)^2 / (fraction (1 - fraction) ln(odds)^2 ps). ``power`` is what ``n`` rows have that are
+    dealt in the same way, ln(odds) having the variance 3 (n + 1)^2 / (n1 n2 n ps); by default ``n_needed`` rows, rounded.
+    """
+    normal = NormalDist()
+    za, zb = normal.inv_cdf(1 - alpha / 2), normal.inv_cdf(power)
+    lod, f = math.log(odds), fraction * (1 - fraction)
+    got = classes.groupBy(*by).agg((1 - F.sum(F.pow(p, F.lit(3.0)))).alias("ps"))
+    got = got.withColumn("n_needed", 3 * (za + zb) ** 2 / (f * lod * lod) / F.col("ps"))
+    rows = F.round("n_needed") if n is None else (F.col(n) if isinstance(n, str) else n)
+    at = abs(lod) * F.sqrt(rows * rows * rows * f * F.col("ps") / 3 / ((rows + 1) * (rows + 1))) - za
+    reached = F.when(at >= 0, 1 - normal_p(at) / 2).otherwise(normal_p(at) / 2)
+    return got.select(*by, F.lit(float(odds)).alias("odds"), "ps", "n_needed", reached.alias("power"))
 
 
 def cluster_curve_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

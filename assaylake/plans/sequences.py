@@ -11,6 +11,7 @@ from assaylake.operators import kmers as K
 from assaylake.operators import sets as S
 
 from .book import query
+from .statistics import chi2_tail
 from .views import CONTIGS, HITS, SEQS, contigs, hits, seqs, table
 
 STEPS = {"not_excluded": "name NOT LIKE '%1%'", "has_protein": "protein IS NOT NULL AND starts_with(protein, 'P')", "clear": "NOT contains(sequence, 'N')", "long_enough": "length(sequence) >= 6"}
@@ -397,9 +398,9 @@ def jensen_shannon(spark, d):
     return K.divergence(merged(spark, d)).select("k", "jsd", "flag")
 
 
-@query(f"WITH {SEQS}, {KM}, {MERGE}, {JS} SELECT 5 AS k, sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) END) AS kl, 2 * max(nt) * sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) END) AS chi2 FROM js", "kl chi2")
+@query(f"WITH {SEQS}, {KM}, {MERGE}, {JS}, kt AS (SELECT 5 AS k, sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) END) AS kl, 2 * max(nt) * sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) END) AS chi2, (count(*) - 1)::DOUBLE AS df FROM js) SELECT k, kl, chi2, {chi2_tail('chi2', 'df')} AS p FROM kt", "kl chi2 p")
 def kl_divergence_test(spark, d):
-    return K.divergence(merged(spark, d)).select("k", "kl", "chi2")
+    return K.divergence(merged(spark, d)).select("k", "kl", "chi2", "p")
 
 
 def _p(x: str) -> str:

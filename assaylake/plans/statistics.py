@@ -16,6 +16,30 @@ LONG = f"lg AS (SELECT l_returnflag, variable, value FROM (SELECT l_returnflag,
 LONG_AR = LONG.replace("FROM lineitem", "FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 
 
+#: Simpson's rule in SQL, for oracles of tails; with three classes chi squared and F have closed tails.
+SIMPSON = "(SELECT sum(CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f})) FROM range(0, {n} + 1) AS s(i)) / 3 * ({x}) / {n}"
+
+
+def integral(f: str, x: str, n: int = 4000) -> str:
+    """The integral of ``f``, in which {u} stands for the variable, from 0 to ``x``."""
+    return SIMPSON.format(n=n, x=x, f=f.format(u=f"(({x}) * i / {n})"))
+
+
+def t_tail(t: str, df: str) -> str:
+    return f"greatest(0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi() * {df}) * " + integral(f"pow(1 + {{u}} * {{u}} / {df}, -({df} + 1) / 2)", f"least(abs({t}), 40)") + ")"
+
+
+def normal_tail(z: str) -> str:
+    return f"greatest(0, 1 - 2 / sqrt(2 * pi()) * {integral('exp(-{u} * {u} / 2)', f'least(abs({z}), 40)')})"
+
+
+def chi2_tail(x: str, k: str) -> str:
+    return f"greatest(0, 1 - {integral(f'CASE WHEN {{u}} > 0 THEN exp(({k} / 2 - 1) * ln({{u}} / 2) - {{u}} / 2 - lgamma({k} / 2)) / 2 ELSE 0 END', f'least({x}, {k} + 60 * sqrt(2 * {k}) + 2000)', 20000)})"
+
+
+F3 = "pow((N - 3) / (N - 3 + 2 * F), (N - 3) / 2)"
+
+
 def lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", *VARS)
 
@@ -98,15 +122,18 @@ def spearman_matrix(spark, d):
     return S.spearman_matrix(lines(spark, d), VARS)
 
 
-@query("SELECT corr(a, b) AS rho FROM (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS b FROM customer)", "rho")
+RHO = """WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 AS b FROM customer), s AS (SELECT corr(a, b) AS rho, count(*) AS n FROM r), t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, (n - 2)::DOUBLE AS df FROM s)"""
+
+
+@query(f"{RHO} SELECT rho, n, {t_tail('t', 'df')} AS p FROM t", "rho p")
 def spearman_test(spark, d):
-    return S.spearman_matrix(table(spark, d, "customer").select("c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"]).select(F.col("r").alias("rho"))
+    return S.spearman_test(table(spark, d, "customer"), "c_acctbal", "c_nationkey")
 
 
 ANOVA = "g AS (SELECT variable, l_returnflag, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM lg GROUP BY ALL), t AS (SELECT variable, avg(value) AS gm FROM lg GROUP BY 1), s AS (SELECT variable, count(*) AS k, sum(n)::BIGINT AS N, sum(ss) AS ssw, sum(n * (m - gm) * (m - gm)) AS ssb FROM g JOIN t USING (variable) GROUP BY 1)"
 
 
-@query(f"WITH {LONG}, {ANOVA} SELECT variable, k, N, (ssb / (k - 1)) / (ssw / (N - k)) AS F, ssb / (ssb + ssw) AS eta2 FROM s", "F eta2")
+@query(f"WITH {LONG}, {ANOVA} SELECT *, {F3} AS p FROM (SELECT variable, k, N, (ssb / (k - 1)) / (ssw / (N - k)) AS F, ssb / (ssb + ssw) AS eta2 FROM s)", "F eta2 p")
 def anova_eta2(spark, d):
     return S.anova_eta2(lines(spark, d), VARS, "l_returnflag")
 
@@ -114,27 +141,40 @@ def anova_eta2(spark, d):
 RANKS = "rk AS (SELECT *, rank() OVER (PARTITION BY variable ORDER BY value) + (count(*) OVER (PARTITION BY variable, value) - 1) / 2 AS r FROM lg), tie AS (SELECT variable, sum(c * c * c - c)::DOUBLE AS t FROM (SELECT variable, value, count(*)::DOUBLE AS c FROM lg GROUP BY ALL) GROUP BY 1)"
 
 
-@query(f"WITH {LONG}, {RANKS}, g AS (SELECT variable, l_returnflag, count(*) AS n, sum(r) AS R FROM rk GROUP BY ALL), h AS (SELECT variable, count(*) AS k, sum(n)::BIGINT AS N, sum(n)::DOUBLE AS d, sum(R * R / n) AS s FROM g GROUP BY 1) SELECT variable, k, N, (12 / (d * (d + 1)) * s - 3 * (d + 1)) / (1 - t / (d * d * d - d)) AS H FROM h JOIN tie USING (variable)", "H")
+@query(f"WITH {LONG}, {RANKS}, g AS (SELECT variable, l_returnflag, count(*) AS n, sum(r) AS R FROM rk GROUP BY ALL), h AS (SELECT variable, count(*) AS k, sum(n)::BIGINT AS N, sum(n)::DOUBLE AS d, sum(R * R / n) AS s FROM g GROUP BY 1) SELECT *, exp(-H / 2) AS p FROM (SELECT variable, k, N, (12 / (d * (d + 1)) * s - 3 * (d + 1)) / (1 - t / (d * d * d - d)) AS H FROM h JOIN tie USING (variable))", "H p")
 def kruskal_wallis(spark, d):
     return S.kruskal_wallis(lines(spark, d), VARS, "l_returnflag")
 
 
-@query(f"WITH {LONG_AR}, {RANKS}, s AS (SELECT variable, count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'R') AS n_b, sum(r) FILTER (l_returnflag = 'A') AS ra FROM rk GROUP BY 1), u AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS U, (n_a + n_b)::DOUBLE AS n FROM s JOIN tie USING (variable)) SELECT variable, n_a, n_b, U, (U - n_a * n_b / 2.0) / sqrt(n_a * n_b / 12.0 * (n + 1 - t / (n * (n - 1)))) AS z FROM u", "U z")
+@query(f"WITH {LONG_AR}, {RANKS}, s AS (SELECT variable, count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'R') AS n_b, sum(r) FILTER (l_returnflag = 'A') AS ra FROM rk GROUP BY 1), u AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS U, (n_a + n_b)::DOUBLE AS n FROM s JOIN tie USING (variable)) SELECT variable, n_a, n_b, U, d / sd AS z, {normal_tail("(abs(d) - CASE WHEN d <> 0 THEN 0.5 ELSE 0 END) / sd")} AS p FROM (SELECT *, U - n_a * n_b / 2.0 AS d, sqrt(n_a * n_b / 12.0 * (n + 1 - t / (n * (n - 1)))) AS sd FROM u)", "U z p")
 def wilcoxon_rank_sum(spark, d):
     return S.wilcoxon_rank_sum(lines(spark, d), VARS, "l_returnflag", "A", "R")
 
 
-@query("WITH m AS (SELECT l_linestatus, l_returnflag AS c, count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT x.l_linestatus, x.c AS a, y.c AS b, (x.m - y.m) / sqrt(x.v / x.n + y.v / y.n) AS t, pow(x.v / x.n + y.v / y.n, 2) / (pow(x.v / x.n, 2) / (x.n - 1) + pow(y.v / y.n, 2) / (y.n - 1)) AS df FROM m x JOIN m y ON x.l_linestatus = y.l_linestatus AND x.c < y.c", "t df")
+WELCH = """WITH m AS (SELECT l_linestatus, l_returnflag AS c, count(l_quantity) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY ALL), w AS (SELECT x.l_linestatus, x.c AS a, y.c AS b, (x.m - y.m) / sqrt(x.v / x.n + y.v / y.n) AS t, pow(x.v / x.n + y.v / y.n, 2) / (pow(x.v / x.n, 2) / (x.n - 1) + pow(y.v / y.n, 2) / (y.n - 1)) AS df FROM m x JOIN m y ON x.l_linestatus = y.l_linestatus AND x.c < y.c)"""
+
+
+@query(f"{WELCH} SELECT *, {t_tail('t', 'df')} AS p FROM w", "t df p")
 def pairwise_t(spark, d):
     return S.pairwise_t(lines(spark, d), "l_quantity", "l_returnflag", ["l_linestatus"])
 
 
-@query(f"WITH l0 AS (SELECT l_returnflag, variable, value FROM (SELECT l_returnflag, {', '.join(f'{v}::DOUBLE AS {v}' for v in VARS)} FROM lineitem) {CUBE}), md AS (SELECT l_returnflag, variable, median(value) AS m FROM l0 GROUP BY ALL), lg AS (SELECT l_returnflag, variable, abs(value - m) AS value FROM l0 JOIN md USING (l_returnflag, variable)), {ANOVA} SELECT variable, (ssb / (k - 1)) / (ssw / (N - k)) AS F FROM s", "F")
+@query(
+    f"{WELCH.replace('l_linestatus', 'l_linenumber')}, p AS (SELECT *, {t_tail('t', 'df')} AS p FROM w), q AS (SELECT *, (SELECT min(y.p * (SELECT count(*) FROM p z WHERE z.l_linenumber = y.l_linenumber) / (SELECT count(*) FROM p z WHERE z.l_linenumber = y.l_linenumber AND z.p <= y.p)) FROM p y WHERE y.l_linenumber = p.l_linenumber AND y.p >= p.p) AS x FROM p), "
+    "a AS (SELECT * EXCLUDE (x), least(x, 1) AS p_adj FROM q) SELECT *, CASE WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE 'ns' END AS stars FROM a",
+    "t df p p_adj",
+)
+def pairwise_t_adjusted(spark, d):
+    """Welch tests of the classes at each line number, adjusted within the line number."""
+    return S.p_adjust(S.pairwise_t(lines(spark, d), "l_quantity", "l_returnflag", ["l_linenumber"]), "p", ["l_linenumber"])
+
+
+@query(f"WITH l0 AS (SELECT l_returnflag, variable, value FROM (SELECT l_returnflag, {', '.join(f'{v}::DOUBLE AS {v}' for v in VARS)} FROM lineitem) {CUBE}), md AS (SELECT l_returnflag, variable, median(value) AS m FROM l0 GROUP BY ALL), lg AS (SELECT l_returnflag, variable, abs(value - m) AS value FROM l0 JOIN md USING (l_returnflag, variable)), {ANOVA} SELECT *, {F3} AS p FROM (SELECT variable, k, N, (ssb / (k - 1)) / (ssw / (N - k)) AS F FROM s)", "F p")
 def levene(spark, d):
     return S.levene(lines(spark, d), VARS, "l_returnflag")
 
 
-@query("WITH v AS (SELECT l_linenumber AS b, l_returnflag AS t, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2 AS r FROM v), s AS (SELECT sum(x * x) AS s FROM (SELECT sum(r) AS x FROM r GROUP BY t)), c AS (SELECT count(DISTINCT t) AS k, count(DISTINCT b) AS b FROM v) SELECT k, b, 12 * s / (b * k * (k + 1)) - 3 * b * (k + 1) AS chi2 FROM s, c", "chi2")
+@query("WITH v AS (SELECT l_linenumber AS b, l_returnflag AS t, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2 AS r FROM v), s AS (SELECT sum(x * x) AS s FROM (SELECT sum(r) AS x FROM r GROUP BY t)), c AS (SELECT count(DISTINCT t) AS k, count(DISTINCT b) AS b FROM v) SELECT *, exp(-chi2 / 2) AS p FROM (SELECT k, b, 12 * s / (b * k * (k + 1)) - 3 * b * (k + 1) AS chi2 FROM s, c)", "chi2 p")
 def friedman(spark, d):
     v = table(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.avg("l_quantity").alias("v"))
     return S.friedman(v, "l_linenumber", "l_returnflag", "v")
@@ -155,9 +195,34 @@ def mutual_information(spark, d):
     return S.mutual_information(lines(spark, d), ["l_extendedprice"], "l_returnflag")
 
 
-@query("WITH c AS (SELECT o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1), s AS (SELECT 1 - sum(n * n * n) / pow(sum(n), 3) AS ps FROM c) SELECT 1.5::DOUBLE AS odds, ps, 6 * pow(1.959964 + 0.841621, 2) / pow(ln(1.5), 2) / ps AS n_needed FROM s", "odds ps n_needed")
+ODDS = 0.85 * (1 - 0.7) / (0.7 * (1 - 0.85))
+SHIFT = """c AS (SELECT {by}o_orderpriority, count(*)::DOUBLE AS n FROM {rows} WHERE o_orderpriority IS NOT NULL GROUP BY ALL),
+  u AS (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY o_orderpriority) / sum(n) OVER (PARTITION BY {part}) AS c, sum(n) OVER (PARTITION BY {part}) AS t FROM c),
+  e AS (SELECT *, {odds} * c / (1 - c + {odds} * c) AS e FROM u),
+  s AS (SELECT {by}o_orderpriority, n::BIGINT AS n, n / t AS p, e - coalesce(lag(e) OVER (PARTITION BY {part} ORDER BY o_orderpriority), 0) AS p_shifted FROM e),
+  sh AS (SELECT *, (p + p_shifted) / 2 AS p_mean FROM s)"""
+NEED = "ps AS (SELECT {by}{odds}::DOUBLE AS odds, 1 - sum(pow(p_mean, 3)) AS ps FROM sh GROUP BY ALL), nd AS (SELECT *, 3 * pow(1.959963984540054 + 1.2815515655446004, 2) / (0.25 * pow(ln(odds), 2)) / ps AS n_needed FROM ps), pw AS (SELECT *, abs(ln(odds)) * sqrt(pow(round(n_needed), 3) * 0.25 * ps / 3 / pow(round(n_needed) + 1, 2)) - 1.959963984540054 AS a FROM nd)"
+POWER = f"CASE WHEN a >= 0 THEN 1 - {normal_tail('a')} / 2 ELSE {normal_tail('a')} / 2 END"
+ORDERS = dict(by="", rows="orders", part="1", odds=ODDS)
+FOLDED = dict(by="fold, ", rows="(SELECT *, f AS fold FROM orders, range(1, 13) AS r(f) WHERE (o_orderkey % 12) + 1 <> f)", part="fold", odds=ODDS)
+
+
+@query(f"WITH {SHIFT.format(**ORDERS)} SELECT * FROM sh", "p p_shifted p_mean")
+def cumulative_odds_shift(spark, d):
+    """Shares of the order priorities before and after their cumulative odds are multiplied."""
+    return S.shifted_classes(table(spark, d, "orders"), "o_orderpriority", ODDS)
+
+
+@query(f"WITH {SHIFT.format(**ORDERS)}, {NEED.format(**ORDERS)} SELECT odds, ps, n_needed, {POWER} AS power FROM pw", "odds ps n_needed power")
 def ordinal_power(spark, d):
-    return S.ordinal_power(table(spark, d, "orders"), "o_orderpriority", 1.5)
+    return S.ordinal_power(S.shifted_classes(table(spark, d, "orders"), "o_orderpriority", ODDS), ODDS, p="p_mean")
+
+
+@query(f"WITH {SHIFT.format(**FOLDED)}, {NEED.format(**FOLDED)} SELECT fold, odds, ps, n_needed, {POWER} AS power FROM pw", "odds ps n_needed power")
+def ordinal_power_by_fold(spark, d):
+    """The same for the analysis set of each of twelve folds: totals less a fold's own, no row is repeated."""
+    own = table(spark, d, "orders").select((F.col("o_orderkey") % 12 + 1).cast("long").alias("fold"), "o_orderpriority")
+    return S.ordinal_power(S.shifted_classes(own, "o_orderpriority", ODDS, by=["fold"], folds=12), ODDS, by=["fold"], p="p_mean")
 
 
 @query("SELECT c_mktsegment, c_nationkey, count(*) AS n, avg(c_acctbal) AS mean, coalesce(stddev_samp(c_acctbal) / sqrt(count(*)), 0) AS se, min(c_acctbal) AS min, max(c_acctbal) AS max FROM customer GROUP BY ALL", "mean se min max")
@@ -176,8 +241,7 @@ def cumulative_error(spark, d):
 
 @query("SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS q1, median(value) AS median, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1", "mean p10 q1 median q3 p90")
 def quality_profile_summary(spark, d):
-    p = lambda x: F.percentile("value", F.lit(x))
-    return table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), p(0.1).alias("p10"), p(0.25).alias("q1"), F.median("value").alias("median"), p(0.75).alias("q3"), p(0.9).alias("p90"))
+    return S.quality_profile(table(spark, d, "events"), ["event_type"], "value")
 
 
 @query("SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem GROUP BY 1", "r slope intercept")
