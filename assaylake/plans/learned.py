@@ -8,6 +8,7 @@ from assaylake.functions import expressions as X
 from assaylake.functions.expressions import coverage_band
 from assaylake.operators import alignment as A
 from assaylake.operators import folds as D
+from assaylake.operators import identity as I
 from assaylake.operators import kmers as K
 from assaylake.operators import metrics as E
 from assaylake.operators import models as M
@@ -132,6 +133,34 @@ def near_dup_collapse(spark, d):
     return c.select(F.col("rep").alias("doc_id"), "rows")
 
 
+URLS = "u AS (SELECT url, min(page_id) AS rep, length(url) AS n FROM pages WHERE url <> '' GROUP BY url), p AS (SELECT a.rep AS a, b.rep AS b, levenshtein(a.url, b.url) AS distance, greatest(a.n, b.n) AS longer, least(a.n, b.n) AS shorter FROM u a JOIN u b ON a.rep < b.rep)"
+
+
+@query(f"WITH {URLS} SELECT a, b, distance::BIGINT AS distance, 1 - distance / longer AS identity FROM p WHERE shorter >= 0.8 * longer - 1e-9 AND distance <= floor(0.4 * longer + 1e-9)", "identity")
+def identity_pairs(spark, d):
+    """Addresses of pages at 60 % identity and 80 % coverage."""
+    urls = table(spark, d, "pages").where("url <> ''").groupBy(F.col("url").alias("seq")).agg(F.min("page_id").alias("rep"))
+    return I.identity_pairs(urls, 0.6).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "distance", "identity")
+
+
+#: Identity levels at which sequences are clustered.
+LEVELS = [1.0, 0.99, 0.98, 0.97, 0.96, 0.95, 0.94, 0.93, 0.92, 0.91, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4]
+
+
+@query()
+def identity_clusters(spark, d):
+    """Turns of conversations, clustered by edit distance at each identity level and 80 % coverage."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return I.identity_clusters(turns, "turn_id", "text", LEVELS)
+
+
+@query()
+def identity_cluster_curve(spark, d):
+    """Clusters and sequences at each identity level, addresses of pages."""
+    c = I.identity_clusters(table(spark, d, "pages"), "page_id", "url", LEVELS)
+    return c.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("members").alias("n_sequences"), F.sum("rows").alias("n_rows"))
+
+
 @query()
 def stratified_bootstrap(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
