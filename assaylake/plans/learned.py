@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaylake.functions import expressions as X
 from assaylake.functions.expressions import coverage_band
 from assaylake.operators import alignment as A
+from assaylake.operators import chaining as G
 from assaylake.operators import folds as D
 from assaylake.operators import identity as I
 from assaylake.operators import kmers as K
@@ -78,6 +79,29 @@ def hits_from_seeds(spark, d):
     return A.hits_from_seeds(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
 
 
+RUNS = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM documents), b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: w <> '') AS w FROM benchmark),
+  b AS (SELECT item_id, false AS back, w FROM b0 UNION ALL SELECT item_id, true, list_reverse(w) FROM b0),
+  q AS (SELECT doc_id AS qseqid, i AS qp, len(w) AS qlen, array_to_string(w[i:i + 3], ' ') AS seed FROM d, range(1, len(w) - 2) AS r(i)), s AS (SELECT item_id AS sseqid, back, i AS sp, len(w) AS slen, array_to_string(w[i:i + 3], ' ') AS seed FROM b, range(1, len(w) - 2) AS r(i)),
+  m AS (SELECT *, qp - sp AS diag FROM q JOIN s USING (seed)), n AS (SELECT *, CASE WHEN qp - lag(qp) OVER v = 1 THEN 0 ELSE 1 END AS new FROM m WINDOW v AS (PARTITION BY qseqid, sseqid, back, diag ORDER BY qp)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY qseqid, sseqid, back, diag ORDER BY qp) AS g FROM n)"""
+
+
+def anchors(spark, d):
+    return G.anchors(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
+
+
+@query(f"WITH {RUNS} SELECT qseqid, sseqid, back, min(qp)::INT AS qstart, (max(qp) + 3)::INT AS qend, min(sp)::INT AS sstart, (max(sp) + 3)::INT AS send, max(qlen)::INT AS qlen, max(slen)::INT AS slen FROM g GROUP BY qseqid, sseqid, back, diag, g")
+def hit_anchors(spark, d):
+    """Maximal shared runs of four words or more, items read forwards and from their end."""
+    return anchors(spark, d)
+
+
+@query()
+def chained_hits(spark, d):
+    """Hits of documents on benchmark items with mismatches, gaps and reversals: collinear chains of shared runs."""
+    return G.chained_hits(anchors(spark, d))
+
+
 V1 = "v AS (SELECT qseqid, count(*) AS n_hits, count(DISTINCT sseqid) AS n_unique_subjects, max(m) AS max_contigs_per_subject, max(bitscore) AS best_bitscore, max(pident) AS best_pident, max(max_coverage) AS best_max_coverage, max({'l': length, 's': sseqid, 'n': slen}) AS longest FROM f JOIN (SELECT sseqid, {m} AS m FROM f GROUP BY 1) USING (sseqid) GROUP BY 1)"
 WHOLE = "CASE WHEN longest.l::DOUBLE / longest.n >= 0.9 THEN 'full' ELSE 'fragment' END"
 CAT = "CASE WHEN n_hits = 1 AND n_unique_subjects = 1 AND max_contigs_per_subject = 1 THEN '1->1' WHEN n_hits > 1 AND max_contigs_per_subject = 1 THEN 'm->1' WHEN n_hits = 1 AND max_contigs_per_subject > 1 THEN '1->n' ELSE 'm->n' END"
