@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import hash_order, hash_unit
 
+from .replicates import poisson_cdf
 from .stats import cumulative
 
 
@@ -88,6 +89,5 @@ def cluster_holdout_split(clusters: DataFrame, cluster: str, member: str, rep: s
 def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
     """Each row for each replicate with a Poisson(1) weight of its hash; rows of weight 0 are left out."""
     u = hash_unit(seed, F.concat_ws("-", F.col("replicate").cast("string"), F.col(key).cast("string")))
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
-    weight = sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in cdf), F.lit(0))
+    weight = sum((F.when(F.col("_u") >= c, 1).otherwise(0) for c in poisson_cdf()), F.lit(0))
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", u).withColumn("weight", weight).where("weight > 0").drop("_u")

@@ -13,6 +13,7 @@ from assaylake.operators import identity as I
 from assaylake.operators import kmers as K
 from assaylake.operators import metrics as E
 from assaylake.operators import models as M
+from assaylake.operators import replicates as R
 from assaylake.operators import sets as S
 from assaylake.operators import similar as N
 from assaylake.operators.graph import materialise
@@ -20,7 +21,7 @@ from assaylake.operators.stats import average_ranks, cluster_curve_stats
 
 from .book import query
 from .recovery import FILTERED, OVER, depth_stats, good
-from .sequences import KM, U, pc
+from .sequences import KM, REPLICATES, U, pc
 from .sequences import counts as sequence_counts
 from .views import HITS, REFS, SEQS, refs, table
 
@@ -187,8 +188,9 @@ def identity_cluster_curve(spark, d):
 
 @query()
 def stratified_bootstrap(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return D.bootstrap_weights(docs, "doc_id", 20).groupBy("replicate", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("n"))
+    """By source and replicate, of 10,000: rows drawn, and how often in all."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return R.replicate_counts(docs, "source", "doc_id", REPLICATES)
 
 
 @query(f"WITH {SEQS}, {KM}, t AS (SELECT DISTINCT kmer FROM km), g AS (SELECT organism, kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT organism FROM km) CROSS JOIN t LEFT JOIN km USING (organism, kmer)), r AS (SELECT organism, kmer, rank() OVER (PARTITION BY organism ORDER BY n) + (count(*) OVER (PARTITION BY organism, n) - 1) / 2 AS r FROM g) SELECT a.organism AS a, b.organism AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.kmer = b.kmer AND a.organism < b.organism GROUP BY ALL", "rho")

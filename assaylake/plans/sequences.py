@@ -8,7 +8,9 @@ from assaylake.functions import expressions as X
 from assaylake.operators import curate as C
 from assaylake.operators import folds as D
 from assaylake.operators import kmers as K
+from assaylake.operators import replicates as R
 from assaylake.operators import sets as S
+from assaylake.operators.graph import materialise
 
 from .book import query
 from .statistics import chi2_tail
@@ -488,12 +490,15 @@ def count_reference_sequences(spark, d):
     return C.min_length_filter(seqs(spark, d).withColumn("w", F.length("sequence")), "w", 200).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Replicates of bootstraps.
+REPLICATES = 10_000
+
+
 @query()
 def bootstrap_entropy_ci(spark, d):
-    """Mean, sd and interval of the organisms' k-mer entropy over 20 hash-weighted replicates of the sequences."""
-    per = K.kmer_counts(seqs(spark, d), ["organism", "entry_id"], "sequence", [3])  # cut once, weighted many times
-    weights = D.bootstrap_weights(seqs(spark, d).select("entry_id"), "entry_id", 20)
-    n = per.join(weights, "entry_id").groupBy("organism", "replicate", "k", "kmer").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
-    h = K.diversity(n, ["organism", "replicate"]).groupBy("organism", "k")
-    p = lambda x: F.percentile("shannon", F.lit(x))
-    return h.agg(F.count(F.lit(1)).alias("replicates"), F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd"), p(0.025).alias("low"), p(0.975).alias("high"))
+    """Mean, sd and interval of the organisms' k-mer entropy over 10,000 hash-weighted replicates of the sequences."""
+    docs = seqs(spark, d).select(F.coalesce("organism", F.lit("")).alias("organism"), "entry_id", "sequence")
+    per = materialise(K.kmer_counts(docs, ["organism", "entry_id"], "sequence", [3]), "kmer-counts")  # cut once, weighted many times
+    h = R.replicate_entropy(per, "organism", "entry_id", REPLICATES).groupBy("organism")
+    p = lambda x: F.percentile("shannon", F.lit(x))  # noqa: E731 (a number for each replicate)
+    return h.agg(F.lit(3).alias("k"), F.count(F.lit(1)).alias("replicates"), F.avg("shannon").alias("mean"), F.stddev_samp("shannon").alias("sd"), p(0.025).alias("low"), p(0.975).alias("high"))
