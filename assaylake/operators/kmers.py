@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaylake.functions.expressions import change_complexity, count_letter, information_content, letter_entropy, safe_ratio
+from assaylake.functions.expressions import change_complexity, count_letter, hash_unit, information_content, letter_entropy, safe_ratio
 from assaylake.functions.tails import chi2_p
 
+from .graph import materialise
+from .stats import average_ranks
+
 #: k-mers cut from one piece of a sequence.
 PIECE = 512
 
@@ -49,8 +52,24 @@ def kmers(df: DataFrame, ids: Sequence[str], seq: str, ks: Sequence[int], distin
 
 
 def kmer_counts(df: DataFrame, by: Sequence[str], seq: str, ks: Sequence[int]) -> DataFrame:
-    """(group, k, kmer, n); partial sums are made before the shuffle."""
-    return kmers(df, by, seq, ks).groupBy(*by, "k", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(group, k, kmer, n); partial sums are made before the shuffle.
+
+    Of several k only the longest is cut: a k-mer is the start of a longer one, or of what follows the last of those, so
+    counts of the longest and of each sequence's endings are rolled up to the shorter ones.
+    """
+    if len(set(ks)) == 1:
+        return kmers(df, by, seq, [*set(ks)]).groupBy(*by, "k", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    longest, n = max(ks), F.length(seq)
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = F.transform(_pieces(F.col(seq), longest), lambda piece: F.struct(piece.alias("text"), F.lit(False).alias("ending")))
+    ending = F.struct(F.substring(F.col(seq), F.greatest(n - (longest - 2), F.lit(1)), F.lit(longest - 1)).alias("text"), F.lit(True).alias("ending"))
+    cut = df.select(*by, seq).where(n >= min(ks)).select(*by, F.explode(F.when(n >= longest, F.concat(whole, F.array(ending))).otherwise(F.array(ending))).alias("_piece")).repartition(parts)
+    text = F.col("_piece.text")
+    rest = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(longest)))
+    windows = cut.select(*by, F.explode(F.when(F.col("_piece.ending"), rest).otherwise(_cut(text, longest))).alias("_w")).groupBy(*by, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    held = F.filter(F.array(*[F.lit(k) for k in sorted(set(ks))]), lambda k: k <= F.length("_w"))
+    each = windows.select(*by, "_w", "_n", F.explode(held).alias("k")).select(*by, "k", F.substring(F.col("_w"), F.lit(1), F.col("k")).alias("kmer"), "_n")
+    return each.groupBy(*by, "k", "kmer").agg(F.sum("_n").alias("n"))
 
 
 def kmer_presence(df: DataFrame, seq: str, ks: Sequence[int]) -> DataFrame:
@@ -108,6 +127,73 @@ def kmer_assessment(df: DataFrame, by: Sequence[str], seq: str, ks: Sequence[int
     return diversity(kmer_counts(df, by, seq, ks), by).select(*by, "k", "shannon", "richness", "evenness")
 
 
+def nested_assessment(df: DataFrame, key: str, seq: str, ks: Sequence[int], folds: int, fractions: Sequence[float], seed: int = 1) -> DataFrame:
+    """(fold, fraction, k, total, shannon, richness, evenness): k-mers of each share of each fold's analysis set, all rows but the fold's own.
+
+    A row has one fold and enters at the first fraction that holds it, both by hashes of its key, so its k-mers are counted
+    once, by (fold, step). Running sums over steps give a fold's own rows at every fraction, and sums over folds less its
+    own give its analysis set: every cell of the table comes from one row for each k-mer. An empty cell gives no row.
+    """
+    shares = sorted(float(f) for f in fractions)
+    u = hash_unit(seed + 1, F.col(key))  # not the hash that deals the folds
+    step = F.size(F.filter(F.array(*[F.lit(f) for f in shares]), lambda f: f <= u))
+    placed = df.select((F.floor(hash_unit(seed, F.col(key)) * folds) * len(shares) + step).cast("int").alias("_cell"), step.alias("_s"), seq).where(F.col("_s") < len(shares)).drop("_s")
+    counted = kmer_counts(placed, ["_cell"], seq, ks).groupBy("k", "kmer").agg(F.collect_list(F.struct("_cell", "n")).alias("cells"))  # a number for each fold and fraction at most
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, held = folds * len(shares), {}
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                cells, of = part.column(1).flatten(), np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+                n = np.zeros((part.num_rows, size))
+                n[of, cells.field("_cell").to_numpy()] = cells.field("n").to_numpy()
+                own = n.reshape(-1, folds, len(shares)).cumsum(axis=2)
+                n = (own.sum(axis=1, keepdims=True) - own).reshape(-1, size)
+                logs = n * np.log(np.maximum(n, 1))
+                ks_ = part.column(0).to_numpy()
+                for k in np.unique(ks_).tolist():
+                    r = ks_ == k
+                    held[k] = held.get(k, 0) + np.stack([n[r].sum(axis=0), logs[r].sum(axis=0), (n[r] > 0).sum(axis=0)])
+        if held:
+            cell = np.tile(np.arange(size), len(held))
+            total, logs, richness = (np.concatenate([v[i] for v in held.values()]) for i in range(3))
+            yield pa.RecordBatch.from_pydict({"k": np.repeat(list(held), size).astype(np.int32), "cell": cell.astype(np.int32), "total": total, "logs": logs, "richness": richness.astype(np.int64)})
+
+    got = counted.select("k", "cells").mapInArrow(sums, "k int, cell int, total double, logs double, richness long").groupBy("k", "cell").agg(F.sum("total").alias("total"), F.sum("logs").alias("logs"), F.sum("richness").alias("richness")).where("total > 0")
+    at = F.element_at(F.array(*[F.lit(f) for f in shares]), (F.col("cell") % len(shares) + 1).cast("int"))
+    shannon = F.greatest(F.ln("total") - F.col("logs") / F.col("total"), F.lit(0.0))
+    got = got.select((F.floor(F.col("cell") / len(shares)) + 1).cast("int").alias("fold"), at.alias("fraction"), "k", F.col("total").cast("long").alias("total"), shannon.alias("shannon"), "richness")
+    return got.withColumn("evenness", safe_ratio(F.col("shannon"), F.ln(F.col("richness").cast("double"))))
+
+
+def sample_correlation(counts: DataFrame, sample: str) -> DataFrame:
+    """(a, b, rho): rank correlation of the profiles of every two samples over all k-mers that any of them has; one they lack counts as 0.
+
+    Zeros of a sample are tied at the lowest ranks, so they enter by their number alone: only k-mers that occur are ranked,
+    and only those that two samples share are joined. Samples are few; their sums are a row for each.
+    """
+    counts = materialise(counts.select(F.col(sample).alias("s"), "kmer", "n"), "profiles")
+    size = counts.agg(F.count_distinct("kmer").cast("double").alias("K"))  # one row
+    ranks = average_ranks(counts.select("s", F.col("n").alias("value")), ["s"])
+    own = materialise(counts.groupBy("s").agg(F.count(F.lit(1)).cast("double").alias("m")).crossJoin(F.broadcast(size)), "profile-sizes")
+    ranks = ranks.select(F.col("s").alias("_s"), "value", "rank")
+    ranked = counts.join(ranks, (F.col("s") == F.col("_s")) & (F.col("n") == F.col("value"))).join(own, "s").select("s", "kmer", (F.col("rank") + F.col("K") - F.col("m")).alias("r"))
+    ranked = materialise(ranked, "profile-ranks")
+    zero = (F.col("K") - F.col("m") + 1) / 2  # the rank of what a sample lacks
+    alone = ranked.groupBy("s").agg(F.sum("r").alias("sum"), F.sum(F.col("r") * F.col("r")).alias("sum2")).join(own, "s").withColumn("z", zero)
+    mean = (F.col("K") + 1) / 2
+    alone = alone.withColumn("var", F.col("sum2") + (F.col("K") - F.col("m")) * F.col("z") * F.col("z") - F.col("K") * mean * mean)
+    side = lambda x: alone.select(F.col("s").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sum", "m", "z", "var")])
+    a, b = ranked.select(F.col("s").alias("a"), "kmer", F.col("r").alias("ra")), ranked.select(F.col("s").alias("b"), "kmer", F.col("r").alias("rb"))
+    both = a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("p"), F.sum("ra").alias("pa"), F.sum("rb").alias("pb"), F.count(F.lit(1)).alias("c"))
+    pairs = side("a").join(side("b"), F.col("a") < F.col("b")).crossJoin(F.broadcast(size))  # a row for each two samples
+    sums = both.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "p", "pa", "pb", "c")
+    got = pairs.join(sums, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").na.fill(0, ["p", "pa", "pb", "c"])
+    product = F.col("p") + (F.col("sum_a") - F.col("pa")) * F.col("z_b") + (F.col("sum_b") - F.col("pb")) * F.col("z_a") + (F.col("K") - F.col("m_a") - F.col("m_b") + F.col("c")) * F.col("z_a") * F.col("z_b")
+    return got.select("a", "b", safe_ratio(product - F.col("K") * mean * mean, F.sqrt(F.col("var_a") * F.col("var_b"))).alias("rho"))
+
+
 def global_evenness(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Entropy over the log of the richness of all groups together, for each k."""
     whole = counts.groupBy("k").agg(F.count_distinct("kmer").alias("global_richness"))  # a row for each k

@@ -14,30 +14,67 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.expressions import hash_unit, safe_ratio
 
+from .graph import materialise
 
-def logistic_by_group(df: DataFrame, group: str, x: str, y: str, steps: int = 8, ridge: float = 1e-6) -> DataFrame:
-    """Intercept, slope and midpoint -a/b of P(y) on x for every group at once; null for fewer than ten rows or one class.
 
-    Each Newton step is one grouped pass over counts of (group, x, y); the coefficients, a row for
-    each group, are joined back.
+def logistic_by_group(df: DataFrame, group: str, x: str, y: str, least: int = 10) -> DataFrame:
+    """P(y) on x for every group at once: (group, n, intercept, slope, se_intercept, se_slope, midpoint -a/b, log_likelihood, steps, status).
+
+    Newton's method on counts of (group, x, y). A step that lowers a group's likelihood is halved until it does not; a group
+    is done when its step is below what its coefficients can tell, and then takes no more part. One pass serves all open
+    groups, and the coefficients, a row for each group, are written and joined back. ``status`` is ``converged``, or why
+    there are no coefficients: ``few rows`` (below ``least``), ``one class``, ``one value`` of x, or ``separated``, where a
+    value of x parts the classes, so that no finite coefficients are best. Rows with a null x or y take no part.
     """
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    moments = cells.groupBy(group).agg(F.sum("_n").alias("n"), (F.sum(F.col("_y") * F.col("_n")) / F.sum("_n")).alias("share"), (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_m"), F.max(F.abs("_x")).alias("_s"))
-    fit = moments.withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
-    for _ in range(steps):
-        z = (F.col("_x") - F.col("_m")) / F.greatest("_s", F.lit(1e-12))
-        p = 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * z)))
-        w = F.col("_n") * p * (1 - p)
-        r = F.col("_n") * (F.col("_y") - p)
-        sums = cells.join(fit, group).groupBy(group, "n", "share", "_m", "_s", "_a", "_b").agg(F.sum(w).alias("w0"), F.sum(w * z).alias("w1"), F.sum(w * z * z).alias("w2"), F.sum(r).alias("r0"), F.sum(r * z).alias("r1"))
-        g0, g1 = F.col("r0") - ridge * F.col("_a"), F.col("r1") - ridge * F.col("_b")
-        h0, h2 = F.col("w0") + ridge, F.col("w2") + ridge
-        det = h0 * h2 - F.col("w1") * F.col("w1")
-        fit = sums.select(group, "n", "share", "_m", "_s", (F.col("_a") + safe_ratio(h2 * g0 - F.col("w1") * g1, det)).alias("_a"), (F.col("_b") + safe_ratio(h0 * g1 - F.col("w1") * g0, det)).alias("_b"))
-    slope = F.col("_b") / F.greatest("_s", F.lit(1e-12))
-    good = (F.col("n") >= 10) & (F.col("share") > 0) & (F.col("share") < 1)
-    got = fit.select(group, F.col("n").cast("long").alias("n"), F.when(good, F.col("_a") - slope * F.col("_m")).alias("intercept"), F.when(good, slope).alias("slope"))
-    return got.withColumn("midpoint", safe_ratio(-F.col("intercept"), F.col("slope")))
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).alias("g"), number(x, "x"), number(y, "y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = materialise(cells, "logistic-cells")
+    of = lambda f, c, v: f(F.when(F.col("y") == v, F.col(c)))
+    known = cells.groupBy("g").agg(
+        F.sum("n").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"),
+        of(F.min, "x", 0).alias("low0"), of(F.max, "x", 0).alias("high0"), of(F.min, "x", 1).alias("low1"), of(F.max, "x", 1).alias("high1"),
+    )
+    status = (
+        F.when(F.col("rows") < least, "few rows").when(F.col("low0").isNull() | F.col("low1").isNull(), "one class").when(F.col("low") == F.col("high"), "one value")
+        .when((F.col("high0") <= F.col("low1")) | (F.col("high1") <= F.col("low0")), "separated").otherwise("open")
+    )
+    zero = {c: F.lit(0.0) for c in ("a", "b", "da", "db", "se_a", "se_b", "cov")}
+    fit = known.select("g", "rows", "mean", (F.col("high") - F.col("low")).alias("width"), status.alias("status")).withColumns(zero | {"ll": F.lit(float("-inf")), "steps": F.lit(0)})
+    fit = materialise(fit, "logistic-fit")
+    # (a, b) is the last point that was taken, (da, db) the step that is tried from it.
+    while not fit.where("status = 'open'").isEmpty():
+        z = (F.col("x") - F.col("mean")) / F.col("width")
+        eta = F.col("a") + F.col("da") + (F.col("b") + F.col("db")) * z
+        p = 1 / (1 + F.exp(-eta))
+        tried = cells.join(fit.where("status = 'open'").select(F.col("g").alias("_g"), "mean", "width", "a", "b", "da", "db"), F.col("g").eqNullSafe(F.col("_g")))
+        w, r = F.col("n") * p * (1 - p), F.col("n") * (F.col("y") - p)
+        likelihood = F.col("n") * (F.col("y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta))))
+        sums = tried.groupBy(F.col("_g").alias("_of")).agg(F.sum(likelihood).alias("new"), F.sum(w).alias("w0"), F.sum(w * z).alias("w1"), F.sum(w * z * z).alias("w2"), F.sum(r).alias("r0"), F.sum(r * z).alias("r1"), F.lit(True).alias("seen"))
+        got = fit.join(sums, F.col("g").eqNullSafe(F.col("_of")), "left")
+        better = F.col("new") >= F.col("ll") - 1e-12 * F.abs(F.col("new"))
+        det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
+        a, b = F.col("a") + F.col("da"), F.col("b") + F.col("db")
+        da, db = (F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1")) / det, (F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0")) / det
+        still = F.greatest(F.abs(da), F.abs(db)) <= 1e-10 * (1 + F.greatest(F.abs(a), F.abs(b)))
+        stuck = F.greatest(F.abs(F.col("da")), F.abs(F.col("db"))) <= 1e-13 * (1 + F.greatest(F.abs(F.col("a")), F.abs(F.col("b"))))  # no step is better
+        take = lambda yes, no, old: F.when(F.col("seen") & better, yes).when(F.col("seen"), no).otherwise(F.col(old)).alias(old)
+        ended = F.when(F.col("seen") & better & still, "converged").when(F.col("seen") & ~better & stuck, "converged").otherwise(F.col("status")).alias("status")
+        fit = materialise(
+            got.select(
+                "g", "rows", "mean", "width", ended, take(a, F.col("a"), "a"), take(b, F.col("b"), "b"), take(da, F.col("da") / 2, "da"), take(db, F.col("db") / 2, "db"),
+                take(F.sqrt(F.col("w2") / det), F.col("se_a"), "se_a"), take(F.sqrt(F.col("w0") / det), F.col("se_b"), "se_b"), take(-F.col("w1") / det, F.col("cov"), "cov"), take(F.col("new"), F.col("ll"), "ll"),
+                (F.col("steps") + F.when(F.col("seen"), 1).otherwise(0)).alias("steps"),
+            ),
+            "logistic-fit",
+        )
+    slope, shift = F.col("b") / F.col("width"), F.col("mean") / F.col("width")
+    intercept = F.col("a") - F.col("b") * shift
+    se = F.sqrt(F.col("se_a") * F.col("se_a") + shift * shift * F.col("se_b") * F.col("se_b") - 2 * shift * F.col("cov"))
+    done = lambda c: F.when(F.col("status") == "converged", c)
+    return fit.select(
+        F.col("g").alias(group), F.col("rows").cast("long").alias("n"), done(intercept).alias("intercept"), done(slope).alias("slope"), done(se).alias("se_intercept"), done(F.col("se_b") / F.col("width")).alias("se_slope"),
+        done(safe_ratio(-intercept, slope)).alias("midpoint"), done(F.col("ll")).alias("log_likelihood"), "steps", "status",
+    )
 
 
 def _features(df: DataFrame, variables: Sequence[str], cls: str | None = None) -> DataFrame:

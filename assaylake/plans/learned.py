@@ -17,7 +17,7 @@ from assaylake.operators import replicates as R
 from assaylake.operators import sets as S
 from assaylake.operators import similar as N
 from assaylake.operators.graph import materialise
-from assaylake.operators.stats import average_ranks, cluster_curve_stats
+from assaylake.operators.stats import cluster_curve_stats
 
 from .book import query
 from .recovery import FILTERED, OVER, depth_stats, good
@@ -195,13 +195,7 @@ def stratified_bootstrap(spark, d):
 
 @query(f"WITH {SEQS}, {KM}, t AS (SELECT DISTINCT kmer FROM km), g AS (SELECT organism, kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT organism FROM km) CROSS JOIN t LEFT JOIN km USING (organism, kmer)), r AS (SELECT organism, kmer, rank() OVER (PARTITION BY organism ORDER BY n) + (count(*) OVER (PARTITION BY organism, n) - 1) / 2 AS r FROM g) SELECT a.organism AS a, b.organism AS b, corr(a.r, b.r) AS rho FROM r a JOIN r b ON a.kmer = b.kmer AND a.organism < b.organism GROUP BY ALL", "rho")
 def kmer_sample_correlation(spark, d):
-    counts = materialise(sequence_counts(spark, d), "kmer-counts")
-    samples, kmers = counts.select("organism").distinct(), counts.select("kmer").distinct()
-    grid = kmers.crossJoin(F.broadcast(samples)).join(counts, ["organism", "kmer"], "left").select("organism", "kmer", F.coalesce("n", F.lit(0)).alias("value"))  # samples are few
-    ranks = average_ranks(grid, ["organism"])
-    r = grid.join(ranks, ["organism", "value"]).select("organism", "kmer", "rank")
-    a, b = r.select(F.col("organism").alias("a"), "kmer", F.col("rank").alias("ra")), r.select(F.col("organism").alias("b"), "kmer", F.col("rank").alias("rb"))
-    return a.join(b, "kmer").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return K.sample_correlation(sequence_counts(spark, d), "organism")
 
 
 @query()

@@ -370,6 +370,33 @@ def kmer_assessment_subsampled(spark, d):
     return K.kmer_assessment(D.fraction_subsample(seqs(spark, d), "entry_id", [0.2, 0.6]), ["fraction"], "sequence", [5])
 
 
+SHARES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+V = U.replace("'1-'", "'2-'").format(k="entry_id")
+
+
+@query(
+    f"""WITH {SEQS}, {pc(5)}, sh AS (SELECT unnest({SHARES})::DOUBLE AS fraction), x AS (SELECT {FOLD.format(k='entry_id')} AS own, (SELECT min(fraction) FROM sh WHERE {V} < fraction) AS enters, sequence FROM pc),
+  f AS (SELECT own, enters, substr(sequence, i, 5) AS kmer, count(*) AS n FROM x, range(1, length(sequence) - 3) AS r(i) WHERE enters IS NOT NULL GROUP BY ALL),
+  c AS (SELECT fold, fraction, kmer, sum(n) AS n FROM f, sh, range(1, 13) AS v(fold) WHERE own <> fold AND enters <= fraction GROUP BY ALL)
+  SELECT fold::INT AS fold, fraction, 5 AS k, sum(n)::BIGINT AS total, -sum(p * ln(p)) AS shannon, count(*) AS richness, -sum(p * ln(p)) / ln(count(*)) AS evenness FROM (SELECT *, n / sum(n) OVER (PARTITION BY fold, fraction) AS p FROM c) GROUP BY fold, fraction""",
+    "fraction shannon evenness",
+)
+def kmer_assessment_folds(spark, d):
+    """The nine shares of each of twelve folds' analysis sets."""
+    return K.nested_assessment(seqs(spark, d), "entry_id", "sequence", [5], 12, SHARES)
+
+
+@query(
+    f"WITH {SEQS}, f AS ("
+    + " UNION ALL ".join(f"SELECT family, {k} AS k, substr(sequence, i, {k}) AS kmer, count(*) AS n FROM (SELECT s.family, substr(sequence, j * 512 + 1, {511 + k}) AS sequence FROM seqs s, range(0, (length(sequence) - {k}) // 512 + 1) AS p(j) WHERE length(sequence) >= {k}), range(1, length(sequence) - {k} + 2) AS r(i) GROUP BY ALL" for k in (4, 5, 6, 7, 8))
+    + ") SELECT family, k, -sum(p * ln(p)) AS shannon, count(*) AS richness, -sum(p * ln(p)) / ln(count(*)) AS evenness FROM (SELECT *, n / sum(n) OVER (PARTITION BY family, k) AS p FROM f) GROUP BY ALL",
+    "shannon evenness",
+)
+def kmer_assessment_all_k(spark, d):
+    """Five lengths of k-mers from one cut of the longest."""
+    return K.kmer_assessment(seqs(spark, d), ["family"], "sequence", [4, 5, 6, 7, 8])
+
+
 @query(f"WITH {SEQS}, {KM}, {DIV} SELECT organism, k, shannon, (SELECT count(DISTINCT kmer) FROM km) AS global_richness, shannon / ln((SELECT count(DISTINCT kmer) FROM km)) AS global_evenness FROM ds", "shannon global_evenness")
 def global_evenness(spark, d):
     return K.global_evenness(counts(spark, d), ["organism"])
