@@ -12,8 +12,13 @@ CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, else one in the warehouse, which all see too."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lineage-cuts"
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names, else one in the warehouse, if that is not on one machine's disk of several."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share; the warehouse {warehouse} is local")
+    return warehouse.rstrip("/") + "/lineage-cuts"
 
 
 def materialise(df: DataFrame, name: str, by: str | None = None, onto: DataFrame | None = None) -> DataFrame:
@@ -24,12 +29,12 @@ def materialise(df: DataFrame, name: str, by: str | None = None, onto: DataFrame
     """
     spark = df.sparkSession
     path = onto.stored_at if onto is not None else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANED, "false")
+    was = spark.conf.get(CLEANED, None)
     spark.conf.set(CLEANED, "true")
     try:
         (df.write.partitionBy(by) if by else df.write).mode("errorifexists" if onto is None else "append").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANED, was)
+        spark.conf.unset(CLEANED) if was is None else spark.conf.set(CLEANED, was)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     made = spark.read.schema(df.schema).parquet(path)
@@ -48,10 +53,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     e = materialise(e, "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")  # written, so that Spark can split a hot node
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
         small = materialise(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         if small.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(small, ["u", "v"], "left_anti").isEmpty():
