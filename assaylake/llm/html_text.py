@@ -1,16 +1,18 @@
 """HTML extraction: a forward tokenizer, a tree builder with implied tags and visibility rules, a layout-aware renderer.
 
 Every step is linear in the page: the tokenizer never goes back, the builder knows where each tag was last
-opened, and the renderer bounds how deep boxes nest and how wide columns are padded.
+opened, and the renderer bounds how deep boxes nest, how wide columns are padded and what aligning adds to a table.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ _RULES = {tag: [(ends, stop) for starts, ends, stop in IMPLIED if tag in starts]
 DEPTH = 16
 #: Characters that a cell is padded to at most, and columns of a table in which cells can span others.
 PADDED, SPANNED = 120, 100
+#: A table's cells are aligned if its lines then hold at most so many characters for each that is no space, and so many more.
+ROOM, SMALL = 16, 4096
 
 _NAME = re.compile(r"[^\s/>]+")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(["'])|([^\s>]*)))?)""")
@@ -236,7 +240,11 @@ def span(value: str | None) -> int:
 
 
 def table_lines(rows: list[list[tuple[Node, list[str]]]]) -> list[str]:
-    """Cells under one another in columns as wide as their widest cell, ``PADDED`` at most; spanned columns stay empty."""
+    """Cells under one another in columns as wide as their widest cell, ``PADDED`` at most; spanned columns stay empty.
+
+    A table that aligning would make far larger than its text, see ``ROOM``, has its cells one under another instead.
+    Either way takes time in proportion to the cells, their lines and what is written.
+    """
     grid: list[list[list[str]]] = []
     below: dict[int, int] = {}  # rows that a cell above still fills, by column
     for row in rows:
@@ -260,12 +268,20 @@ def table_lines(rows: list[list[tuple[Node, list[str]]]]) -> list[str]:
             if lines:
                 widths[i] = max([widths.get(i, 0), *(min(PADDED, width(x)) for x in lines)])
     columns = sorted(i for i, w in widths.items() if w)
-    out = []
+    upto = [0, *accumulate(widths[i] + 2 for i in columns)]
+    size = text = 0
     for line in grid:
         while line and not any(line[-1]):
             line.pop()
+        size += max([0, *map(len, line)]) * upto[bisect_left(columns, len(line))]
+        text += sum(len(x) - x.count(" ") for lines in line for x in lines)
+    if size > ROOM * text + SMALL:
+        return [x for line in grid for lines in line for x in lines]
+    out = []
+    for line in grid:
+        own = columns[: bisect_left(columns, len(line))]
         for j in range(max([0, *map(len, line)])):
-            cells = [(line[i][j] if j < len(line[i]) else "", widths[i]) for i in columns if i < len(line)]
+            cells = [(line[i][j] if j < len(line[i]) else "", widths[i]) for i in own]
             out.append("  ".join(c + " " * (w - width(c)) for c, w in cells).rstrip())
     return out
 
