@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small
+
 #: Queries of one block, which a task holds with their heaps.
 QUERY_BLOCK = 2048
 #: Candidates of one part: at least so many where there are, and at most.
 PART, MOST = 2048, 1 << 20
+#: Candidates that a block meets at a time: a tile of QUERY_BLOCK x TILE products.
+TILE = 1024
 #: Pairs that are recomputed at once.
-PAIRS = 1 << 15
+PAIRS = 1 << 12
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -115,9 +119,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, asking, xs, ids = None, None, [], []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in small(batches, TILE):
             key = np.stack([b.column(n).to_numpy() for n in ("qb", "part", "dim", "side")])
             cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
