@@ -32,10 +32,10 @@ def _sorted(docs: DataFrame, text: str, doc_id: str, keep: str, whole: bool) ->
     norm = ascii_lower(F.coalesce(col(text), F.lit("")))
     columns = {"id": col(doc_id).cast("long"), "norm": norm}
     rows = packed(docs, **columns) if whole else docs.select(*[c.alias(n) for n, c in columns.items()])
-    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "md5": F.unhex(F.md5("norm"))})
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "digest": F.unhex(F.sha2("norm", 256))})
     order = F.col("id").asc_nulls_first() if keep == "max" else F.col("id").desc_nulls_first()
-    dealt = rows.repartitionByRange(parts_of(docs), "head", "md5", order)
-    return dealt.sortWithinPartitions("head", "md5", "norm", order).drop("head", "md5")
+    dealt = rows.repartitionByRange(parts_of(docs), "head", "digest", order)
+    return dealt.sortWithinPartitions("head", "digest", "norm", order).drop("head", "digest")
 
 
 def _run_starts(texts: pa.Array, before: str | None) -> np.ndarray:

@@ -134,14 +134,14 @@ def near_links(fps: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ring_keys(x).ravel()), pa.array(np.repeat(x, 24))], names=["key", "fp"])
 
     keys = materialise(distinct.mapInArrow(run, "key long, fp long"), "ring-keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "ring-key-sizes")  # written, so that Spark can split a hot key
     shared = keys.join(sizes, "key")
     # Four segments agree; of the other four, with three bits between them, one agrees as well, by which large keys are cut.
     start, skipped = F.floor(F.shiftright("key", 32) / 3), F.shiftright("key", 32) % 3 + 2
     byte = lambda i: F.call_function("shiftright", F.col("fp"), (F.lit(56) - (start + i) % SEGMENTS * 8).cast("int")).bitwiseAND(F.lit(255))
     cuts = F.transform(F.array(skipped, F.lit(5), F.lit(6), F.lit(7)), lambda i: (i * 256 + byte(i).cast("long")).cast("int"))
     large = materialise(shared.where(F.col("n") > block).select("key", F.explode(cuts).alias("cut"), "fp"), "large-ring-keys")
-    cut_sizes = large.groupBy("key", "cut").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    cut_sizes = materialise(large.groupBy("key", "cut").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "cut-key-sizes")
     whole = shared.where(F.col("n") <= block).select("key", F.lit(0).alias("cut"), "fp", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")

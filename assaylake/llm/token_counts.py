@@ -28,7 +28,7 @@ def _encoding(path: str, pattern: str):
 def token_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, the length of each whole text in the byte-level vocabulary at ``path``.
 
-    Null and empty texts have none. An input column n_tokens is replaced; no rows give no rows.
+    Null and empty texts have none. Repeated rows give a row each; an input column n_tokens is replaced; no rows give no rows.
     """
 
     @F.pandas_udf("long")
@@ -44,7 +44,7 @@ def length_table(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
 
     docs_at_least and tokens_at_least (suffix sums of the histogram), truncated_total (tokens left
     when every document is cut to the limit), total_tokens, and quantile (share of documents that
-    are no longer). Null lengths count as 0; an empty table gives no rows. The suffix sums run
+    are no longer). Null lengths count as 0, repeated rows count again; an empty table gives no rows. The suffix sums run
     within blocks of ``BLOCK`` lengths and over block totals, so no task sees the whole histogram, and a task of many
     lengths holds that many rows at most, whatever the corpus.
     """

@@ -221,6 +221,19 @@ def unpack(block: bytes) -> tuple[bytes, int, list[tuple[int | None, int]]]:
     return body[n_docs * DOC.itemsize :], n_tokens, docs
 
 
+def checked(code: bytes, ids: np.ndarray) -> bytes:
+    """A block's code after a checksum of its ids, so that a fault of the decoder shows as well."""
+    return zlib.crc32(ids.astype("<u4").tobytes()).to_bytes(4, "little") + code
+
+
+def opened(codes: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """The ids of ``checked`` codes; ids that do not fit their checksum are an error."""
+    found = decode_blocks([c[4:] for c in codes], sizes)
+    if any(zlib.crc32(ids.tobytes()) != int.from_bytes(c[:4], "little") for c, ids in zip(codes, found, strict=True)):
+        raise ValueError("a token block decodes to other ids")
+    return found
+
+
 class Vocabulary:
     """The library's ids of whole texts. Words come again and again, so their ids are remembered.
 
@@ -270,7 +283,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     A part is a range of ids, written in order by one task that gathers LANES blocks at most.
     Whole texts; null counts as empty; a null id comes first; repeated rows come each; no rows
     give no blocks; other columns are not read. Store ``data`` anywhere: a block decodes by itself.
-    ``added_tokens``: see ``Vocabulary``.
+    ``added_tokens``: see ``Vocabulary``. An id of 65,536 or more is an error, as the format holds none.
     """
     parts = parts_of(docs)
 
@@ -286,7 +299,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             inside: list[list] = [[] for _ in range(n + 1)]
             for at, i, k in starts:
                 inside[min(at // BLOCK, n)].append((i, k) if at < n * BLOCK else (at, i, k))
-            rows = [pack(c, len(p), d) for c, p, d in zip(encode_blocks(pieces), pieces, inside, strict=False)]
+            rows = [pack(checked(c, p), len(p), d) for c, p, d in zip(encode_blocks(pieces), pieces, inside, strict=False)]
             held, size, starts = [flat[n * BLOCK :]], len(flat) - min(len(flat), n * BLOCK), [(at - n * BLOCK, i, k) for at, i, k in inside[n]]
             block += n
             return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(block - n, block), pa.int64()), pa.array([len(p) for p in pieces], pa.int64()), pa.array(rows, pa.binary())], names=["part", "block", "n_tokens", "data"])
@@ -294,6 +307,8 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         for b in small(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(vocabulary(path, added_tokens).ids(t or ""), np.uint32(end))
+                if ids.max() >= 1 << 16:
+                    raise ValueError(f"token id {ids.max()} of document {i}: this format holds ids below 65,536")
                 starts.append((size, i, len(ids)))
                 held.append(ids)
                 size += len(ids)
@@ -318,8 +333,8 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
         def drain() -> pa.RecordBatch:
             nonlocal part, at, begun
             rows: list[tuple] = []
-            opened = [unpack(data) for _, data in queue]
-            for (own, _), ids, (_, _, docs) in zip(queue, decode_blocks([o[0] for o in opened], [o[1] for o in opened]), opened, strict=True):
+            blocks = [unpack(data) for _, data in queue]
+            for (own, _), ids, (_, _, docs) in zip(queue, opened([b[0] for b in blocks], [b[1] for b in blocks]), blocks, strict=True):
                 if own != part:
                     part, at, begun = own, 0, None
                 raw, here, nexts = ids.tobytes(), 0, iter(docs)

@@ -89,14 +89,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     Where nothing can be fitted, all texts get one score below one half, so none is rejected: the smoothed share of
     toxic rows for labels of class 0 only, and at most 1/3 for no labelled document, for labels of class 1 only and
-    for classes that no n-gram tells apart. Several labels of an id count as toxic if one is; null ids and labels are
-    passed over.
+A label above 0 is toxic, any other is not; several labels of an
+    id count as toxic if one is; null ids and labels are passed over. Of rows that repeat an id one teaches, that of the
+    smallest text.
     """
     known = labels.select(col(doc_id).alias("_id"), col(label).alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").where(~is_held_out(F.col("_id")))
     present = known.join(docs.select(col(doc_id).alias("_id")), "_id", "left_semi")  # before the limit: labels of other documents take no place
-    chosen = present.groupBy("_id").agg(F.max("label").cast("int").alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
+    chosen = present.groupBy("_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label")).orderBy(unit_hash("toxicity", F.col("_id")), "_id").limit(max_train)
     rows = docs.select(col(doc_id).alias("_id"), F.coalesce(col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # max_train ids at most
-    data = materialise(rows.select("label", "text"), "toxicity-sample")
+    data = materialise(rows.groupBy("_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "toxicity-sample")
     n = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
     flat = ToxicityModel(np.zeros(1 << BITS, np.float32), min(math.log((n_toxic + 1) / (n_other + 1)), UNTRAINED))

@@ -81,5 +81,5 @@ def test_bounds_hold():
 
 
 def test_registry_names():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(ORACLE_SQL) <= set(QUERIES)
