@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from assaylake.functions.expressions import safe_ratio
 
 from .graph import materialise
+from .stats import Run, over_ranges, quantiles_of_counts, running_sum
 
 
 def filter_hits(hits: DataFrame, min_coverage: float = 0.5, min_identity: float = 80) -> DataFrame:
@@ -22,7 +23,7 @@ def filter_hits(hits: DataFrame, min_coverage: float = 0.5, min_identity: float
 
 def _per_query(hits: DataFrame, contigs_per_subject: Column) -> DataFrame:
     """By query: hits, subjects, the most sequences that share one of its subjects, and whether any does. One join, on subjects."""
-    per = hits.groupBy("sseqid").agg(contigs_per_subject.alias("_m"))
+    per = materialise(hits.groupBy("sseqid").agg(contigs_per_subject.alias("_m")), "hits-of-subjects")  # written, so that Spark can split a hot subject
     joined = hits.join(per, "sseqid")
     return joined.groupBy("qseqid").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count_distinct("sseqid").alias("n_unique_subjects"), F.max("_m").alias("max_contigs_per_subject"),
@@ -131,22 +132,24 @@ def nearest_reference(hits: DataFrame, test_ids: DataFrame, test_id: str = "test
 
 
 def reference_coverage(hits: DataFrame, by: Sequence[str] = ("qseqid", "sseqid")) -> DataFrame:
-    """Covered share of the subject: hit intervals merged by gaps and islands, their length over the subject's."""
-    h = hits.select(*by, F.least("sstart", "send").alias("s"), F.greatest("sstart", "send").alias("e"), "slen")
-    w = Window.partitionBy(*by).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = h.withColumn("_new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(w))
-    islands = new.groupBy(*by, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("slen").alias("slen"))
-    return islands.groupBy(*by).agg(F.sum(F.col("e") - F.col("s") + 1).alias("covered"), F.max("slen").alias("slen")).withColumn("reference_coverage", safe_ratio(F.col("covered"), F.col("slen")))
+    """Covered share of the subject: in order of starts, each hit adds what lies beyond the farthest end before it.
+
+    Equal intervals are one row, ends before a range of the order come from the ranges before it, and sums are made
+    before the shuffle: no task sees a hot subject whole.
+    """
+    h = hits.select(*by, F.least("sstart", "send").alias("s"), F.greatest("sstart", "send").alias("e"), "slen").groupBy(*by, "s", "e").agg(F.max("slen").alias("slen"))
+    swept = over_ranges(h, by, ["s", "e"], {"reach": Run("e", F.max, F.greatest, own=False)})
+    added = F.greatest(F.col("e") - F.greatest(F.col("s") - 1, F.col("reach")), F.lit(0))
+    return swept.groupBy(*by).agg(F.sum(added).alias("covered"), F.max("slen").alias("slen")).withColumn("reference_coverage", safe_ratio(F.col("covered"), F.col("slen")))
 
 
 def interval_depth(intervals: DataFrame, key: str, start: str = "s", end: str = "e") -> DataFrame:
-    """Segments of constant depth (key, pos, next_pos, depth): starts and ends as events, a running sum, no row for each base."""
+    """Segments of constant depth (key, pos, next_pos, depth): starts and ends as events, a running sum over ranges, no row for each base."""
     lo, hi = F.least(start, end), F.greatest(start, end)
     events = intervals.select(key, F.explode(F.array(F.struct(lo.alias("pos"), F.lit(1).alias("d")), F.struct((hi + 1).alias("pos"), F.lit(-1).alias("d")))).alias("x")).select(key, "x.*")
-    at = events.groupBy(key, "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(key).orderBy("pos")
-    return at.withColumn("depth", F.sum("d").over(w)).withColumn("next_pos", F.lead("pos").over(w)).where("depth > 0").select(key, "pos", "next_pos", "depth")
+    at = events.where("pos IS NOT NULL").groupBy(key, "pos").agg(F.sum("d").alias("d"))
+    swept = over_ranges(at, [key], ["pos"], {"depth": running_sum("d"), "next_pos": Run("pos", F.min, F.least, back=True, own=False)})
+    return swept.where("depth > 0").select(key, "pos", "next_pos", "depth")
 
 
 def depth_stats(segments: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
@@ -161,6 +164,10 @@ def pairwise_family_identity(hits: DataFrame, labels: DataFrame, seq_id: str = "
     """Five-number summary of identity for each pair of families, within or between."""
     q = labels.select(F.col(seq_id).alias("qseqid"), F.col(family).alias("query_family"))
     s = labels.select(F.col(seq_id).alias("sseqid"), F.col(family).alias("target_family"))
-    p = lambda x: F.percentile("pident", F.lit(x))
-    got = hits.join(q, "qseqid").join(s, "sseqid").groupBy("query_family", "target_family").agg(F.count(F.lit(1)).alias("n"), F.min("pident").alias("min"), p(0.25).alias("q1"), F.median("pident").alias("median"), p(0.75).alias("q3"), F.max("pident").alias("max"))
+    by = ["query_family", "target_family"]
+    counts = materialise(hits.join(q, "qseqid").join(s, "sseqid").groupBy(*by, "pident").agg(F.count(F.lit(1)).alias("_n")), "identities")
+    p = lambda x: F.max(F.when(F.col("share") == x, F.col("quantile")))
+    inner = quantiles_of_counts(counts.where("pident IS NOT NULL"), by, [0.25, 0.5, 0.75], "pident").groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"))
+    ends = counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.min("pident").alias("min"), F.max("pident").alias("max"))
+    got = ends.join(inner, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").select(*by, "n", "min", "q1", "median", "q3", "max")
     return got.withColumn("pair", F.when(F.col("query_family") == F.col("target_family"), "Within").otherwise("Between"))

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import hash_order, safe_ratio
 
+from .stats import cumulative
+
 
 def joined_set(column: Column | str, sep: str = ",") -> Column:
     """Aggregate: distinct values without nulls, sorted, joined."""
@@ -106,15 +108,10 @@ def lower_triangle(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a) <= F.col(b))
 
 
-def chunk_rows(df: DataFrame, order: str, size: int = 500) -> DataFrame:
-    """Chunks of ``size`` rows in order. Ranks are counted within ranges of the order, not in one task."""
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p")
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each part
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    ranked = dealt.withColumn("_r", F.row_number().over(w.orderBy(order))).join(F.broadcast(before), "_p")
-    return ranked.withColumn("chunk", F.floor((F.col("_b") + F.col("_r") - 1) / size) + 1).drop("_p", "_r", "_b")
+def chunk_rows(df: DataFrame, order: str, size: int = 500, ties: Sequence[str] = ()) -> DataFrame:
+    """Chunks of ``size`` rows in order, rows of one value by ``ties``. Rows are numbered within ranges of the order, not in one task."""
+    numbered = cumulative(df.withColumn("_one", F.lit(1)), [], [order, *ties], "_one", "_r")
+    return numbered.withColumn("chunk", F.floor((F.col("_r") - 1) / size) + 1).drop("_one", "_r")
 
 
 def count_sorted(df: DataFrame, columns: Sequence[str]) -> DataFrame:

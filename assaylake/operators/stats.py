@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,28 +23,43 @@ def long_form(df: DataFrame, variables: Sequence[str], cls: Sequence[str] = ())
     return df.select(*cls, F.explode(pairs).alias("x")).select(*cls, "x.*").where("value IS NOT NULL")
 
 
-def _over_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, str], f: Callable, join: Callable, backwards: bool = False) -> DataFrame:
-    """``rows`` with running ``f`` of columns by group: ``values`` names each result's column; ``join`` puts two results together.
+class Run(NamedTuple):
+    """A running ``f`` of a column; ``join`` puts the results of two stretches together. ``back``: from the end; ``own``: with the row itself."""
+
+    column: str
+    f: Callable
+    join: Callable
+    back: bool = False
+    own: bool = True
+
+
+def running_sum(column: str) -> Run:
+    return Run(column, F.sum, lambda c, b: F.coalesce(c, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def over_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[str], runs: dict[str, Run]) -> DataFrame:
+    """``rows`` with a column for each of ``runs``, by group, in ``order``.
 
     Rows are dealt to ranges of (group, order), which are run through by themselves and then moved by what comes before
-    them, so no task sees a group whole; between tasks go a row for each range and group.
+    (or after) them, so no task sees a group whole; between tasks go a row for each range and group.
     """
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = materialise(rows.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()), "value-counts")  # once: ranges are sampled
-    sums = dealt.groupBy("_p", *by).agg(*[f(n).alias(f"_s_{out}") for out, n in values.items()])
-    w = Window.partitionBy(*by).orderBy("_p")
-    others = w.rowsBetween(1, Window.unboundedFollowing) if backwards else w.rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(F.col("_p").alias("_p2"), *[F.col(c).alias(f"_by_{c}") for c in by], *[f(f"_s_{out}").over(others).alias(f"_b_{out}") for out in values])
-    own = Window.partitionBy("_p", *by).orderBy(*order)
-    own = own.rowsBetween(0, Window.unboundedFollowing) if backwards else own.rowsBetween(Window.unboundedPreceding, 0)
-    inside = dealt.select("*", *[f(n).over(own).alias(f"_c_{out}") for out, n in values.items()])
+    sums = dealt.groupBy("_p", *by).agg(*[r.f(r.column).alias(f"_s_{out}") for out, r in runs.items()])
+    between = Window.partitionBy(*by).orderBy("_p")
+    others = lambda r: between.rowsBetween(1, Window.unboundedFollowing) if r.back else between.rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col("_p").alias("_p2"), *[F.col(c).alias(f"_by_{c}") for c in by], *[r.f(f"_s_{out}").over(others(r)).alias(f"_b_{out}") for out, r in runs.items()])
+    inner = Window.partitionBy("_p", *by).orderBy(*order)
+    own = lambda r: inner.rowsBetween(0 if r.own else 1, Window.unboundedFollowing) if r.back else inner.rowsBetween(Window.unboundedPreceding, 0 if r.own else -1)
+    inside = dealt.select("*", *[r.f(r.column).over(own(r)).alias(f"_c_{out}") for out, r in runs.items()])
     on = [F.col("_p") == F.col("_p2"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
-    return inside.join(before, on).select(*rows.columns, *[join(F.col(f"_c_{out}"), F.col(f"_b_{out}")).alias(out) for out in values])
+    return inside.join(before, on).select(*rows.columns, *[r.join(F.col(f"_c_{out}"), F.col(f"_b_{out}")).alias(out) for out, r in runs.items()])
 
 
 def cumulative(counts: DataFrame, by: Sequence[str], value: str | Sequence[str], n: str | dict[str, str], out: str = "") -> DataFrame:
     """``counts`` with the running sum ``out`` of ``n`` over rows in order of ``value``, by group; ``n`` may also name several results' columns."""
-    return _over_ranges(counts, by, [value] if isinstance(value, str) else value, {out: n} if isinstance(n, str) else n, F.sum, lambda c, b: c + F.coalesce(b, F.lit(0)))
+    named = {out: n} if isinstance(n, str) else n
+    return over_ranges(counts, by, [value] if isinstance(value, str) else value, {o: running_sum(c) for o, c in named.items()})
 
 
 def average_ranks(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -60,7 +76,11 @@ def ranks_in_blocks(long: DataFrame, by: Sequence[str], value: str = "value") ->
 
 def quantiles(long: DataFrame, by: Sequence[str], shares: Sequence[float], value: str = "value") -> DataFrame:
     """(by, share, quantile): exact quantiles, linear between neighbours, from running counts of values; nulls are passed over."""
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, shares, value)
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], shares: Sequence[float], value: str) -> DataFrame:
+    """``quantiles`` of (by, value, _n), the counts of distinct values."""
     upto = cumulative(counts, by, value, "_n", "_upto")
     whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_all")
     on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)]
@@ -257,7 +277,7 @@ def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), method: str = "BH")
     whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_all")
     counts = counts.join(whole, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] or [F.lit(True)])
     if method == "BH":
-        counts = _over_ranges(counts.withColumn("_x", F.col("_q") * F.col("_all") / F.col("_upto")), by, ["_q"], {"_least": "_x"}, F.min, F.least, backwards=True)
+        counts = over_ranges(counts.withColumn("_x", F.col("_q") * F.col("_all") / F.col("_upto")), by, ["_q"], {"_least": Run("_x", F.min, F.least, back=True)})
         adj = F.col("_least")
     else:
         adj = F.col("_q") * (F.col("_all") if method == "bonferroni" else 1)
