@@ -8,39 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .alignment import words
-
 ANCHOR = ["qstart", "qend", "sstart", "send"]
 
 
-def _runs(df: DataFrame, key: str, text: str, n: int, back: bool = False) -> DataFrame:
-    """(key, pos, n_words, seed): the hash of every run of n words, positions from 1; ``back`` reads the text from its end."""
-    w = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).where(F.size("w") >= n)
-    if back:
-        w = w.withColumn("w", F.reverse("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, n), " ")))
-    return w.select("key", F.size("w").alias("n_words"), F.posexplode(runs).alias("pos", "seed")).withColumn("pos", F.col("pos") + 1)
-
-
-def anchors(query: DataFrame, subject: DataFrame, q_id: str, s_id: str, q_text: str, s_text: str, n: int = 4, both_ways: bool = True) -> DataFrame:
-    """(qseqid, sseqid, back, qstart, qend, sstart, send, qlen, slen): maximal exact runs of n words or more.
-
-    ``back``: the subject is read from its end, and its positions count from there.
-    """
-    q = _runs(query, q_id, q_text, n).select(F.col("key").alias("qseqid"), F.col("pos").alias("qp"), F.col("n_words").alias("qlen"), "seed")
-    s = _runs(subject, s_id, s_text, n).withColumn("back", F.lit(False))
-    if both_ways:
-        s = s.unionByName(_runs(subject, s_id, s_text, n, back=True).withColumn("back", F.lit(True)))
-    s = s.select(F.col("key").alias("sseqid"), F.col("pos").alias("sp"), F.col("n_words").alias("slen"), "back", "seed")
-    met = q.join(s, "seed").withColumn("diag", F.col("qp") - F.col("sp"))
-    w = Window.partitionBy("qseqid", "sseqid", "back", "diag").orderBy("qp")
-    cut = met.withColumn("_g", F.sum(F.when(F.col("qp") - F.lag("qp").over(w) == 1, 0).otherwise(1)).over(w))
-    ends = [F.min("qp").alias("qstart"), (F.max("qp") + n - 1).alias("qend"), F.min("sp").alias("sstart"), (F.max("sp") + n - 1).alias("send"), F.max("qlen").alias("qlen"), F.max("slen").alias("slen")]
-    return cut.groupBy("qseqid", "sseqid", "back", "diag", "_g").agg(*ends).drop("diag", "_g")
-
-
 class PrefixMaximum:
     """Largest (value, -number) over the first places of an array, as values come in."""
 
@@ -112,16 +82,16 @@ def _step(i: np.ndarray, j: np.ndarray, gap: int) -> int:
     return -gap * int(j[0] - i[1] - 1 + j[2] - i[3] - 1)
 
 
-def chained_hits(found: DataFrame, match: int = 2, gap: int = 1, least: int = 8) -> DataFrame:
-    """Hits of ``anchors``: (qseqid, sseqid, qstart, qend, sstart, send, qlen, slen, length, matched, pident, n_anchors, bitscore).
+def chained_hits(anchors: DataFrame, match: int = 2, gap: int = 1, least: int = 8) -> DataFrame:
+    """Hits of ``anchors`` as of ``maximal_matches``: (qseqid, sseqid, qstart, qend, sstart, send, qlen, slen, length, matched, pident, n_anchors, bitscore).
 
     ``length`` is the longer span, ``pident`` 100 matched / length. Where the subject is read from its end, sstart is above
     send. Anchors of one query, subject and direction are one task's work; others stream by in order. No anchors, no hits.
     """
     keys = ["qseqid", "sseqid", "back"]
-    types = {f.name: f.dataType.simpleString() for f in found.schema}
-    parts = max(2, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = found.select(*keys, *[F.col(c).cast("long").alias(c) for c in [*ANCHOR, "qlen", "slen"]]).repartition(parts, *keys).sortWithinPartitions(*keys, *ANCHOR)
+    types = {f.name: f.dataType.simpleString() for f in anchors.schema}
+    parts = max(2, int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = anchors.select(*keys, *[F.col(c).cast("long").alias(c) for c in [*ANCHOR, "qlen", "slen"]]).repartition(parts, *keys).sortWithinPartitions(*keys, *ANCHOR)
     made = ["qstart", "qend", "sstart", "send", "qlen", "slen", "matched", "n_anchors", "bitscore"]
 
     def chains(group: pa.Table) -> Iterator[tuple[int, ...]]:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import hash_unit, safe_ratio
 
@@ -92,36 +93,48 @@ def multinomial_model(df: DataFrame, variables: Sequence[str], cls: str) -> Data
     return df.sparkSession.createDataFrame(rows, "cls int, variable string, coefficient double").withColumn("odds_ratio", F.exp("coefficient"))
 
 
-def random_forest_importance(df: DataFrame, key: str, variables: Sequence[str], cls: str, trees: int = 20, seed: int = 1) -> DataFrame:
-    """(variable, importance, loss): impurity importance, and the accuracy lost on held-out rows when the variable is shuffled."""
-    data = _features(df, variables, cls)
+def class_weights(df: DataFrame, cls: str, out: str = "weight") -> DataFrame:
+    """``df`` with each row's weight: one over how many rows its class has, over the sum of that of all classes. Rows of a null class have none."""
+    counts = df.where(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("_c")).agg((1 / F.count(F.lit(1))).alias("_w"))  # a row for each class
+    whole = counts.agg(F.sum("_w").alias("_s"))
+    shares = counts.crossJoin(F.broadcast(whole)).select("_c", (F.col("_w") / F.col("_s")).alias(out))
+    return df.join(F.broadcast(shares), F.col(cls) == F.col("_c"), "left").drop("_c")
+
+
+def random_forest_importance(df: DataFrame, key: str, variables: Sequence[str], cls: str, trees: int = 1000, depth: int = 5, balanced: bool = True, seed: int = 1) -> DataFrame:
+    """(variable, importance, loss, accuracy): impurity importance, and the accuracy lost on held-out rows when the variable is shuffled.
+
+    ``balanced``: rows weigh by ``class_weights``, so that rare classes count as much as frequent ones. All variables are
+    shuffled in one pass: each held-out row comes once as it is and once for each variable, with the value of another row.
+    """
+    data = _features(class_weights(df, cls) if balanced else df.withColumn("weight", F.lit(1.0)), variables, cls)
     test = hash_unit(seed, F.col(key)) < 0.3
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(data.where(~test))
-    held = data.where(test)
-    right = lambda d: model.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    base, rows = right(held), []
-    for j, v in enumerate(variables):
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(data.where(~test))
+    held = materialise(data.where(test).select(key, "label", *[f"_{v}" for v in variables]), "held-out")
+    moved = held.withColumn("_of", F.lit(""))
+    for v in variables:
         # Every row takes the value of a row that is as good as random: the next one by hash.
-        moved = held.withColumn("_h", hash_unit(f"{seed}-{v}", F.col(key))).repartitionByRange("_h").sortWithinPartitions("_h")
-        from pyspark.sql.window import Window
-
+        near = held.withColumn("_h", hash_unit(f"{seed}-{v}", F.col(key))).repartitionByRange("_h").sortWithinPartitions("_h")
         other = F.coalesce(F.lead(f"_{v}").over(Window.partitionBy(F.spark_partition_id()).orderBy("_h")), F.col(f"_{v}"))
-        shuffled = VectorAssembler(inputCols=[f"_{x}" for x in variables], outputCol="features").transform(moved.drop("features").withColumn(f"_{v}", other))
-        rows.append((v, float(model.featureImportances[j]), base - right(shuffled)))
-    return df.sparkSession.createDataFrame(rows, "variable string, importance double, loss double")
+        moved = moved.unionByName(near.withColumn(f"_{v}", other).drop("_h").withColumn("_of", F.lit(v)))
+    scored = model.transform(VectorAssembler(inputCols=[f"_{x}" for x in variables], outputCol="features").transform(moved))
+    right = {r["_of"]: r["a"] for r in scored.groupBy("_of").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).collect()}  # a row for each variable
+    base = right.get("")
+    rows = [(v, float(model.featureImportances[j]), base - right[v] if base is not None else None, base) for j, v in enumerate(variables)]
+    return df.sparkSession.createDataFrame(rows, "variable string, importance double, loss double, accuracy double")
 
 
-def boosted_importance(df: DataFrame, variables: Sequence[str], cls: str, rounds: int = 5, seed: int = 1) -> DataFrame:
-    """(class index, variable, gain) of boosted trees, one class against the rest."""
-    m = OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=seed)).fit(_features(df, variables, cls))
+def boosted_importance(df: DataFrame, variables: Sequence[str], cls: str, rounds: int = 300, depth: int = 6, step: float = 0.1, share: float = 0.8, seed: int = 1) -> DataFrame:
+    """(class index, variable, gain) of boosted trees, one class against the rest; each tree sees a ``share`` of the rows."""
+    m = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)).fit(_features(df, variables, cls))
     rows = [(i, v, float(b.featureImportances[j])) for i, b in enumerate(m.models) for j, v in enumerate(variables)]
     return df.sparkSession.createDataFrame(rows, "cls int, variable string, gain double")
 
 
-def partial_dependence(df: DataFrame, variables: Sequence[str], cls: str, of: str, grid: Sequence[float], seed: int = 1) -> DataFrame:
+def partial_dependence(df: DataFrame, variables: Sequence[str], cls: str, of: str, grid: Sequence[float], trees: int = 1000, seed: int = 1) -> DataFrame:
     """(value, cls, mean probability) of a forest when ``of`` is set to each grid value for all rows."""
     data = _features(df, variables, cls)
-    model = RandomForestClassifier(numTrees=10, seed=seed).fit(data)
+    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(data)
     at = data.drop("features").withColumn(f"_{of}", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
     scored = model.transform(VectorAssembler(inputCols=[f"_{x}" for x in variables], outputCol="features").transform(at))
     each = scored.select(F.col(f"_{of}").alias("value"), F.posexplode(vector_to_array("probability")).alias("cls", "p"))

@@ -88,7 +88,7 @@ RUNS = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[
 
 
 def anchors(spark, d):
-    return G.anchors(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
+    return A.maximal_matches(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", "text", "text", n=4, both_ways=True)
 
 
 @query(f"WITH {RUNS} SELECT qseqid, sseqid, back, min(qp)::INT AS qstart, (max(qp) + 3)::INT AS qend, min(sp)::INT AS sstart, (max(sp) + 3)::INT AS send, max(qlen)::INT AS qlen, max(slen)::INT AS slen FROM g GROUP BY qseqid, sseqid, back, diag, g")

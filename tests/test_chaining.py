@@ -6,6 +6,7 @@ from itertools import groupby
 import numpy as np
 from pyspark.sql import functions as F
 
+from assaylake.operators import alignment as A
 from assaylake.operators import chaining as C
 
 
@@ -66,7 +67,7 @@ def test_hits_equal_a_plain_version(spark):
         queries[i] = own if i % 3 else own[::-1]
     frame = lambda d: spark.createDataFrame([(k, " ".join(v)) for k, v in d.items()] + [(99, None), (98, "")], "id long, text string")
     clean = lambda ws: ["w" + w[1:] for w in ws]
-    found = C.anchors(frame(queries), frame(subjects), "id", "id", "text", "text", n=3)
+    found = A.maximal_matches(frame(queries), frame(subjects), "id", "id", "text", "text", n=3, both_ways=True)
     got = sorted((r.qseqid, r.sseqid, r.qstart, r.qend, r.sstart, r.send, r.matched, r.bitscore) for r in C.chained_hits(found, least=6).collect())
     want = []
     for q, a in queries.items():
@@ -86,15 +87,28 @@ def test_mismatches_and_gaps_lower_the_identity(spark):
     changed = [*words[:10], "zz", *words[11:25], *words[27:40], "yy", "xx", *words[40:]]
     q = spark.createDataFrame([("gaps", " ".join(changed)), ("back", " ".join(words[::-1])), ("none", "nothing is shared here at all")], "id string, text string")
     s = spark.createDataFrame([("s", " ".join(words))], "id string, text string")
-    got = {r.qseqid: r for r in C.chained_hits(C.anchors(q, s, "id", "id", "text", "text")).collect()}
+    got = {r.qseqid: r for r in C.chained_hits(A.maximal_matches(q, s, "id", "id", "text", "text", n=4, both_ways=True)).collect()}
     assert set(got) == {"gaps", "back"}
     r = got["gaps"]
     assert (r.qstart, r.qend, r.sstart, r.send, r.n_anchors, r.matched, r.length) == (1, 50, 1, 50, 4, 47, 50) and r.pident == 94.0
     assert (got["back"].sstart, got["back"].send, got["back"].pident) == (50, 1, 100.0)
-    assert C.chained_hits(C.anchors(q.limit(0), s, "id", "id", "text", "text")).count() == 0
+    assert C.chained_hits(A.maximal_matches(q.limit(0), s, "id", "id", "text", "text")).count() == 0
+
+
+def test_a_passage_that_many_share_makes_a_row_for_each_two_texts(spark):
+    """Not one for each of its words: places within it have one neighbour, so their classes never meet."""
+    rng = random.Random(1)
+    letters = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(letters() for _ in range(300))
+    frame = lambda n: spark.createDataFrame([(i, f"{letters()} {letters()} {passage} {letters()}") for i in range(n)], "id long, text string")
+    q, s = A._places(frame(40), "id", "text", 4), A._places(frame(30), "id", "text", 4).withColumn("back", F.lit(False))
+    assert q.join(s, "seed").count() == 297 * 40 * 30
+    assert A._ends(q, s, "before").count() == A._ends(q, s, "after").count() == 40 * 30
+    got = A.maximal_matches(frame(40), frame(30), "id", "id", "text", "text", n=4).collect()
+    assert len(got) == 40 * 30 and {(r.qstart, r.qend, r.sstart, r.send) for r in got} == {(3, 302, 3, 302)}
 
 
 def test_one_way(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "id long, text string")
-    r = C.anchors(d, d.select("id", F.lit("f e d c b a").alias("text")), "id", "id", "text", "text", both_ways=False)
+    r = A.maximal_matches(d, d.select("id", F.lit("f e d c b a").alias("text")), "id", "id", "text", "text", n=4)
     assert r.count() == 0
