@@ -72,6 +72,59 @@ def kmer_counts(df: DataFrame, by: Sequence[str], seq: str, ks: Sequence[int]) -
     return each.groupBy(*by, "k", "kmer").agg(F.sum("_n").alias("n"))
 
 
+#: Letters of a sequence that are cut into runs at a time.
+STRETCH = 1 << 16
+
+
+def minimizer_runs(text: str, k: int, m: int) -> Iterator[tuple[int, str]]:
+    """(minimizer, run): the text in runs whose k-mers share the least hash of their m-mers, in order; runs overlap by k - 1 letters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    for at in range(0, len(codes) - k + 1, STRETCH):
+        own = codes[at : at + STRETCH + k - 1].astype(np.uint64)
+        h = np.zeros(len(own) - m + 1, np.uint64)
+        for i in range(m):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + own[i : len(own) - m + 1 + i]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        least = np.lib.stride_tricks.sliding_window_view(h, k - m + 1).min(axis=1)
+        starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]]).tolist()
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            yield int(least[lo].view(np.int64)), text[at + lo : at + hi + k - 1]
+
+
+def long_kmer_counts(df: DataFrame, by: Sequence[str], seq: str, k: int, m: int = 7) -> DataFrame:
+    """(group, k, kmer, n) like ``kmer_counts``, for long k, of which nearly every one is new, so that sums before the shuffle spare nothing.
+
+    Sequences are cut where the least hash of their m-mers changes, and runs, equal ones of a batch counted, are dealt by
+    group and that hash: neighbouring k-mers travel as one string, and all places of a k-mer meet in one task, where it is
+    cut and counted without another shuffle. A k-mer that fills much of the data has its minimizer's task work longer.
+    """
+    m = min(m, k)
+    keys = [f"_g{i}" for i in range(len(by))]
+    rows = df.where(F.length(seq) >= k).select(*[F.col(c).alias(g) for c, g in zip(by, keys, strict=True)], F.col(seq).alias("_s"))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found: dict[tuple, int] = {}
+                names = list(zip(*[part.column(i).to_pylist() for i in range(len(by))], strict=True)) if by else [()] * part.num_rows
+                first = {name: i for i, name in enumerate(names)}
+                for name, text in zip(names, part.column(len(by)).to_pylist(), strict=True):
+                    for run in minimizer_runs(text, k, m):
+                        key = (first[name], *run)
+                        found[key] = found.get(key, 0) + 1
+                if found:
+                    row, least, runs = zip(*found, strict=True)
+                    of = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(of) for i in range(len(by))], pa.array(least, pa.int64()), pa.array(runs, pa.string()), pa.array(list(found.values()), pa.int64())], names=[*keys, "_m", "_run", "_n"])
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]], "_m long, _run string, _n long"])
+    dealt = rows.mapInArrow(cut, schema).repartition(parts, *keys, "_m")
+    each = dealt.select(*keys, "_m", "_n", F.explode(_cut(F.col("_run"), k)).alias("kmer"))
+    return each.groupBy(*keys, "_m", "kmer").agg(F.sum("_n").alias("n")).select(*[F.col(g).alias(c) for c, g in zip(by, keys, strict=True)], F.lit(k).alias("k"), "kmer", "n")
+
+
 def kmer_presence(df: DataFrame, seq: str, ks: Sequence[int]) -> DataFrame:
     """(k, kmer, n_seqs): sequences that hold the k-mer."""
     return kmers(df, [], seq, ks, distinct=True).groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("n_seqs"))

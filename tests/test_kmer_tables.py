@@ -23,6 +23,34 @@ def test_shorter_kmers_are_rolled_up(spark):
     assert K.kmer_counts(df.limit(0), ["g"], "s", [2, 3]).count() == 0
 
 
+def test_runs_of_a_minimizer_hold_every_kmer_once(spark):
+    rng = random.Random(9)
+    texts = [None, "", "short", "é\U0001f600b" * 20, "a" * 200, *["".join(rng.choice("acgt") for _ in range(n)) for n in (20, 21, 22, 500, 3000)]]
+    texts += [texts[-1][100:900] + "x"]
+    df = spark.createDataFrame([(i % 2 or None, t) for i, t in enumerate(texts)], "g int, s string").repartition(4)
+    for k, m in ((21, 7), (5, 7), (1, 1)):
+        want = Counter((i % 2 or None, t[at : at + k]) for i, t in enumerate(texts) if t for at in range(len(t) - k + 1))
+        assert {(r.g, r.kmer): r.n for r in K.long_kmer_counts(df, ["g"], "s", k, m).collect()} == dict(want)
+    assert K.long_kmer_counts(df, [], "s", 21).count() == len({t[at : at + 21] for t in texts if t for at in range(len(t) - 20)})
+    runs = [len(r) for _, r in K.minimizer_runs(texts[-2], 21, 7)]
+    assert sum(n - 20 for n in runs) == 2980 and len(runs) < 2980 / 5  # rows that are shuffled, against k-mers
+    plan = K.long_kmer_counts(df, ["g"], "s", 21)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert K.long_kmer_counts(df.limit(0), ["g"], "s", 21).count() == 0
+
+
+def test_stretches_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("acgt") for _ in range(700))
+    monkeypatch.setattr(K, "STRETCH", 64)
+    got = Counter(run[i : i + 21] for _, run in K.minimizer_runs(text, 21, 7) for i in range(len(run) - 20))
+    assert got == Counter(text[i : i + 21] for i in range(len(text) - 20))
+    by_kmer = {}
+    for least, run in K.minimizer_runs(text, 21, 7):
+        for i in range(len(run) - 20):
+            assert by_kmer.setdefault(run[i : i + 21], least) == least
+
+
 def unit(seed, key):
     return int(hashlib.md5(f"{seed}-{key}".encode()).hexdigest()[:13], 16) / 2**52
 
