@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
     return warehouse.rstrip("/") + "/lineage-cuts"
 
 
+_writes: dict[str, object] = {"at once": 0, "was": None}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """The setting by which shuffle files go with their query, while tables are written, by one thread or several; then what it was before."""
+    with _lock:
+        if not _writes["at once"]:
+            _writes["was"] = spark.conf.get(CLEANED, None)
+            spark.conf.set(CLEANED, "true")
+        _writes["at once"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes["at once"] -= 1
+            if not _writes["at once"]:
+                spark.conf.unset(CLEANED) if _writes["was"] is None else spark.conf.set(CLEANED, _writes["was"])
+
+
 def materialise(df: DataFrame, name: str, by: str | None = None, onto: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder, in a folder for each value of ``by`` if given, and read it again.
 
@@ -29,12 +53,8 @@ def materialise(df: DataFrame, name: str, by: str | None = None, onto: DataFrame
     """
     spark = df.sparkSession
     path = onto.stored_at if onto is not None else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANED, None)
-    spark.conf.set(CLEANED, "true")
-    try:
+    with _shuffles_cleaned(spark):
         (df.write.partitionBy(by) if by else df.write).mode("errorifexists" if onto is None else "append").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANED) if was is None else spark.conf.set(CLEANED, was)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     made = spark.read.schema(df.schema).parquet(path)
