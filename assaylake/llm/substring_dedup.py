@@ -15,6 +15,7 @@ import gc
 import hashlib
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -32,6 +33,8 @@ WINDOW = 50
 SHARD = 2048
 #: Words of the references of one shard on average, shards of a wave, and bytes of automata that are broadcast at once.
 SHARD_WORDS, WAVE_SHARDS, WAVE_BYTES = 200_000, 64, 64 << 20
+#: Waves at once: while one ends with few tasks, the next has begun.
+WAVES_AT_ONCE = 2
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)] * 2
@@ -376,33 +379,44 @@ def _streamed(regions: DataFrame, held: Broadcast[dict[int, bytes]], window: int
     return regions.hint("rebalance", "shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, th long, start int, end int")
 
 
-def _waves(automata: DataFrame) -> Iterator[tuple[int, list[int]]]:
-    """(wave, shards): shards of a wave whose automata are within ``WAVE_BYTES`` together; known are sizes, a number for each shard."""
-    sizes = automata.select("wave", "shard", "n_bytes").orderBy("wave", "shard").collect()
-    wave, shards, n = None, [], 0
-    for r in sizes:
-        if shards and (r["wave"] != wave or n + r["n_bytes"] > WAVE_BYTES):
-            yield wave, shards
+def _within_bytes(sizes: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """The shards of (shard, bytes), as many at a time as are within ``WAVE_BYTES`` together, one at least."""
+    shards, n = [], 0
+    for shard, size in sorted(sizes):
+        if shards and n + size > WAVE_BYTES:
+            yield shards
             shards, n = [], 0
-        wave, n = r["wave"], n + r["n_bytes"]
-        shards.append(r["shard"])
+        shards.append(shard)
+        n += size
     if shards:
-        yield wave, shards
+        yield shards
 
 
-def _matched(references: DataFrame, routed: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """(doc_id, th, start, end) of all documents: a wave of automata at a time is built, broadcast, and streamed past."""
+def _matched(references: DataFrame, routed: DataFrame, shared: DataFrame, window: int, n_shards: int) -> DataFrame:
+    """(doc_id, th, start, end) of all documents: waves of automata are built, broadcast, and streamed past, a few at once.
+
+    A wave has ``WAVE_SHARDS`` shards at most, by number, so the driver knows the waves without a list of shards, and sees
+    the sizes of a wave's shards only when its turn comes.
+    """
     spark = shared.sparkSession
     automata = materialise(_automata(references), "automata", by="wave")
     regions = materialise(_regions(routed, shared, window), "regions", by="wave")
-    found = materialise(spark.createDataFrame([], "doc_id long, th long, start int, end int"), "matched")
-    for wave, shards in _waves(automata):
-        of_wave = (F.col("wave") == wave) & F.col("shard").isin(shards)
-        some = automata.where(of_wave).select("shard", "automaton").toLocalIterator()
-        held = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in some})  # WAVE_BYTES at most, or one shard
-        materialise(_streamed(regions.where(of_wave).drop("wave"), held, window), "matched", onto=found)
-        held.destroy()
-    return spark.read.schema(found.schema).parquet(found.stored_at)
+
+    def streamed(wave: int) -> list[str]:
+        """The folders of what this wave found."""
+        paths = []
+        for shards in _within_bytes([(r["shard"], r["n_bytes"]) for r in automata.where(F.col("wave") == wave).select("shard", "n_bytes").collect()]):
+            of_wave = (F.col("wave") == wave) & F.col("shard").isin(shards)
+            some = automata.where(of_wave).select("shard", "automaton").toLocalIterator()
+            held = spark.sparkContext.broadcast({r["shard"]: bytes(r["automaton"]) for r in some})  # WAVE_BYTES at most, or one shard
+            paths.append(materialise(_streamed(regions.where(of_wave).drop("wave"), held, window), "matched").stored_at)
+            held.destroy()
+        return paths
+
+    with ThreadPoolExecutor(WAVES_AT_ONCE) as pool:
+        paths = [p for found in pool.map(streamed, range(-(-n_shards // WAVE_SHARDS))) for p in found]
+    schema = "doc_id long, th long, start int, end int"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -440,8 +454,9 @@ def _plan(docs: DataFrame, text: str, doc_id: str, window: int) -> tuple[DataFra
         routed = routed.unionByName(found.join(to, "cid").select("doc_id", "th", "pos", *narrow, F.col("part_key").alias("key")))
         level = parts.join(still, "key", "left_semi").drop("key")
     n_words = owners.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
-    shard = F.pmod("key", F.lit(-(-n_words // SHARD_WORDS) or 1)).cast("int").alias("shard")
-    spans = _matched(references.select(shard, "ctx", "first"), routed.select("doc_id", "th", "pos", "lo", "hi", shard), shared, window)
+    n_shards = -(-n_words // SHARD_WORDS) or 1
+    shard = F.pmod("key", F.lit(n_shards)).cast("int").alias("shard")
+    spans = _matched(references.select(shard, "ctx", "first"), routed.select("doc_id", "th", "pos", "lo", "hi", shard), shared, window, n_shards)
     return routes, shared, spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document
 
 
