@@ -12,27 +12,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of these documents, scores 0.5 or more go."""
+    """Documents that the classifier, trained on the labels of these documents, scores 0.5 or more go.
+
+    Null texts count as empty and stay, as empty ones score below 0.5; null ids are scored, not learned from; repeated
+    rows go or stay alike; without labels all stay; no rows give none.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one of the largest doc_id stays."""
+    """Of equal texts the one of the largest doc_id stays.
+
+    Null and empty texts are equal; a null id is smaller than any other; of rows that repeat id and text one stays; no
+    rows give none.
+    """
     return content_dedup.drop_exact_duplicates(docs, keep="max").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest doc_id."""
+    """One document of each group of linked fingerprints stays, that of the smallest doc_id.
+
+    Texts without words have one fingerprint and are one group; rows of a null id all stay; no rows give none.
+    """
     return simhash.drop_near_duplicates(docs).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at the weights of the square roots of their sizes; a document may come several times or not at all."""
+    """Sources at the weights of the square roots of their sizes; a document may come several times or not at all.
+
+    A null source is a source of its own; how often a row comes follows from its id, so repeated rows come equally often;
+    texts play no part; no rows give none.
+    """
     return mixing.mix_sources(docs).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids, decoded text and spans, a row for each copy."""
+    """doc_id, n_tokens and digests of ids, decoded text and spans, a row for each copy; null texts count as empty, no rows give none."""
     return piece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
