@@ -45,17 +45,17 @@ def multinomial_model(spark, d):
 
 @query()
 def random_forest_importance(spark, d):
-    return M.random_forest_importance(lines(spark, d), "key", VARS, "l_returnflag", trees=8)
+    return M.random_forest_importance(lines(spark, d), "key", VARS, "l_returnflag", trees=100)
 
 
 @query()
 def boosted_importance(spark, d):
-    return M.boosted_importance(lines(spark, d), VARS, "l_returnflag", rounds=3)
+    return M.boosted_importance(lines(spark, d), VARS, "l_returnflag", rounds=10)
 
 
 @query()
 def partial_dependence(spark, d):
-    return M.partial_dependence(lines(spark, d), VARS, "l_returnflag", "l_quantity", [1, 25, 50])
+    return M.partial_dependence(lines(spark, d), VARS, "l_returnflag", "l_quantity", [1, 25, 50], trees=100)
 
 
 @query()
