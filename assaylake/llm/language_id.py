@@ -22,6 +22,8 @@ from .common import col, materialise, packed, parts_of, small, with_columns
 DIMENSIONS = 2048
 #: Vectors of distinct letter groups made at a time; a long text holds more.
 AT_ONCE = 4096
+#: Characters whose groups are counted at a time.
+CHARACTERS = 1 << 20
 #: Languages held by a task at a time; of more, documents pass block after block.
 BLOCK = 1024
 #: A document's vector adds to its language at this length, in whole numbers, so that sums are the same in any order.
@@ -42,15 +44,21 @@ def letter_vector(code: int) -> np.ndarray:
     return np.unpackbits(bits.astype("<u8").view(np.uint8)).astype(np.int8) * 2 - 1
 
 
-def letter_groups(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, group's number, count) of the groups of every lower-cased text, and the groups: left, letter, right."""
-    lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "replace"), "<u4")
+def letter_groups(pieces: list[tuple[int, str, bool, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, group's number, count) of the groups of (document, piece of its text, flags), and the groups: left, letter, right.
+
+    The flags say whether a piece's first and last character are only there as neighbours.
+    """
+    codes = np.frombuffer("\n".join(["", *[p for _, p, _, _ in pieces], ""]).encode("utf-32-le", "replace"), "<u4")
+    lengths = np.array([len(p) + 1 for _, p, _, _ in pieces], np.int64)
     letter = _is_letter()[codes]
+    spaced = np.where(letter, codes, 32)
+    ends = np.cumsum(lengths)
+    letter[(ends - lengths + 1)[[lead for _, _, lead, _ in pieces]]] = False
+    letter[(ends - 1)[[tail for _, _, _, tail in pieces]]] = False
     at = np.flatnonzero(letter)
     if not len(at):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3), int)
-    spaced = np.where(letter, codes, 32)
     seen = np.zeros(0x110000, bool)
     seen[spaced] = True
     used = np.flatnonzero(seen)
@@ -58,12 +66,28 @@ def letter_groups(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     numbers = np.zeros(0x110000, np.int64)
     numbers[used] = np.arange(a)
     place = numbers[spaced]
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[at - 1]
+    doc = np.repeat(np.array([d for d, _, _, _ in pieces]), lengths)[at - 1]
     key, n = np.unique(((doc * a + place[at - 1]) * a + place[at]) * a + place[at + 1], return_counts=True)
     ways, which = np.unique(key % a**3, return_inverse=True)
     return key // a**3, which, n, np.stack([used[ways // (a * a)], used[ways // a % a], used[ways % a]], axis=1)
 
 
+def _pieces(texts: list[str | None]) -> Iterator[list[tuple[int, str, bool, bool]]]:
+    """The lower-cased texts in lists of pieces of ``CHARACTERS`` together, about; a longer text is cut, each piece with a neighbour either side."""
+    held, size = [], 0
+    for doc, text in enumerate(texts):
+        whole = (text or "").lower()
+        for at in range(0, len(whole), CHARACTERS):
+            end = at + CHARACTERS
+            held.append((doc, whole[max(at - 1, 0) : end + 1], at > 0, end < len(whole)))
+            size += len(held[-1][1])
+            if size >= CHARACTERS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _bound(groups: np.ndarray) -> np.ndarray:
     """The vectors of letter groups: products of rotated letter vectors."""
     used, place = np.unique(groups, return_inverse=True)
@@ -75,15 +99,16 @@ def _bound(groups: np.ndarray) -> np.ndarray:
 def profiles(texts: list[str | None]) -> np.ndarray:
     """The bundled vector of every text, in float32 (whole numbers, exact up to 16 million letters); zeros without letters."""
     made = np.zeros((len(texts), DIMENSIONS), np.float32)
-    doc, which, n, ways = letter_groups(texts)
-    order = np.argsort(which, kind="stable")
-    which, doc, n = which[order], doc[order], n[order]
-    for start in range(0, len(ways), AT_ONCE):
-        lo, hi = np.searchsorted(which, [start, start + AT_ONCE])
-        docs, row = np.unique(doc[lo:hi], return_inverse=True)
-        table = np.zeros((len(docs), min(AT_ONCE, len(ways) - start)), np.float32)
-        table[row, which[lo:hi] - start] = n[lo:hi]
-        made[docs] += table @ _bound(ways[start : start + AT_ONCE]).astype(np.float32)
+    for pieces in _pieces(texts):
+        doc, which, n, ways = letter_groups(pieces)
+        order = np.argsort(which, kind="stable")
+        which, doc, n = which[order], doc[order], n[order]
+        for start in range(0, len(ways), AT_ONCE):
+            lo, hi = np.searchsorted(which, [start, start + AT_ONCE])
+            docs, row = np.unique(doc[lo:hi], return_inverse=True)
+            table = np.zeros((len(docs), min(AT_ONCE, len(ways) - start)), np.float32)
+            table[row, which[lo:hi] - start] = n[lo:hi]
+            made[docs] += table @ _bound(ways[start : start + AT_ONCE]).astype(np.float32)
     return made
 
 

@@ -41,6 +41,9 @@ def test_profiles_equal_a_plain_loop(monkeypatch):
     assert np.array_equal(language_id.profiles(TEXTS), want)
     monkeypatch.setattr(language_id, "AT_ONCE", 3)
     assert np.array_equal(language_id.profiles(TEXTS), want)
+    for characters in (1, 2, 7, 50):  # texts cut anywhere, and several of them together
+        monkeypatch.setattr(language_id, "CHARACTERS", characters)
+        assert np.array_equal(language_id.profiles(TEXTS), want)
     assert not language_id.profiles([None, ""]).any() and language_id.profiles([]).shape[0] == 0
 
 
