@@ -33,8 +33,8 @@ WINDOW = 50
 SHARD = 2048
 #: Words of the references of one shard on average, shards of a wave, and bytes of automata that are broadcast at once.
 SHARD_WORDS, WAVE_SHARDS, WAVE_BYTES = 200_000, 64, 64 << 20
-#: Waves at once: while one ends with few tasks, the next has begun.
-WAVES_AT_ONCE = 2
+#: Waves at once. With more, the next begins while one ends with few tasks, but workers unpack automata of each anew.
+WAVES_AT_ONCE = 1
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64)] * 2
