@@ -54,7 +54,7 @@ def test_clashing_names(clashing):
     tongues = clashing.withColumn("lang", F.lit("en"))
     same(language_id.identify(tongues, language_id.train(tongues)), tongues, [*language_id.ADDED, "lang"])
     assert merkle.manifest(clashing, "doc_id", "source", ["doc_id", "text"]).count() == clashing.count()
-    assert spelling.group_variants(spelling.corpus_words(clashing)).count() > 0
+    assert spelling.group_variants(spelling.corpus_words(clashing, least_length=4)).count() > 0
     vectors = clashing.withColumn("vec_id", F.col("doc_id")).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
     assert vector_search.nearest_neighbours(vectors, F.col("id") % 20 == 0).count() == 0
 
