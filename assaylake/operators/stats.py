@@ -254,6 +254,7 @@ def levene(df: DataFrame, variables: Sequence[str], cls: str) -> DataFrame:
 
 def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     """Chi squared of ranks within blocks, tie-corrected, and its p; one value for each block and treatment."""
+    df = materialise(df, "blocks")  # rows meet their rank by their value
     ranks = ranks_in_blocks(df.select(block, F.col(value).alias("value")), [block])
     k = df.select(F.count_distinct(treatment).alias("k"), F.count_distinct(block).alias("b"))
     sums = df.join(ranks, (df[block] == ranks[block]) & (df[value] == ranks["value"])).groupBy(treatment).agg(F.sum("rank").alias("R"))
@@ -268,8 +269,10 @@ def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), method: str = "BH")
     """``df`` with adjusted p-values (BH, bonferroni or none) and significance stars; a null p has neither and is not counted.
 
     BH takes for each distinct p the least of q n / (how many are up to q) over all q from p on: running counts and running
-    minima over ranges of values, so a table of any number of tests is many tasks' work.
+    minima over ranges of values, so a table of any number of tests is many tasks' work. The tests are written first: rows
+    meet their adjusted value by their p, and an aggregate that is worked out twice need not give the same last bit.
     """
+    df = materialise(df, "tests")
     key = [F.col(c) for c in by]
     counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
     if method == "BH":
