@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows whose weights are made at a time, and k-mers counted side by side.
-ROWS, KMERS = 128, 512
+ROWS, KMERS = 128, 2048
+#: The largest sum that a replicate's 16-bit count holds before it is added to a double.
+FULL = 65_535
 
 
 def poisson_cdf() -> list[float]:
@@ -25,19 +27,30 @@ def poisson_cdf() -> list[float]:
     return made
 
 
+def _by_top_bits() -> np.ndarray:
+    """The Poisson(1) weight of each value of the upper 16 bits of a uniform number, 255 where a step of the distribution lies among them."""
+    edges = np.arange(65_537) * 2.0**-16
+    low, high = (np.searchsorted(poisson_cdf(), e, side=side) for e, side in ((edges[:-1], "right"), (edges[1:], "left")))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
+CDF, BY_TOP_BITS = np.array(poisson_cdf()), _by_top_bits()
+
+
 def weights(keys: np.ndarray, replicates: int, seed: int = 1) -> np.ndarray:
     """Poisson(1) weights (row, replicate) from a hash of the row's 64-bit key and the replicate's number: the same in any task."""
     steps = (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
-    x = keys.astype(np.int64).view(np.uint64)[:, None] + steps[None, :]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    made = np.zeros(u.shape, np.uint8)
-    for c in poisson_cdf():
-        above = u >= c
-        if not above.any():
-            break
-        made += above
+    made = np.empty((len(keys), replicates), np.uint8)
+    x, shifted = np.empty_like(steps), np.empty_like(steps)
+    for row, key in zip(made, keys.astype(np.int64).view(np.uint64), strict=True):  # a row at a time stays in the cache
+        np.add(steps, key, out=x)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= np.right_shift(x, np.uint64(shift), out=shifted)
+            x *= np.uint64(factor)
+        x ^= np.right_shift(x, np.uint64(31), out=shifted)
+        np.take(BY_TOP_BITS, np.right_shift(x, np.uint64(48), out=shifted), out=row)
+        open_ = np.flatnonzero(row == 255)
+        row[open_] = np.searchsorted(CDF, (x[open_] >> np.uint64(11)).astype(np.float64) * 2.0**-53, side="right")
     return made
 
 
@@ -119,8 +132,9 @@ def replicate_entropy(per: DataFrame, group: str, key: str, replicates: int, see
     """(group, replicate, total, shannon): k-mer entropy of each group when its sequences are drawn with Poisson(1) weights.
 
     ``per``: (group, key, kmer, n), the counts of each sequence. The k-mers of a group are dealt to blocks; a block's state
-    is a table of k-mers by replicates, to which chunks of sequences add the product of their counts and their weights. Of
-    a block only sums of n and n ln n for each replicate go on. A replicate that draws no sequence has a null entropy.
+    is a table of k-mers by replicates, to which each sequence adds its weights, times the count, at the k-mers that it has:
+    the work is that of the counts that are there, not of sequences by k-mers. Of a block only sums of n and n ln n for each
+    replicate go on. A replicate that draws no sequence has a null entropy.
     """
     parts = max(2, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-per.select("kmer").distinct().count() // kmers))
@@ -129,32 +143,53 @@ def replicate_entropy(per: DataFrame, group: str, key: str, replicates: int, see
     rows = rows.repartition(parts, group, "_block").sortWithinPartitions(group, "_block", "_h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, places, now, type_ = np.zeros((0, replicates), np.float64), {}, None, pa.string()
+        state, places, now, type_ = np.zeros((0, replicates), np.uint16), {}, None, pa.string()
+        held, whole = np.zeros(0, np.int64), {}  # what a 16-bit count may have reached, and what has gone on to doubles
+
+        def move(k: int) -> None:
+            whole[k] = whole.get(k, 0.0) + state[k].astype(np.float64)
+            state[k], held[k] = 0, 0
 
         def give() -> pa.RecordBatch:
-            n = state[: len(places)]
-            logs = np.zeros(replicates)
-            for at in range(0, len(n), 64):
-                part = n[at : at + 64]
-                logs += (part * np.log(np.maximum(part, 1))).sum(axis=0)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], type_), pa.array([n.sum(axis=0).tobytes()], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=[group, "total", "logs"])
+            total, logs = np.zeros(replicates), np.zeros(replicates)
+            for k in range(len(places)):
+                n = state[k] + whole[k] if k in whole else state[k].astype(np.float64)
+                total += n
+                logs += n * np.log(np.maximum(n, 1))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], type_), pa.array([total.tobytes()], pa.binary()), pa.array([logs.tobytes()], pa.binary())], names=[group, "total", "logs"])
 
         for name, run, new in _runs(batches, 2):
             if new and now is not None:
                 yield give()
             if new:
                 now, places, type_ = name, {}, run.column(0).type
-                state[:] = 0
-            seqs, words, ns = (run.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            at = np.array([places.setdefault(w, len(places)) for w in words])
+                state[:], held[:] = 0, 0
+                whole.clear()
+            words = run.column(3).dictionary_encode()
+            known = np.array([places.setdefault(w, len(places)) for w in words.dictionary.to_pylist()], np.int64)
+            at, seqs, ns = known[words.indices.to_numpy()], *(run.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
             if len(places) > len(state):
-                state = np.concatenate([state, np.zeros((max(len(places), 2 * len(state)) - len(state), replicates))])
+                more = max(len(places), 2 * len(state)) - len(state)
+                state, held = np.concatenate([state, np.zeros((more, replicates), np.uint16)]), np.concatenate([held, np.zeros(more, np.int64)])
             ids, row = np.unique(seqs, return_inverse=True)
+            order = np.lexsort((ns, row))
+            at, row, ns = at[order], row[order], ns[order]
             for lo in range(0, len(ids), ROWS):
-                own = (row >= lo) & (row < lo + ROWS)
-                counts = np.zeros((len(places), min(ROWS, len(ids) - lo)))
-                np.add.at(counts, (at[own], row[own] - lo), ns[own])
-                state[: len(places)] += counts @ weights(ids[lo : lo + ROWS], replicates, seed).astype(np.float64)
+                own = slice(*np.searchsorted(row, [lo, lo + ROWS]))
+                w = weights(ids[lo : lo + ROWS], replicates, seed).astype(np.uint16)
+                added = np.bincount(at[own], ns[own], len(state)).astype(np.int64) * int(w.max(initial=0))
+                for k in np.flatnonzero(held + added > FULL).tolist():
+                    move(k)
+                large = added > FULL
+                held += np.where(large, 0, added)
+                last: tuple[int, int] | None = None
+                for k, r, n in zip(at[own].tolist(), (row[own] - lo).tolist(), ns[own].tolist(), strict=True):
+                    if large[k]:
+                        whole[k] += w[r] * float(n)
+                        continue
+                    if last != (r, n):
+                        times, last = w[r] if n == 1 else w[r] * np.uint16(n), (r, n)
+                    state[k] += times
         if now is not None:
             yield give()
 

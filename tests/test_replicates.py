@@ -75,3 +75,22 @@ def test_exploded_weights_have_no_cap(spark):
     w = folds.bootstrap_weights(spark.range(2000), "id", 20)
     got = w.agg(F.sum("weight").alias("n"), F.max("weight").alias("m")).first()
     assert abs(got.n / 40_000 - 1) < 0.03 and got.m >= 5
+
+
+def test_large_counts_and_all_steps_of_the_distribution(spark):
+    """Counts beyond 16 bits, in one sequence or added up, and weights by table equal to those by comparison with every step."""
+    w, steps = R.weights(np.arange(40), 3000), R.poisson_cdf()
+    x = np.arange(40).astype(np.uint64)[:, None] + ((np.arange(1, 3001, dtype=np.uint64) + np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    assert np.array_equal(w, sum((u >= c).astype(int) for c in steps))
+    rows = [("g", i, k, n) for i in range(60) for k, n in (("aaa", 70_000 if i % 20 == 0 else 9_000), ("bbb", 1 + i % 3), ("ccc", 4_000_000_000 * (i == 7) + 1))]
+    got = {r.replicate: r for r in R.replicate_entropy(spark.createDataFrame(rows, "g string, id long, kmer string, n long"), "g", "id", 20).collect()}
+    drawn = {i: R.weights(np.array([k]), 20)[0] for i, k in keys(spark, range(60)).items()}
+    for b in range(20):
+        n = Counter()
+        for _, i, k, c in rows:
+            n[k] += c * int(drawn[i][b])
+        total = sum(n.values())
+        assert got[b + 1].total == total and abs(got[b + 1].shannon + sum(c / total * math.log(c / total) for c in n.values())) < 1e-9
