@@ -112,3 +112,15 @@ def test_one_way(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "id long, text string")
     r = A.maximal_matches(d, d.select("id", F.lit("f e d c b a").alias("text")), "id", "id", "text", "text", n=4)
     assert r.count() == 0
+
+
+def test_places_without_a_shared_seed_are_not_joined(spark, monkeypatch):
+    from assaylake.operators import alignment as A
+
+    written = {}
+    monkeypatch.setattr(A, "materialise", lambda df, name: written.setdefault(name, df), raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20))) for i in range(10)], "d long, t string")
+    items = spark.createDataFrame([(7, "x x " + " ".join(f"w{chr(97 + 3)}{chr(97 + j)}" for j in range(5, 11)) + " y y")], "i long, t string")
+    got = A.maximal_matches(docs, items, "d", "i", "t", "t", n=4).collect()
+    assert [(r.qseqid, r.sseqid, r.qstart, r.qend, r.sstart, r.send) for r in got] == [(3, 7, 6, 11, 3, 8)]
+    assert written["query-places"].count() == 3
