@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from assaylake.functions.expressions import hash_unit, safe_ratio
 
+from . import forests
 from .graph import materialise
 
 
@@ -101,26 +103,38 @@ def class_weights(df: DataFrame, cls: str, out: str = "weight") -> DataFrame:
     return df.join(F.broadcast(shares), F.col(cls) == F.col("_c"), "left").drop("_c")
 
 
+def _binned(data: DataFrame, variables: Sequence[str]) -> tuple[DataFrame, list[list[float]], int]:
+    """Rows of ``_features`` with the bin of each variable, the cuts between bins and how many classes there are."""
+    at = forests.cuts(data, [f"_{v}" for v in variables])
+    return forests.binned(data, [f"_{v}" for v in variables], at), at, len(data.schema["label"].metadata["ml_attr"]["vals"])
+
+
 def random_forest_importance(df: DataFrame, key: str, variables: Sequence[str], cls: str, trees: int = 1000, depth: int = 5, balanced: bool = True, seed: int = 1) -> DataFrame:
     """(variable, importance, loss, accuracy): impurity importance, and the accuracy lost on held-out rows when the variable is shuffled.
 
     ``balanced``: rows weigh by ``class_weights``, so that rare classes count as much as frequent ones. All variables are
     shuffled in one pass: each held-out row comes once as it is and once for each variable, with the value of another row.
+    Trees grow on cells, and cells are scored: see ``forests``.
     """
+    d, bins = len(variables), [f"_b{i}" for i in range(len(variables))]
     data = _features(class_weights(df, cls) if balanced else df.withColumn("weight", F.lit(1.0)), variables, cls)
     test = hash_unit(seed, F.col(key)) < 0.3
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(data.where(~test))
-    held = materialise(data.where(test).select(key, "label", *[f"_{v}" for v in variables]), "held-out")
+    data, _, classes = _binned(data, variables)
+    cells = materialise(forests.cells(data.where(~test), d, F.max("weight").alias("weight")), "cells")
+    weight = {r["label"]: r["w"] for r in cells.groupBy("label").agg(F.max("weight").alias("w")).collect()}  # a row for each class
+    model = forests.forest(cells, d, [weight.get(c, 1.0) for c in range(classes)], trees, depth, seed)
+    held = materialise(data.where(test).select(key, F.col("label").cast("int").alias("label"), *bins), "held-out")
     moved = held.withColumn("_of", F.lit(""))
-    for v in variables:
+    for v, b in zip(variables, bins, strict=True):
         # Every row takes the value of a row that is as good as random: the next one by hash.
         near = held.withColumn("_h", hash_unit(f"{seed}-{v}", F.col(key))).repartitionByRange("_h").sortWithinPartitions("_h")
-        other = F.coalesce(F.lead(f"_{v}").over(Window.partitionBy(F.spark_partition_id()).orderBy("_h")), F.col(f"_{v}"))
-        moved = moved.unionByName(near.withColumn(f"_{v}", other).drop("_h").withColumn("_of", F.lit(v)))
-    scored = model.transform(VectorAssembler(inputCols=[f"_{x}" for x in variables], outputCol="features").transform(moved))
-    right = {r["_of"]: r["a"] for r in scored.groupBy("_of").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).collect()}  # a row for each variable
-    base = right.get("")
-    rows = [(v, float(model.featureImportances[j]), base - right[v] if base is not None else None, base) for j, v in enumerate(variables)]
+        other = F.coalesce(F.lead(b).over(Window.partitionBy(F.spark_partition_id()).orderBy("_h")), F.col(b))
+        moved = moved.unionByName(near.withColumn(b, other).drop("_h").withColumn("_of", F.lit(v)))
+    scored = model.score(moved.groupBy("_of", *bins, "label").agg(F.count(F.lit(1)).alias("n")), d)
+    met = F.array_position("p", F.array_max("p")) - 1 == F.col("label")
+    right = {r["_of"]: r["a"] for r in scored.groupBy("_of").agg((F.sum(F.when(met, F.col("n")).otherwise(0)) / F.sum("n")).alias("a")).collect()}  # a row for each variable
+    base, gain = right.get(""), model.importances(d)
+    rows = [(v, float(gain[j]), base - right[v] if base is not None else None, base) for j, v in enumerate(variables)]
     return df.sparkSession.createDataFrame(rows, "variable string, importance double, loss double, accuracy double")
 
 
@@ -132,13 +146,16 @@ def boosted_importance(df: DataFrame, variables: Sequence[str], cls: str, rounds
 
 
 def partial_dependence(df: DataFrame, variables: Sequence[str], cls: str, of: str, grid: Sequence[float], trees: int = 1000, seed: int = 1) -> DataFrame:
-    """(value, cls, mean probability) of a forest when ``of`` is set to each grid value for all rows."""
-    data = _features(df, variables, cls)
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(data)
-    at = data.drop("features").withColumn(f"_{of}", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    scored = model.transform(VectorAssembler(inputCols=[f"_{x}" for x in variables], outputCol="features").transform(at))
-    each = scored.select(F.col(f"_{of}").alias("value"), F.posexplode(vector_to_array("probability")).alias("cls", "p"))
-    return each.groupBy("value", "cls").agg(F.avg("p").alias("mean_probability"))
+    """(value, cls, mean probability) of a forest when ``of`` is set to each grid value for all rows. Trees grow on cells, and cells are scored: see ``forests``."""
+    d, i = len(variables), list(variables).index(of)
+    data, at, classes = _binned(_features(df, variables, cls), variables)
+    cells = materialise(forests.cells(data, d), "cells")
+    model = forests.forest(cells, d, [1.0] * classes, trees, 5, seed)
+    places = F.array(*[F.struct(F.lit(float(g)).alias("value"), F.lit(bisect_left(at[i], g)).alias("b")) for g in dict.fromkeys(map(float, grid))])
+    rest = [f"_b{j}" for j in range(d) if j != i]
+    moved = cells.groupBy(*rest).agg(F.sum("n").alias("n")).select(*rest, "n", F.explode(places).alias("_at")).select(*rest, "n", F.col("_at.value").alias("value"), F.col("_at.b").alias(f"_b{i}"))
+    each = model.score(moved, d).select("value", "n", F.posexplode("p").alias("cls", "p"))
+    return each.groupBy("value", "cls").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_probability"))
 
 
 def _components(df: DataFrame, variables: Sequence[str], k: int):
