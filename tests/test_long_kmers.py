@@ -36,3 +36,13 @@ def test_no_kmer_leaves_the_task_that_counts_it(spark):
     df = spark.createDataFrame([(1, "abcdefabcdef")], "g int, s string")
     plan = K.long_kmer_spectrum(df, ["g"], "s", 3)._jdf.queryExecution().executedPlan().toString()
     assert "kmer#" not in plan and "Generate" not in plan and plan.count("MapInArrow") >= 2
+
+
+def test_groups_of_a_kmer_are_dealt_once(spark, monkeypatch):
+    """Counts of nested shares shuffle k-mers once for all cells, and a task counts a cell's pieces together."""
+    df = spark.createDataFrame([(i, "abcabd") for i in range(40)], "id long, s string")
+    plans = []
+    whole = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: plans.append(self._jdf.queryExecution().executedPlan().toString()) or whole(self, *a, **b))
+    assert K.nested_assessment(df, "id", "s", [3], 4, [0.5, 0.9]).count() == 8
+    assert plans[-1].count("Exchange hashpartitioning") == 1 and "Sort [_g0" in plans[0]
