@@ -215,3 +215,30 @@ def forest(cells: DataFrame, d: int, weights: Sequence[float], trees: int, depth
         same = (made.feature[:, node] >= 0) & (made.feature[:, a] < 0) & (made.feature[:, b] < 0) & (answer[:, a] == answer[:, b])
         made.feature[same, node] = -1
     return Forest(made, w)
+
+
+def boost(cells: DataFrame, d: int, k: int, rounds: int, depth: int, step: float, share: float, seed: int) -> list[np.ndarray]:
+    """Importances of boosted trees for each of ``k`` classes against the rest, logistic loss: the first tree fits the class (1 or -1), each later one the slope of the loss, and adds ``step`` of what it says."""
+    drawn = with_draws(cells, d, "boost-cells", lambda rng, n: rng.binomial(n, share, rounds), seed)
+    grown: list[Trees] = []
+
+    def impurity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.where(s[..., 0] > 0.5, s[..., 0], 0.0)  # whole numbers
+        own = np.maximum(w, 1.0)
+        return w, np.maximum(s[..., 2] / own - (s[..., 1] / own) ** 2, 0.0)
+
+    for m in range(rounds):
+        says = [t.stats[..., 1] / np.maximum(t.stats[..., 0], 1.0) * (step if i else 1.0) for i, t in enumerate(grown)]
+
+        def stats(b: pa.RecordBatch, bins: np.ndarray, m=m, says=says) -> list:
+            y = np.where(b.column("label").to_numpy()[:, None] == np.arange(k)[None, :], 1.0, -1.0)
+            goal = y
+            if m:
+                f = sum(s[np.arange(k), t.leaves(bins)] for s, t in zip(says, grown, strict=True))
+                goal = 4 * y / (1 + np.exp(2 * y * f))
+            w = b.column("draws").flatten().to_numpy().reshape(-1, rounds)[:, m : m + 1].astype(float)
+            return [(np.array(0), np.broadcast_to(w, y.shape)), (np.array(1), w * goal), (np.array(2), w * goal * goal)]
+
+        grown.append(grow(drawn, d, k, depth, 3, stats, impurity, d, seed + m))
+    one = lambda i: Trees(*[np.stack([getattr(t, a)[i] for t in grown]) for a in ("feature", "cut", "gain", "stats")])
+    return [one(i).importances(lambda s: s[..., 0], d, False) for i in range(k)]

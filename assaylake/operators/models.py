@@ -6,7 +6,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -139,9 +139,11 @@ def random_forest_importance(df: DataFrame, key: str, variables: Sequence[str],
 
 
 def boosted_importance(df: DataFrame, variables: Sequence[str], cls: str, rounds: int = 300, depth: int = 6, step: float = 0.1, share: float = 0.8, seed: int = 1) -> DataFrame:
-    """(class index, variable, gain) of boosted trees, one class against the rest; each tree sees a ``share`` of the rows."""
-    m = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=seed)).fit(_features(df, variables, cls))
-    rows = [(i, v, float(b.featureImportances[j])) for i, b in enumerate(m.models) for j, v in enumerate(variables)]
+    """(class index, variable, gain) of boosted trees, one class against the rest; each tree sees a ``share`` of the rows. Trees grow on cells: see ``forests``."""
+    d = len(variables)
+    data, _, classes = _binned(_features(df, variables, cls), variables)
+    gains = forests.boost(forests.cells(data, d), d, classes, rounds, depth, step, share, seed)
+    rows = [(i, v, float(g[j])) for i, g in enumerate(gains) for j, v in enumerate(variables)]
     return df.sparkSession.createDataFrame(rows, "cls int, variable string, gain double")
 
 

@@ -96,3 +96,19 @@ def test_trees_see_cells_whatever_the_rows(spark, monkeypatch):
     assert seen[1]["n"] == 8 * seen[0]["n"] == 12000 and seen[1]["c"] < 1.2 * seen[0]["c"]
     models.random_forest_importance(made(spark, 8), "key", ["x", "y"], "cls", trees=3)
     assert seen[2]["c"] < 1.2 * seen[0]["c"]
+
+
+def test_boosting_finds_the_classes_cut(spark):
+    """All gains are those of the variable that parts the classes."""
+    gains = T.boost(T.cells(spark.createDataFrame([(i % 4, j % 3, int(i % 4 > 1)) for i in range(40) for j in range(3)], "_b0 int, _b1 int, label int"), 2), 2, 2, 3, 2, 0.1, 1.0, 1)
+    assert len(gains) == 2 and all(g[0] == pytest.approx(1) and g[1] == pytest.approx(0) for g in gains)
+
+
+def test_boosting_sees_cells_whatever_the_rows(spark, monkeypatch):
+    seen = []
+    grow = T.grow
+    monkeypatch.setattr(T, "grow", lambda cells, *a: seen.append(cells.agg(F.count("*").alias("c"), F.sum("n").alias("n")).first()) or grow(cells, *a))
+    for copies in (1, 8):
+        got = {(r.cls, r.variable): r.gain for r in models.boosted_importance(made(spark, copies), ["x", "y"], "cls", rounds=1, depth=2).collect()}
+        assert got[0, "x"] > got[0, "y"] and got[1, "x"] > got[1, "y"]
+    assert seen[1]["n"] == 8 * seen[0]["n"] and seen[1]["c"] < 1.2 * seen[0]["c"]
