@@ -124,10 +124,17 @@ def leakage_stats(audit: DataFrame, by: Sequence[str]) -> DataFrame:
     return audit.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("high_hits").alias("median_high"), F.avg("high_hits").alias("mean_high"), F.max("high_hits").alias("max_high"), F.avg((F.col("high_hits") == 0).cast("int")).alias("share_none"))
 
 
-def recovery_table(contigs: DataFrame, by: Sequence[str], hit: str = "hits", cov: str = "reference_coverage", least: float = 0.9) -> DataFrame:
-    """Best and mean coverage of each reference (its id up to a bar), and whether it is recovered."""
+def exact_mean(x: Column) -> Column:
+    """Mean of doubles as they are written (14 places), the same in any order of rows; that of the doubles if some cannot be written so."""
+    written = x.try_cast("decimal(28,14)")
+    return F.when(F.count(written) == F.count(x), F.avg(written).cast("double")).otherwise(F.avg(x))
+
+
+def recovery_table(contigs: DataFrame, by: Sequence[str], hit: str = "hits", cov: str = "reference_coverage", least: float = 0.9, exact: bool = False) -> DataFrame:
+    """Best and mean coverage of each reference (its id up to a bar), and whether it is recovered. ``exact``: means that are to be compared, see ``exact_mean``."""
     ref = F.substring_index(F.col(hit), "|", 1)
-    return contigs.where(F.col(hit).isNotNull()).groupBy(*by, ref.alias("test_id")).agg(F.max(cov).alias("best_cov"), F.avg(cov).alias("mean_cov")).withColumn("recovered", (F.col("best_cov") >= least).cast("int"))
+    mean = exact_mean(F.col(cov)) if exact else F.avg(cov)
+    return contigs.where(F.col(hit).isNotNull()).groupBy(*by, ref.alias("test_id")).agg(F.max(cov).alias("best_cov"), mean.alias("mean_cov")).withColumn("recovered", (F.col("best_cov") >= least).cast("int"))
 
 
 def binned_recovery(table: DataFrame, x: str, breaks: Sequence[float], by: Sequence[str] = (), recovered: str = "recovered") -> DataFrame:

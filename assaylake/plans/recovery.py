@@ -179,7 +179,7 @@ def join_recovery_nri(spark, d):
     "sensitivity se",
 )
 def binned_recovery(spark, d):
-    return M.binned_recovery(recovery_table(spark, d), "mean_cov", [0, 0.45, 0.5, 0.55, 1], ["tool"])
+    return M.binned_recovery(M.recovery_table(contigs(spark, d), ["tool"], exact=True), "mean_cov", [0, 0.45, 0.5, 0.55, 1], ["tool"])
 
 
 @query(f"WITH {CONTIGS} SELECT sample_id, count(*) AS n_sets, avg(n) AS mean_full, stddev_samp(n) AS sd_full FROM (SELECT tool, sample_id, count(*) FILTER (reference_coverage >= 0.95) AS n FROM contigs GROUP BY ALL) GROUP BY 1", "mean_full sd_full")
