@@ -19,6 +19,8 @@ from .graph import materialise
 
 #: Bins of a variable at most.
 BINS = 32
+#: Rounds of boosting that are grown in passes over dealt cells, and the places that a task holds at most where more rounds are.
+ROUNDS_IN_PASSES, PLACES = 3, 1 << 21
 
 
 def cuts(df: DataFrame, variables: Sequence[str]) -> list[list[float]]:
@@ -106,6 +108,16 @@ Stats = Callable[[pa.RecordBatch, np.ndarray], list[tuple[np.ndarray, np.ndarray
 Impurity = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def best_cuts(h: np.ndarray, impurity: Impurity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gains, weights of nodes, sums left of each cut, right of it) of sums by (variable, node, bin, place)."""
+    left = h.cumsum(axis=2)
+    total = left[:, :, -1:]
+    right = total - left
+    (w, i), (wl, il), (wr, ir) = impurity(total), impurity(left), impurity(right)
+    gain = np.where((wl > 0) & (wr > 0), i - (wl * il + wr * ir) / np.maximum(w, np.finfo(float).tiny), -1.0)
+    return gain, w[0, :, 0], left, right
+
+
 def grow(cells: DataFrame, d: int, n: int, depth: int, size: int, stats: Stats, impurity: Impurity, tried: int, seed: int) -> Trees:
     """``n`` trees in step, a pass over the cells for each level.
 
@@ -140,13 +152,9 @@ def grow(cells: DataFrame, d: int, n: int, depth: int, size: int, stats: Stats,
         def choose(parts: pa.Table) -> pa.Table:
             tree = parts.column("tree")[0].as_py()
             h = sum(c.flatten().to_numpy().reshape(len(c), -1).sum(axis=0) for c in parts.column("sums").chunks).reshape(d, width, BINS, size)
-            left = h.cumsum(axis=2)
-            total = left[:, :, -1:]
-            right = total - left
-            (w, i), (wl, il), (wr, ir) = impurity(total), impurity(left), impurity(right)
-            gain = np.where((wl > 0) & (wr > 0), i - (wl * il + wr * ir) / np.maximum(w, np.finfo(float).tiny), -1.0)
+            gain, w, left, right = best_cuts(h, impurity)
             rows = []
-            for node in np.flatnonzero(w[0, :, 0] > 0).tolist():
+            for node in np.flatnonzero(w > 0).tolist():
                 own = np.sort(np.random.default_rng([seed, tree, width + node]).permutation(d)[:tried])
                 best = gain[own, node]
                 f, cut = np.unravel_index(best.argmax(), best.shape)
@@ -217,16 +225,77 @@ def forest(cells: DataFrame, d: int, weights: Sequence[float], trees: int, depth
     return Forest(made, w)
 
 
+def _spread(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and variance of sums of weights, of numbers and of their squares."""
+    w = np.where(s[..., 0] > 0.5, s[..., 0], 0.0)  # whole numbers
+    own = np.maximum(w, 1.0)
+    return w, np.maximum(s[..., 2] / own - (s[..., 1] / own) ** 2, 0.0)
+
+
 def boost(cells: DataFrame, d: int, k: int, rounds: int, depth: int, step: float, share: float, seed: int) -> list[np.ndarray]:
-    """Importances of boosted trees for each of ``k`` classes against the rest, logistic loss: the first tree fits the class (1 or -1), each later one the slope of the loss, and adds ``step`` of what it says."""
+    """Importances of boosted trees for each of ``k`` classes against the rest, logistic loss: the first tree fits the class (1 or -1), each later one the slope of the loss, and adds ``step`` of what it says.
+
+    Rounds follow one another, so many of them in passes would be a job for each level of each. Cells of equal bins are one
+    place, at most BINS^variables however many rows there are: up to ``PLACES`` of them a class's trees are one task's.
+    """
+    if rounds > ROUNDS_IN_PASSES:
+        bins, yes = [f"_b{i}" for i in range(d)], F.col("label") == F.col("of")
+        each = cells.select(*bins, "label", "n", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("of")).groupBy("of", *bins)
+        places = materialise(each.agg(F.sum(F.when(yes, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(yes, 0).otherwise(F.col("n"))).alias("no")), "boost-places")
+        if places.count() <= k * PLACES:
+
+            def run(part: pa.Table) -> pa.Table:
+                of, at = part.column("of")[0].as_py(), np.stack([part.column(b).to_numpy() for b in bins], axis=1).astype(int)
+                order = np.lexsort(at.T)
+                gains = boosted(at[order], part.column("yes").to_numpy()[order], part.column("no").to_numpy()[order], rounds, depth, step, share, [seed, of])
+                return pa.table([pa.array([of], pa.int32()), pa.array([gains.tolist()], pa.list_(pa.float64()))], names=["of", "gains"])
+
+            got = {r["of"]: np.array(r["gains"]) for r in places.repartitionByRange(k, "of").groupBy("of").applyInArrow(run, "of int, gains array<double>").collect()}  # a row for each class
+            return [got.get(i, np.zeros(d)) for i in range(k)]
+    return _boost_in_passes(cells, d, k, rounds, depth, step, share, seed)
+
+
+def boosted(bins: np.ndarray, yes: np.ndarray, no: np.ndarray, rounds: int, depth: int, step: float, share: float, seed: Sequence[int]) -> np.ndarray:
+    """Importances of the boosted trees of a class, of places with ``yes`` rows of the class and ``no`` others: what ``boost`` says, a tree after the other."""
+    d, gains, says, flat = bins.shape[1], np.zeros(bins.shape[1]), np.zeros(len(bins)), [np.ascontiguousarray(bins[:, f]) for f in range(bins.shape[1])]
+    for m in range(rounds):
+        rng = np.random.default_rng([*seed, m])
+        mine, others = rng.binomial(yes, share).astype(float), rng.binomial(no, share).astype(float)
+        up, down = (4 / (1 + np.exp(2 * says)), -4 / (1 + np.exp(-2 * says))) if m else (np.ones(len(bins)), -np.ones(len(bins)))
+        sums = [mine + others, mine * up + others * down, mine * up * up + others * down * down]
+        live, slot = np.arange(len(bins)), np.zeros(len(bins), int)  # places in nodes that may be cut, and which of the level's
+        value, n_nodes = np.array([sums[1].sum() / max(sums[0].sum(), 1.0)]), 1
+        said = np.full(len(bins), value[0])
+        for _ in range(depth):
+            base, mass = slot * BINS, [x[live] for x in sums]
+            h = np.empty((d, n_nodes, BINS, 3))
+            for f in range(d):
+                at = base + flat[f][live]
+                for j in range(3):
+                    h[f, ..., j] = np.bincount(at, mass[j], n_nodes * BINS).reshape(n_nodes, BINS)
+            gain, w, left, right = best_cuts(h, _spread)
+            own = gain.transpose(1, 0, 2).reshape(n_nodes, -1)
+            best = own.argmax(axis=1)
+            f, cut, won = best // BINS, best % BINS, own[np.arange(n_nodes), best]
+            cuts = (w > 0) & (won > 0)
+            if not cuts.any():
+                break
+            np.add.at(gains, f[cuts], won[cuts] * w[cuts])
+            ends = np.stack([x[f[cuts], np.flatnonzero(cuts), cut[cuts]] for x in (left, right)], axis=1).reshape(-1, 3)
+            value, first = ends[:, 1] / np.maximum(ends[:, 0], 1.0), np.cumsum(cuts) * 2 - 2  # children side by side
+            on = cuts[slot]
+            live, slot = live[on], slot[on]
+            slot = first[slot] + (bins[live, f[slot]] > cut[slot])
+            said[live], n_nodes = value[slot], len(value)
+        says += said * (step if m else 1.0)
+    return gains / gains.sum() if gains.sum() > 0 else gains
+
+
+def _boost_in_passes(cells: DataFrame, d: int, k: int, rounds: int, depth: int, step: float, share: float, seed: int) -> list[np.ndarray]:
+    """``boost`` over dealt cells, whatever their number, a pass for each level of each round."""
     drawn = with_draws(cells, d, "boost-cells", lambda rng, n: rng.binomial(n, share, rounds), seed)
     grown: list[Trees] = []
 
-    def impurity(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = np.where(s[..., 0] > 0.5, s[..., 0], 0.0)  # whole numbers
-        own = np.maximum(w, 1.0)
-        return w, np.maximum(s[..., 2] / own - (s[..., 1] / own) ** 2, 0.0)
-
     for m in range(rounds):
         says = [t.stats[..., 1] / np.maximum(t.stats[..., 0], 1.0) * (step if i else 1.0) for i, t in enumerate(grown)]
 
@@ -239,6 +308,6 @@ def boost(cells: DataFrame, d: int, k: int, rounds: int, depth: int, step: float
             w = b.column("draws").flatten().to_numpy().reshape(-1, rounds)[:, m : m + 1].astype(float)
             return [(np.array(0), np.broadcast_to(w, y.shape)), (np.array(1), w * goal), (np.array(2), w * goal * goal)]
 
-        grown.append(grow(drawn, d, k, depth, 3, stats, impurity, d, seed + m))
+        grown.append(grow(drawn, d, k, depth, 3, stats, _spread, d, seed + m))
     one = lambda i: Trees(*[np.stack([getattr(t, a)[i] for t in grown]) for a in ("feature", "cut", "gain", "stats")])
     return [one(i).importances(lambda s: s[..., 0], d, False) for i in range(k)]

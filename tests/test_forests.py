@@ -112,3 +112,27 @@ def test_boosting_sees_cells_whatever_the_rows(spark, monkeypatch):
         got = {(r.cls, r.variable): r.gain for r in models.boosted_importance(made(spark, copies), ["x", "y"], "cls", rounds=1, depth=2).collect()}
         assert got[0, "x"] > got[0, "y"] and got[1, "x"] > got[1, "y"]
     assert seen[1]["n"] == 8 * seen[0]["n"] and seen[1]["c"] < 1.2 * seen[0]["c"]
+
+
+def test_many_rounds_are_those_of_passes(spark, monkeypatch):
+    """A task for each class and passes over dealt cells give the same gains, where all rows take part."""
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), int((a > 9) + (rng.random() < 0.3) * (b % 3))) for a, b in rng.integers(0, [20, 7], (3000, 2))]
+    cells = T.cells(spark.createDataFrame(rows, "_b0 int, _b1 int, label int"), 2).persist()
+    got = T.boost(cells, 2, 4, 5, 3, 0.1, 1.0, 1)
+    monkeypatch.setattr(T, "PLACES", 1)
+    for a, b in zip(got, T.boost(cells, 2, 4, 5, 3, 0.1, 1.0, 1), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+    cells.unpersist()
+
+
+def test_boosted_importance_grows_all_rounds(spark, monkeypatch, tmp_path):
+    """The registered query grows the reference's 300 rounds."""
+    from assaylake.plans import learned
+
+    seen = []
+    monkeypatch.setattr(learned.M.forests, "boost", lambda cells, d, k, rounds, *a: seen.append(rounds) or [np.zeros(d)] * k)
+    flags = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame([(i, 1, float(i), 1.0, 0.1 * i, 0.0, "AN"[i % 2]) for i in range(20)], flags).write.parquet(f"{tmp_path}/lineitem.parquet")
+    learned.boosted_importance(spark, str(tmp_path)).collect()
+    assert seen == [300]
