@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows whose weights are made at a time, and k-mers counted side by side.
-ROWS, KMERS = 128, 2048
+ROWS, KMERS = 128, 4096
 #: The largest sum that a replicate's 16-bit count holds before it is added to a double.
 FULL = 65_535
+#: k-mers that so many of the rows at a time have are counted by a product of matrices, if its sums are below what floats hold exactly.
+DENSE, EXACT = 0.1, 1 << 24
 
 
 def poisson_cdf() -> list[float]:
@@ -58,12 +60,17 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
     """(key, slice, whether the key is new) of batches sorted by their first columns."""
     before: tuple | None = None
     for b in batches:
-        names = list(zip(*[b.column(i).to_pylist() for i in range(keys)], strict=True))
-        edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+        new = np.zeros(max(b.num_rows - 1, 0), bool)
+        for i in range(keys if b.num_rows else 0):
+            c = b.column(i).dictionary_encode()
+            at = c.indices.fill_null(len(c.dictionary)).to_numpy()
+            new |= at[1:] != at[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi > lo:
-                yield names[lo], b.slice(lo, hi - lo), names[lo] != before
-                before = names[lo]
+                name = tuple(b.column(i)[lo].as_py() for i in range(keys))
+                yield name, b.slice(lo, hi - lo), name != before
+                before = name
 
 
 def _added(partial: DataFrame, group: str, vectors: list[str]) -> DataFrame:
@@ -131,9 +138,10 @@ def replicate_counts(df: DataFrame, group: str, key: str, replicates: int, seed:
 def replicate_entropy(per: DataFrame, group: str, key: str, replicates: int, seed: int = 1, kmers: int = KMERS) -> DataFrame:
     """(group, replicate, total, shannon): k-mer entropy of each group when its sequences are drawn with Poisson(1) weights.
 
-    ``per``: (group, key, kmer, n), the counts of each sequence. The k-mers of a group are dealt to blocks; a block's state
+    ``per``: (group, key, kmer, n), the counts of each sequence; a k-mer may come in several rows, each with a part of them. The k-mers of a group are dealt to blocks; a block's state
     is a table of k-mers by replicates, to which each sequence adds its weights, times the count, at the k-mers that it has:
-    the work is that of the counts that are there, not of sequences by k-mers. Of a block only sums of n and n ln n for each
+    the work is that of the counts that are there, not of sequences by k-mers; k-mers that many of some sequences have are
+    added for these together, a product of counts and weights. Of a block only sums of n and n ln n for each
     replicate go on. A replicate that draws no sequence has a null entropy.
     """
     parts = max(2, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -177,13 +185,26 @@ def replicate_entropy(per: DataFrame, group: str, key: str, replicates: int, see
             for lo in range(0, len(ids), ROWS):
                 own = slice(*np.searchsorted(row, [lo, lo + ROWS]))
                 w = weights(ids[lo : lo + ROWS], replicates, seed).astype(np.uint16)
-                added = np.bincount(at[own], ns[own], len(state)).astype(np.int64) * int(w.max(initial=0))
+                at_, row_, ns_ = at[own], row[own] - lo, ns[own]
+                added = np.bincount(at_, ns_, len(state)).astype(np.int64) * int(w.max(initial=0))
+                dense = (np.bincount(at_, minlength=len(state)) >= max(2, DENSE * len(w))) & (added < EXACT)
+                if dense.any():
+                    ks, mine = np.flatnonzero(dense), dense[at_]
+                    counts = np.zeros((len(ks), len(w)), np.float32)
+                    np.add.at(counts, (np.searchsorted(ks, at_[mine]), row_[mine]), ns_[mine].astype(np.float32))
+                    for k, sums in zip(ks.tolist(), counts @ w.astype(np.float32), strict=True):
+                        if k in whole:
+                            whole[k] += sums
+                        else:
+                            whole[k] = sums.astype(np.float64)
+                    at_, row_, ns_ = at_[~mine], row_[~mine], ns_[~mine]
+                    added[ks] = 0
                 for k in np.flatnonzero(held + added > FULL).tolist():
                     move(k)
                 large = added > FULL
                 held += np.where(large, 0, added)
                 last: tuple[int, int] | None = None
-                for k, r, n in zip(at[own].tolist(), (row[own] - lo).tolist(), ns[own].tolist(), strict=True):
+                for k, r, n in zip(at_.tolist(), row_.tolist(), ns_.tolist(), strict=True):
                     if large[k]:
                         whole[k] += w[r] * float(n)
                         continue

@@ -94,3 +94,31 @@ def test_large_counts_and_all_steps_of_the_distribution(spark):
             n[k] += c * int(drawn[i][b])
         total = sum(n.values())
         assert got[b + 1].total == total and abs(got[b + 1].shannon + sum(c / total * math.log(c / total) for c in n.values())) < 1e-9
+
+
+def test_counts_in_parts_and_of_all_sizes(spark):
+    """Parts of a sequence's counts add up like their sums; frequent, rare and very large counts meet in one block."""
+    rng = random.Random(11)
+    rows = [("g", i, w, rng.randint(1, 4)) for i in range(400) for w in ("often", "mostly", "half") if w != "half" or i % 2] + [("g", i, f"rare{i % 7}", 2) for i in range(0, 400, 40)]
+    rows += [("g", 3, "often", 1 << 23), ("g", 4, "large", 70_000), ("g", 5, "rare0", 60_000), ("g", 6, "rare0", 60_000), (None, 1, "often", 5)]
+    df = spark.createDataFrame([(g, i, w, n) for g, i, w, n in rows for n in ((n // 2, n - n // 2) if n > 1 else (n,))], "g string, id long, kmer string, n long").repartition(3)
+    h = keys(spark, range(400))
+    drawn = np.stack([R.weights(np.array([h[i]]), 50)[0] for i in range(400)]).astype(float)
+    got = {(r.g, r.replicate): r for r in R.replicate_entropy(df, "g", "id", 50).collect()}
+    assert len(got) == 100
+    for b in range(50):
+        n = Counter()
+        for g, i, w, c in rows:
+            n[w] += c * drawn[i, b] if g else 0
+        total = sum(n.values())
+        assert got["g", b + 1].total == total and abs(got["g", b + 1].shannon + sum(c / total * math.log(c / total) for c in n.values() if c)) < 1e-9
+
+
+def test_kmers_of_parts_give_the_same_intervals(spark):
+    from assaylake.operators import kmers
+
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, "".join(rng.choice("abc") for _ in range(rng.choice([2, 30, 60])))) for i in range(40)], "id long, s string").selectExpr("'g' g", "id", "s")
+    whole, parts = (R.replicate_entropy(kmers.kmer_counts(df, ["g", "id"], "s", [3], summed=x), "g", "id", 20) for x in (True, False))
+    a, b = ({(r.g, r.replicate): (r.total, r.shannon) for r in x.collect()} for x in (whole, parts))
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and abs(a[k][1] - b[k][1]) < 1e-9 for k in a)
