@@ -46,3 +46,23 @@ def test_groups_of_a_kmer_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: plans.append(self._jdf.queryExecution().executedPlan().toString()) or whole(self, *a, **b))
     assert K.nested_assessment(df, "id", "s", [3], 4, [0.5, 0.9]).count() == 8
     assert plans[-1].count("Exchange hashpartitioning") == 1 and "Sort [_g0" in plans[0]
+
+
+def test_runs_are_packed_by_group_and_bucket():
+    """Runs of a task travel in a row for each group and bucket, in a fraction of their letters, and come out with their counts."""
+    rng = random.Random(10)
+    own = ["".join(rng.choice("acgté\U0001f600") for _ in range(rng.randrange(21, 40))) for _ in range(400)] + ["x" * 70_000]
+    rows = [(g, sum(map(ord, t)) % 50 - 25, t, 1 + i % 3) for i, t in enumerate(own) for g in ("a", None)]
+    half = [K.pa.table([list(c) for c in zip(*some, strict=True)], names=["_g0", "_m", "_run", "_n"]) for some in (rows, rows[:500])]
+    want = Counter()
+    for g, m, t, n in [*rows, *rows[:500]]:
+        want[g, t] += n
+    got, places = Counter(), set()
+    for b in K._packed(half, ["_g0"], 4):
+        for r in b.to_pylist():
+            runs, n = K._unpacked(r["_size"], r["_runs"])
+            assert (r["_g0"], r["_b"]) not in places and 0 <= r["_b"] < 4
+            places.add((r["_g0"], r["_b"]))
+            got.update(dict(zip([(r["_g0"], t) for t in runs.to_pylist()], n.tolist(), strict=True)))
+            assert len(r["_runs"]) < sum(len(t) for t in runs.to_pylist())
+    assert got == want and len(places) == 8
