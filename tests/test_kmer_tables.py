@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaylake.operators import kmers as K
@@ -98,3 +99,30 @@ def test_correlation_of_sparse_profiles(spark):
         want = sum((i - m) * (j - m) for i, j in zip(x, y, strict=True)) / math.sqrt(sum((i - m) ** 2 for i in x) * sum((j - m) ** 2 for j in y))
         assert abs(rho - want) < 1e-9
     assert K.sample_correlation(df.where(F.lit(False)), "s").count() == 0
+
+
+def test_words_travel_packed_and_are_rolled_up():
+    """Counted words, some of fewer letters, in a row for each group and bucket of first letters; whatever their letters, they come out as they were."""
+    rng = random.Random(13)
+    for letters in ("abc", "aÿþ", "a\uffff\ufffe", "a\U0001f600\x00", "".join(map(chr, range(60, 500)))):
+        words = Counter({(rng.randrange(2), "".join(rng.choice(letters) for _ in range(rng.choice([2, 3, 8, 8, 8])))): rng.choice([1, 254, 255, 256, 65_535, 70_000]) for _ in range(300)})
+        rows = np.full((len(words), 8), K.NONE)
+        for row, (_, w) in zip(rows, words, strict=True):
+            row[: len(w)] = [ord(c) for c in w]
+        got, places = Counter(), []
+        for g, b, packed in K._packed_words(np.array([g for g, _ in words]), rows, np.array(list(words.values())), 2, 5):
+            places.append((g, b))
+            for k, found, n in K.rolled_up(*K._unpacked_words(packed, 8), [2, 3, 8]):
+                got.update({(g, k, "".join(map(chr, w))): m for w, m in zip(found.tolist(), n.tolist(), strict=True)})
+        want = Counter()
+        for (g, w), n in words.items():
+            for k in (2, 3, 8):
+                if k <= len(w):
+                    want[g, k, w[:k]] += n
+        assert got == want and len(places) == len(set(places))
+
+
+def test_lengths_shuffle_no_row_for_a_word(spark):
+    df = spark.createDataFrame([(i % 2, "abcabdabe") for i in range(20)], "g int, s string")
+    plan = K.kmer_counts(df, ["g"], "s", [2, 3])._jdf.queryExecution().executedPlan().toString()
+    assert "_words" in plan and "Generate" not in plan.split("MapInArrow")[0] and plan.count("Exchange hashpartitioning") == 1
